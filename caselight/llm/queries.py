@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, simhash
+from . import bpe, lines, packing, simhash, substring, suffixes
 from .common import table
 
 
@@ -29,11 +29,22 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
+    "op7_suffixes": op7_suffixes,
+    "op8_substring": op8_substring,
 }
 
 SQL: dict[str, str] = {}

@@ -3,7 +3,7 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
-from caselight.llm import lines, simhash
+from caselight.llm import lines, simhash, substring, suffixes
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, fp string, keys string"
@@ -63,3 +63,41 @@ def test_lines(spark, rows):
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in out]
     assert sorted(got, key=str) == sorted(brute.lines(rows), key=str)
     assert all(r["fp"] == "x" and r["keys"] == "y" for r in out)
+
+
+def passage_rows():
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 90)))) for k in range(40)]
+    for size in (12, 13, 14, 20, 49, 50, 51, 70):
+        passage = " ".join(r.choice(words) for _ in range(size))
+        for k in range(4):
+            left, right = (" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(2))
+            rows.append((200 - size - 70 * k, f"{left}\t{passage}  {right}"))
+    rows += [(300 + k, " ".join(["a"] * (5 * k))) for k in range(30)]
+    rows += [(None, rows[45][1]), (3, rows[41][1]), (3, rows[41][1]), (500, rows[45][1]), (501, rows[45][1] + " x"), (502, None), (503, ""), (504, " \n")]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("rows", [given(), passage_rows(), []], ids=["given", "passages", "empty"])
+def test_substring(spark, rows):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    out = substring.dedup_substrings(df).collect()
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out]
+    want = [(i, len(w), len(g), " ".join(x for k, x in enumerate(w) if k not in g)) for i, w, g in brute.windows(rows, 13)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("rows", [given(), passage_rows(), []], ids=["given", "passages", "empty"])
+def test_suffixes(spark, rows):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = {}
+    for r in suffixes.repeated_spans(df).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        assert r["first_doc_id"] < r["doc_id"]
+    want = {}
+    for i, _, gone in brute.windows(rows, suffixes.WINDOW):
+        if gone:
+            want.setdefault(i, set()).update(gone)
+    assert got == want
