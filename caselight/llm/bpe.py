@@ -27,8 +27,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .common import checkpointed
 
 #: Runs without white space of at least so many characters are cut into leaves.
 RUN_CHARS = 4096
@@ -43,7 +48,6 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Texts without these characters may be put in lower case before the library sees them.
 _KEEP_CASE = re.compile("[^\x00-įı-˿]")
 _PLAIN_WORD = re.compile("([a-zà-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
-_RUN = rf"[^\x09-\x0D\x20\x85\xA0  -     　]{{{RUN_CHARS}}}"
 
 
 def default_vocabulary() -> str:
@@ -170,18 +174,21 @@ class WordEncoder:
         for w, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.cache[w] = self.view.views(e.ids, [0, len(e.ids)])[0]
 
-    def encode(self, texts: list[str]) -> Iterator[list]:
-        """For each text the views of its words."""
+    def encode(self, texts: list[str]) -> Iterator[list | None]:
+        """For each text the views of its words, or None if it has a long run."""
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             split = [words_of(t) for t in texts[k : k + TEXTS_AT_ONCE]]
+            long = {n for n, words in enumerate(split) if len(texts[k + n]) >= RUN_CHARS and max(map(len, words), default=0) >= RUN_CHARS}
+            for n in long:
+                split[n] = []
             if len(self.cache) > self.view.limit:
                 self.cache.clear()
             missing = set().union(*split).difference(self.cache)
             if missing:
                 self._learn(missing)
             get = self.cache.__getitem__
-            for words in split:
-                yield list(map(get, words))
+            for n, words in enumerate(split):
+                yield None if n in long else list(map(get, words))
 
 
 @lru_cache(maxsize=4)
@@ -326,46 +333,41 @@ def joined(path: str, segments: list[tuple[int, int, str, np.ndarray]]) -> np.nd
 # --- Spark --------------------------------------------------------------------------------------
 
 
-def has_long_run(text: str = "text"):
-    return (F.octet_length(text) >= RUN_CHARS) & F.col(text).rlike(_RUN)
+_SEGMENT = "row long, seq int, kind int, run int, piece string"
 
 
 def encode_then(docs: DataFrame, path: str, view: type, plain: Callable, whole: Callable, schema: str) -> DataFrame:
     """Rows made from each document's ids.
 
     ``plain(doc_id, views)`` makes a text's rows from the views of its words, ``whole(doc_id,
-    ids)`` from its ids; both yield tuples of ``schema``'s columns.
+    ids)`` from its ids; both yield tuples of ``schema``'s columns, ``doc_id`` first. One pass
+    over the texts gives the rows of most and the segments of those with long runs; it is
+    checkpointed, so neither part is made twice and segments keep their labels.
     """
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(schema).fieldNames()
+    result = StructType.fromDDL(schema)
+    mixed = StructType.fromDDL(f"{schema}, {_SEGMENT}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def batch(rows: list[tuple], like) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, like, strict=True)], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    like = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
+    def batch(rows: list[tuple], kind: StructType) -> pa.RecordBatch:
+        like = to_arrow_schema(kind)
+        columns = list(zip(*rows, strict=True)) or [[] for _ in like]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, like, strict=True)], names=like.names)
 
-    def encode_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path, view)
+        label = TaskContext.get().partitionId() << 40
+        none, blank = (None,) * 5, (None,) * (len(result) - 1)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for k in range(0, len(ids), 1024):
-                part = texts.slice(k, 1024).to_pylist()
-                rows = [r for i, views in zip(ids[k : k + 1024], encoder.encode(part), strict=True) for r in plain(i, views)]
-                yield batch(rows, like)
-
-    segment_schema = "row long, doc_id long, seq int, kind int, run int, piece string"
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, i, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                cols = list(zip(*((row, i, n, *s) for n, s in enumerate(cut(path, text))), strict=True))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["row", "doc_id", "seq", "kind", "run", "piece"])
+                part, rows = texts.slice(k, 1024).to_pylist(), []
+                for i, text, views in zip(ids[k : k + 1024], part, encoder.encode(part), strict=True):
+                    if views is None:
+                        rows += [(i, *blank, label, n, *s) for n, s in enumerate(cut(path, text))]
+                        label += 1
+                    else:
+                        rows += [(*r, *none) for r in plain(i, views)]
+                yield batch(rows, mixed)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,17 +377,12 @@ def encode_then(docs: DataFrame, path: str, view: type, plain: Callable, whole:
     def tree(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
         parts = [(k, r, p if k == LEAF else "", np.frombuffer(i, "<u4").astype(np.int64)) for k, r, p, i in zip(t["kind"].to_pylist(), t["run"].to_pylist(), t["piece"].to_pylist(), t["ids"].to_pylist(), strict=True)]
-        return pa.Table.from_batches([batch(list(whole(t["doc_id"][0].as_py(), joined(path, parts))), like)])
-
-    long = docs.where(has_long_run()).withColumn("row", F.monotonically_increasing_id())
-    # row numbers hold only within one evaluation, so what they label is written before it is dealt out
-    from .common import checkpointed
+        return pa.Table.from_batches([batch(list(whole(t["doc_id"][0].as_py(), joined(path, parts))), result)])
 
-    cut_rows = checkpointed(long.mapInArrow(segments, segment_schema))
-    joined_rows = (
-        cut_rows.repartition(F.col("row"), F.col("seq")).mapInArrow(leaves, segment_schema + ", ids binary").groupBy("row").applyInArrow(tree, schema)
-    )
-    return docs.where(~has_long_run()).mapInArrow(encode_plain, schema).unionByName(joined_rows)
+    both = checkpointed(docs.mapInArrow(first, mixed))
+    segments = both.where("kind is not null").select("doc_id", "row", "seq", "kind", "run", "piece")
+    encoded = segments.repartition(F.col("row"), F.col("seq")).mapInArrow(leaves, f"doc_id long, {_SEGMENT}, ids binary")
+    return both.where("kind is null").select(*result.names).unionByName(encoded.groupBy("row").applyInArrow(tree, result))
 
 
 def _digest(text: str) -> str:
