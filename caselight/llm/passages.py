@@ -34,6 +34,7 @@ from .common import checkpointed, parallelism
 
 #: Multiplier of the rolling hash and of its last mixing.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+LOW = np.uint64(0xFFFFFFFF)
 #: Numbers gathered before they are dealt out.
 FLUSH = 400_000
 
@@ -64,7 +65,7 @@ def buckets_for(spark: SparkSession) -> int:
 
 
 class Dealer:
-    """Gathers columns of numbers and packs them by bucket of the first column."""
+    """Gathers columns of numbers and packs them by bucket, which is the top bits of a hash."""
 
     def __init__(self, names: list[str], dtypes: list[str], buckets: int):
         self.names, self.dtypes, self.buckets = names, dtypes, buckets
@@ -72,9 +73,9 @@ class Dealer:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.held.append(columns)
-        self.size += len(columns[0])
+    def add(self, hashes: np.ndarray, *columns: np.ndarray) -> None:
+        self.held.append(((hashes >> self.shift).astype(np.int32), *columns))
+        self.size += len(hashes)
 
     def full(self) -> bool:
         return self.size >= FLUSH
@@ -82,9 +83,9 @@ class Dealer:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        columns = [np.concatenate([h[k] for h in self.held]).astype(t) for k, t in enumerate(self.dtypes)]
+        bucket, *columns = (np.concatenate([h[k] for h in self.held]) for k in range(len(self.names) + 1))
+        columns = [c.astype(t) for c, t in zip(columns, self.dtypes, strict=True)]
         self.held, self.size = [], 0
-        bucket = (columns[0].view(np.uint64) >> self.shift).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         used, starts = np.unique(bucket[order], return_index=True)
         ends = [*starts[1:].tolist(), len(order)]
@@ -114,12 +115,19 @@ def _by_row(keys: list[np.ndarray], places: np.ndarray, names: list[str]) -> pa.
     return pa.table({**{n: pa.array(k[starts]) for n, k in zip(names, keys, strict=False)}, names[-1]: pa.array(blobs, pa.binary())})
 
 
-ANCHORS = (["hash", "text_key", "place"], ["<u8", "<i8", "<i4"])
+#: An anchor's hash is its bucket and 40 bits more: what two texts share by chance is few, and no
+#: more than a suspect.
+ANCHORS = (["low", "high", "text_key", "place"], ["<u4", "u1", "<i8", "<i4"])
+
+
+def anchor_hashes(bucket: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (np.int64(bucket) << np.int64(40)) | (high.astype(np.int64) << np.int64(32)) | low.astype(np.int64)
 
 
 def shared_anchors(t: pa.Table) -> pa.Table:
     """Of a bucket of anchors, those whose hash two texts have."""
-    h, key, place = unpacked(t, *ANCHORS)
+    low, high, key, place = unpacked(t, *ANCHORS)
+    h = anchor_hashes(0, low, high)
     order = np.lexsort((key, h))
     h, key, place = h[order], key[order], place[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -173,7 +181,8 @@ def repeated(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray], anchor
                     continue
                 hashes = rolled(words, anchor)
                 at = choose(hashes)
-                dealer.add(hashes[at], np.full(len(at), key, np.int64), at)
+                chosen = hashes[at]
+                dealer.add(chosen, chosen & LOW, (chosen >> np.uint64(32)) & np.uint64(255), np.full(len(at), key, np.int64), at)
                 if dealer.full():
                     yield from dealer.rows()
         yield from dealer.rows()
@@ -207,7 +216,8 @@ def repeated(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray], anchor
                 marks[at[at < len(a)] + 1] = 1
                 marks = np.cumsum(marks)
                 start = np.flatnonzero(marks[np.minimum(np.arange(n) + reach, len(a))] > marks[:n])
-                dealer.add(rolled(a, window)[start], (rolled(c, window)[start] >> np.uint64(32)), np.full(len(start), doc, np.int64), np.full(len(start), key, np.int64), start)
+                hashes = rolled(a, window)[start]
+                dealer.add(hashes, hashes, (rolled(c, window)[start] >> np.uint64(32)), np.full(len(start), doc, np.int64), np.full(len(start), key, np.int64), start)
                 if dealer.full():
                     yield from dealer.rows()
         yield from dealer.rows()

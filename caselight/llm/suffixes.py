@@ -65,8 +65,9 @@ def sorted_neighbours(dealt: DataFrame, buckets: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, key, place = passages.unpacked(pa.Table.from_batches([b]), names, dtypes)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(place)], names=["suffix", "text_key", "place"])
+            for r in range(b.num_rows):
+                low, high, key, place = passages.unpacked(pa.Table.from_batches([b.slice(r, 1)]), names, dtypes)
+                yield pa.RecordBatch.from_arrays([pa.array(passages.anchor_hashes(b.column("bucket")[r].as_py(), low, high)), pa.array(key), pa.array(place)], names=["suffix", "text_key", "place"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), schema=pa.schema([("suffix", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32())]))
