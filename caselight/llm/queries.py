@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, pii, quality, simhash, substring, suffixes, topk
+from . import bpe, html_blocks, lines, packing, pii, quality, simhash, substring, suffixes, topk
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.extract(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lines": op6_lines,
     "op7_suffixes": op7_suffixes,
     "op8_substring": op8_substring,
+    "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
 
