@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import q_cases
+
+QUERIES: dict = {**q_cases.QUERIES}
+SQL: dict[str, str] = {**q_cases.SQL}
