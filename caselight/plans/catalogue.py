@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_cases
+from . import q_cases, q_review
 
-QUERIES: dict = {**q_cases.QUERIES}
-SQL: dict[str, str] = {**q_cases.SQL}
+_MODULES = (q_cases, q_review)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
