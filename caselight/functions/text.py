@@ -49,10 +49,15 @@ def clean_value(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(text_of(c), r"\s+", " "), r"[:|]+$", ""))
 
 
+def first_filled(*found: Column) -> Column:
+    """The first that is not empty, else empty; names each only once, so that nested uses do not
+    multiply the expression."""
+    return F.coalesce(F.get(F.filter(F.array(*found), lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
 def first_match(c: Column, patterns: list[str], group: int = 1) -> Column:
     """The first pattern's group that is not empty, cleaned; else empty."""
-    found = [F.nullif(clean_value(F.regexp_extract(c, p, group)), F.lit("")) for p in patterns]
-    return F.coalesce(*found, F.lit(""))
+    return first_filled(*[clean_value(F.regexp_extract(c, p, group)) for p in patterns])
 
 
 def exact_string(c: Column) -> Column:
