@@ -72,4 +72,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"'[\x20\x09-\x0D]+'"
+#: Words of each document with their positions, from 1.
+_WORDS = rf"w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {_SPACE}), lambda x: x <> '') AS words FROM documents)"
+
+
+def _windows(size: int) -> str:
+    """Windows that also start in a smaller document: ``doc_id, i, first``."""
+    return f"""{_WORDS}, x AS (SELECT doc_id, unnest(range(1, len(words) - {size - 2})) AS i, words FROM w WHERE len(words) >= {size}),
+h AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + {size - 1}], ' ')) AS h FROM x), f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY 1),
+gone AS (SELECT doc_id, i, first FROM h JOIN f USING (h) WHERE doc_id > first)"""
+
+
+SQL: dict[str, str] = {
+    "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10""",
+    "op6_lines": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, last IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1""",
+    "op7_suffixes": f"""WITH {_windows(suffixes.WINDOW)},
+o AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffixes.WINDOW} THEN 0 ELSE 1 END AS new FROM gone),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o)
+SELECT doc_id, min(i) - 1 AS start_word, max(i) - min(i) + {suffixes.WINDOW} AS n_words, arg_min(first, i) AS first_doc_id FROM p GROUP BY doc_id, span""",
+    "op8_substring": f"""WITH {_windows(substring.WINDOW)}, c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS j FROM gone),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS j, unnest(words) AS word FROM w),
+m AS (SELECT p.*, c.j IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.j = c.j),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY 1)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)""",
+}
