@@ -21,7 +21,7 @@ def extracted(stream: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per tumbling window; rows later than the watermark are dropped and state is freed."""
-    return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
 _STATE = "seen long, outcomes array<string>"
