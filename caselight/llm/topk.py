@@ -141,10 +141,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     chunks = checkpointed(_pack(ordered.select("vec_id", "v"), CHUNK))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     batches = checkpointed(_pack(asked, BATCH))
-    met = batches.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"), F.lit(1).alias("one"))
-    numbers = chunks.select(F.col("number").alias("to"))
-    # each batch is addressed to each chunk: a stated query set against all rows, in blocks
-    addressed = met.join(numbers.groupBy().agg(F.collect_list("to").alias("all")).withColumn("one", F.lit(1)), "one").select("q_ids", "q_data", "q_width", F.explode("all").alias("to"))
+    # each batch is addressed to each bucket of chunks, of which there are as many as chunks: a
+    # stated query set against all rows, in blocks
+    buckets = max(1, chunks.count())
+    bucket = F.pmod(F.xxhash64("number"), F.lit(buckets)).alias("bucket")
+    addressed = batches.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("to"))
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -155,7 +156,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 row, found, points, _ = search(q_ids, q, ids, d, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(found), pa.array(points)], names=["query_id", "vec_id", "score"])
 
-    local = chunks.join(addressed, chunks["number"] == addressed["to"]).select("ids", "data", "q_ids", "q_data").mapInArrow(score, "query_id long, vec_id long, score long")
+    kept = chunks.select("ids", "data", bucket)
+    local = kept.join(addressed, kept["bucket"] == addressed["to"]).select("ids", "data", "q_ids", "q_data").mapInArrow(score, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
