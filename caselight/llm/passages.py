@@ -150,7 +150,7 @@ def later_windows(t: pa.Table) -> pa.Table:
     return _by_row([doc[later], key[later], first[later]], start[later], ["doc_id", "text_key", "first_doc_id", "starts"])
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -193,7 +193,7 @@ def repeated(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray], anchor
     else:
         shared = find(dealt, buckets)
     shared = checkpointed(shared)
-    _release(spark)
+    release(spark)
 
     rows = checkpointed(docs.where("doc_id is not null").select("doc_id", "text_key", "text_check", F.octet_length("data").alias("size")))
     texts = checkpointed(rows.where(F.col("size") >= 2 * window - 1).groupBy("text_key", "text_check").agg(F.min("doc_id").alias("first_doc_id")))
@@ -225,7 +225,7 @@ def repeated(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray], anchor
     found = docs.join(spots, (docs["doc_id"] == spots["spot_doc"]) & (docs["text_key"] == spots["spot_key"])).select("doc_id", "text_key", "data", "places")
     later = found.mapInArrow(windows, Dealer(*WINDOWS, buckets).schema).groupBy("bucket").applyInArrow(later_windows, "doc_id long, text_key long, first_doc_id long, starts binary")
     out = checkpointed(later.select("*", F.lit(False).alias("copy")).unionByName(copies))
-    _release(spark)
+    release(spark)
     return out
 
 

@@ -45,6 +45,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words, joined by a space, as ``text``, and ``n_words`` and
     ``n_removed``."""
     gone = removed_windows(passages.prepared(docs))
+    passages.release(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
