@@ -59,18 +59,26 @@ def line_key(line):
     return lower(line.strip(SPACE))
 
 
-def lines(rows):
+def repeated_keys(rows):
     holders = defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
             if i is not None and len(line_key(line)) >= 20:
                 holders[line_key(line)].add(i)
-    gone = {k: max(v) for k, v in holders.items() if len(v) >= 3}
-    out = []
-    for i, t in rows:
-        all_lines = (t or "").split("\n")
-        kept = [x for x in all_lines if i is None or line_key(x) not in gone or gone[line_key(x)] == i]
-        out.append((i, len(all_lines), len(all_lines) - len(kept), sha("\n".join(kept))))
+    return {k: max(v) for k, v in holders.items() if len(v) >= 3}
+
+
+def without_lines(rows):
+    gone = repeated_keys(rows)
+    return [(i, "\n".join(x for x in (t or "").split("\n") if i is None or line_key(x) not in gone or gone[line_key(x)] == i)) for i, t in rows]
+
+
+def lines(rows):
+    out, gone = [], repeated_keys(rows)
+    for (i, t), (_, kept) in zip(rows, without_lines(rows)):
+        n = (t or "").split("\n")
+        dropped = sum(1 for x in n if i is not None and line_key(x) in gone and gone[line_key(x)] != i)
+        out.append((i, len(n), dropped, sha(kept)))
     return out
 
 

@@ -1,4 +1,12 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
+from caselight.llm import bpe, quality
+from tests.llm import brute
+from tests.llm.test_pii import plain
+from tests.llm.test_topk_quality import brute_quality
 
 
 def test_stages(spark, tmp_path):
@@ -22,3 +30,52 @@ def test_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def features(text):
+    n, chars, symbols, dups, repeats, failed = brute_quality(text)
+    lines = sum(1 for x in text.split("\n") if x.strip(brute.SPACE))
+    return {
+        "n_words": n,
+        "symbol_share": symbols / max(chars, 1),
+        "mean_word": chars / max(n, 1),
+        "dup_line_share": dups / max(lines, 1),
+        "repeat_share": repeats / max(n, 1),
+        "upper_share": sum("A" <= c <= "Z" for c in text) / max(chars, 1),
+        "mark_share": sum(c in quality._MARKS for c in text) / max(chars, 1),
+    }, failed
+
+
+def masked(text):
+    out, at = [], 0
+    for kind, a, b in sorted(plain(text), key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_rows_are_those_of_plain_stages(spark):
+    """Every stage but the rules' learning and the choice of sequences, in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    judged = [(i, t, *features(t)) for i, t in rows]
+    rows = [(i, t) for i, t, f, failed in judged if not failed and not any(all(c.holds(f) for c in rule) for rule in rules)]
+    rows = brute.without_lines(rows)
+    rows = [(i, t) for (i, t), (_, _, c) in zip(sorted(rows), brute.simhash(sorted(rows))) if i == c]
+    rows = [(i, masked(t)) for i, t in rows]
+    want = []
+    for i, t in rows:
+        ids = bpe.tokenizer(bpe.default_vocabulary()).encode(t, add_special_tokens=False).ids + [2]
+        for a in range(0, len(ids), 4096):
+            part = ids[a : a + 4096]
+            want.append((i, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == sorted(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
