@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_cases, q_review, q_text
+from . import q_cases, q_forms, q_review, q_text
 
-_MODULES = (q_cases, q_review, q_text)
+_MODULES = (q_cases, q_review, q_text, q_forms)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
