@@ -36,7 +36,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REPEATS = frozenset("p li dt dd tr td th option".split())
 #: Parts of class, id and role names that tell what an element is for.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|more|trending|popular|tags?|meta|byline|pagination|pager|toolbar|search|form|copyright|legal|disclaimer|skip|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|trending|popular|pagination|pager|toolbar|search|form|copyright|legal|disclaimer|skip|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|responses|discussion|disqus|feedback|reviews?|guestbook)(?:$|[\s_-])", re.IGNORECASE)
@@ -60,10 +60,13 @@ class Block:
     main: bool
 
 
-def _flags(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(furniture, remark, article, main) that an element says of itself."""
+def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+    """(furniture, remark, article, main) that an element says of itself; ``inside`` an article a
+    header is the article's own."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
-    furniture = tag in ("nav", "footer", "aside", "form", "menu", "dialog", "figcaption", "address") or tag not in ("article", "main", "body", "html") and bool(names and FURNITURE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
+    if inside:
+        names = re.sub("header|masthead", "", names, flags=re.IGNORECASE)
+    furniture = tag in ("nav", "footer", "aside", "form", "menu", "dialog") or tag not in ("article", "main", "body", "html") and bool(names and FURNITURE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
     return furniture, bool(names and REMARKS.search(names)), tag == "article", tag == "main" or bool(names and tag not in ("body", "html") and MAIN.search(names))
 
 
@@ -135,10 +138,12 @@ def blocks(page: str) -> list[Block]:
             if tag in REPEATS and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
         around = stack[-1][1:] if stack else (False,) * 4
-        furniture, remark, article, main = _flags(tag, m[3])
+        furniture, remark, article, main = _flags(tag, m[3], around[2])
         if tag == "header" and not around[2]:
             furniture = True
-        # what is in an article counts as its own part, unless it says otherwise itself
+        if tag in ("article", "main") and around[0] and not any(x[0] in ("nav", "footer", "aside") for x in stack):
+            # a form or a "sidebar" layout around the whole page says nothing of its article
+            around = (False, *around[1:])
         stack.append((tag, around[0] or furniture, around[1] or remark or (article and around[2]), around[2] or article, around[3] or main))
         state["link"] += tag == "a"
         state["skip"] += tag in SKIPPED
@@ -146,7 +151,7 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "furniture", "remark", "article", "main", "page_article", "page_main", "longest_before", "longest_after")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "furniture", "remark", "article", "main", "page_article", "page_main", "longest_before", "longest_after", "outside")
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -156,12 +161,15 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     page_article, page_main = float(any(b.article for b in found)), float(any(b.main for b in found))
     out = []
     for k, b in enumerate(found):
+        # the page marks its article (or else its main part), and the block is not in it
+        outside = not b.article if page_article else bool(page_main) and not b.main
         out.append((
             words[k], density[k],
             words[k - 1] if k else 0.0, density[k - 1] if k else 0.0,
             words[k + 1] if k + 1 < len(found) else 0.0, density[k + 1] if k + 1 < len(found) else 0.0,
             float(b.heading), float(b.item), float(b.furniture), float(b.remark), float(b.article), float(b.main),
             page_article, page_main, max(quiet[max(0, k - 3) : k], default=0.0), max(quiet[k + 1 : k + 4], default=0.0),
+            float(outside),
         ))
     return out
 
@@ -188,6 +196,7 @@ _PARTS = {
     "footer": ("<footer>{}</footer>", "words", 4, 30, 0),
     "foot": ('<div id="footer"><p>{}</p></div>', "words", 4, 30, 0),
     "related": ('<div class="related">{}</div>', "links", 3, 8, 0),
+    "bare": ("<div><p>{}</p></div>", "words", 4, 80, 0),
     "h1": ("<h1>{}</h1>", "words", 2, 12, 1),
     "h2": ("<h2>{}</h2>", "words", 1, 8, 1),
     "p": ("<p>{}</p>", "words", 15, 150, 1),
@@ -223,9 +232,11 @@ def labelled_pages(pages: int = 400, seed: int = 11) -> list[tuple[str, list[tup
                 body.append(shape.format(" ".join(words)))
                 labels.append((" ".join(words), bool(label)))
 
-        for name in _BEFORE[n % len(_BEFORE)]:
-            put(name)
         start, stop = _WRAP[r.randrange(len(_WRAP))]
+        # only where the page says where its article is can bare text elsewhere be told from it
+        bare = ["bare"] if start in ("<article>", "<main>") and r.random() < 0.4 else []
+        for name in _BEFORE[n % len(_BEFORE)] + bare:
+            put(name)
         body.append(start)
         inside = [*_INSIDE[r.randrange(len(_INSIDE))]]
         for name in _BETWEEN[r.randrange(len(_BETWEEN))]:
@@ -233,7 +244,7 @@ def labelled_pages(pages: int = 400, seed: int = 11) -> list[tuple[str, list[tup
         for name in inside:
             put(name)
         body.append(stop)
-        for name in _AFTER[r.randrange(len(_AFTER))]:
+        for name in bare + _AFTER[r.randrange(len(_AFTER))]:
             put(name)
         out.append(("<html><body>" + "".join(body) + "</body></html>", labels))
     return out

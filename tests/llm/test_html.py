@@ -32,6 +32,7 @@ def test_odd_pages(spark):
         (5, "u", f"<nav><a href=x>Home</a> <a href=y>News</a></nav><div class='entry'><p>{story}<br>more<p>{story}</div><div id=comments><p>{story}</p></div><script>if (a < b) '</p>'</script><style>p{{}}</style>"),
         (6, "u", f"<!-- x --><article><p>{story}</p><section class='comment-list'><p>{story}</p></section></article><form><p>{story}</p></form>"),
         (7, "u", "<" * 1000 + "<div" * 1000),
+        (8, "u", f"<form id=aspnetForm><div>{story}</div><article><header><h1>Head line</h1></header><p>{story}</p><figure><figcaption>A caption.</figcaption></figure></article><div><p>{story}</p></div></form>"),
         (7, "u", f"<body class='sidebar-left'><div class='cookie-notice'>{story}</div><h1>Head</h1><p>A \n b</p>"),
     ]
     df = spark.createDataFrame([(i, u, h, "x") for i, u, h in pages], "page_id long, url string, html string, text string")
@@ -39,5 +40,6 @@ def test_odd_pages(spark):
     assert out[:2] == ["", ""] and out[2] == story and out[3] == f"{story} no markup & no <tags>"
     assert out[4] == f"{story} more\n\n{story}"
     assert out[5] == story
-    assert out[7] == "Head\n\nA b"
+    assert out[7] == f"Head line\n\n{story}\n\nA caption."
+    assert out[8] == "Head\n\nA b"
     assert html_blocks.extract(df.where("false")).count() == 0
