@@ -207,7 +207,7 @@ def synthetic_cases(spark, sf):
 
 _NARRATIVE = "Patient received Warfarin and was reported bleeding after exposure to Warfarin."
 MACHINE = f"""Page 2
-ADRA_MACHINE_READABLE_ADR
+{extraction.MARKER}
 Patient_Token: PATIENT_TKN_1
 Patient_Initials: A.B.
 Patient_Age: 54
