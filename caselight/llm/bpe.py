@@ -108,7 +108,7 @@ class TextView:
     """Of a word: its ids in decimal and its tokens, each joined by a space."""
 
     #: Words in a worker's cache; it is emptied when full.
-    limit = 400_000
+    limit = 300_000
 
     def __init__(self, path: str):
         vocab = tokenizer(path).get_vocab(with_added_tokens=True)
@@ -128,7 +128,7 @@ class TextView:
 class ByteView:
     """Of a word: its ids as little-endian unsigned 32-bit numbers."""
 
-    limit = 1_000_000
+    limit = 500_000
 
     def __init__(self, path: str):
         pass
