@@ -426,6 +426,13 @@ def sentence_diff(spark, sf):
     return a.join(b, "doc_id").select("doc_id", F.array_join(docs_ops.only_in(F.col("after"), F.col("text")), "|").alias("added"))
 
 
+@query("sentence_changes")
+def sentence_changes(spark, sf):
+    """Documents of every length, both ways; tests compare it with a plain version."""
+    a = documents(spark, sf)
+    return docs_ops.sentence_changes(a, a.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
+
+
 @query("token_jaccard", f"SELECT doc_id, {r('(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))))', 3)} AS similarity FROM (SELECT a.doc_id, list_distinct({toks('a.text')}) AS x, list_distinct({toks('b.text')}) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) WHERE len(x) + len(y) > 0")
 def token_jaccard(spark, sf):
     a = documents(spark, sf).select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("x"))
