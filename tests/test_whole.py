@@ -3,15 +3,18 @@
 import re
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from caselight.functions import text
 from caselight.operators import documents
 from caselight.plans import catalogue
+from caselight.plans.cases import cases
 
 SF = "/root/testdata/sf0.001"
 
 
-def split(text):
-    return [x for s in re.sub(r"([.!?])[ \t\n\x0b\f\r]+", "\\1\x01", text).split("\x01") if len(x := s.strip(" \t\n\x0b\f\r")) > 10]
+def split(words):
+    return [x for s in re.sub(r"([.!?])[ \t\n\x0b\f\r]+", "\\1\x01", words).split("\x01") if len(x := s.strip(" \t\n\x0b\f\r")) > 10]
 
 
 def only(a, b):
@@ -32,3 +35,10 @@ def test_sentence_changes_small(spark):
     b = spark.createDataFrame([(1, "BOTH have this one. New words stand here. New words stand here."), (2, "Something at last.")], "doc_id long, text string")
     got = sorted(map(tuple, documents.sentence_changes(a, b).collect()))
     assert got == [(1, "New words stand here.|New words stand here.", "Old words stand here."), (2, "Something at last.", "")]
+
+
+def test_naive_bayes_takes_every_case(spark):
+    every = cases(spark, SF)
+    assert catalogue.QUERIES["nb_score_all"](spark, SF).select("case_key").distinct().count() == every.count()
+    words = every.select(F.explode(text.tokens(F.col("narrative"))).alias("token")).distinct()
+    assert words.join(catalogue.QUERIES["nb_train_all"](spark, SF), "token", "left_anti").count() == 0
