@@ -535,6 +535,16 @@ def nb_score_all(spark, sf):
     return severity.nb_score(rows, model, "case_key", "narrative").select("case_key", "confidence")
 
 
+@query("severity_cascade_models")
+def severity_cascade_models(spark, sf):
+    """All five tiers, with both models trained on all labelled cases."""
+    c = cases(spark, sf)
+    words = F.concat_ws(" ", *[text.text_of(x) for x in ("seriousness", "outcome", "narrative", "reaction")])
+    rows = c.select("case_key", words.alias("words"), severity.mapped(F.col("seriousness"), severity.SERIOUSNESS_CLASS).alias("class"))
+    nb = severity.nb_score(rows, severity.nb_train(rows.where("class is not null"), "class", "words"), "case_key", "words")
+    return severity.cascade(c, nb, lr=severity.lr_results(rows, "case_key", "class", "words"))
+
+
 _IDF = [("rash", 1.5), ("fatal", 2.0), ("rash fatal", 3.0)]
 _COEF = [("death", "fatal", 2.0), ("death", "rash", -1.0), ("others", "rash", 1.0), ("others", "rash fatal", -2.0), ("others", "fatal", 0.0), ("death", "rash fatal", 0.5)]
 

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from caselight.functions import text
-from caselight.operators import documents
+from caselight.operators import documents, severity
 from caselight.plans import catalogue
 from caselight.plans.cases import cases
 
@@ -42,3 +42,19 @@ def test_naive_bayes_takes_every_case(spark):
     assert catalogue.QUERIES["nb_score_all"](spark, SF).select("case_key").distinct().count() == every.count()
     words = every.select(F.explode(text.tokens(F.col("narrative"))).alias("token")).distinct()
     assert words.join(catalogue.QUERIES["nb_train_all"](spark, SF), "token", "left_anti").count() == 0
+
+
+def test_cascade_asks_regression_before_bayes(spark):
+    rows = spark.createDataFrame([(k, "Unknown", "", "admitted", "") for k in (1, 2, 3, 4)] + [(5, "Death", "", "", "")], "case_key int, seriousness string, outcome string, narrative string, reaction string")
+    model = "case_key int, class string, confidence double"
+    lr = spark.createDataFrame([(1, "death", 0.55), (2, "death", 0.5499), (3, "death", 0.3), (5, "others", 0.9)], model)
+    nb = spark.createDataFrame([(1, "others", 0.99), (2, "disability", 0.6), (3, "disability", 0.599), (5, "others", 0.9)], model)
+    got = sorted(map(tuple, severity.cascade(rows, nb, lr=lr).collect()))
+    assert got == [(1, "death", "logistic-regression-ml", 0.55), (2, "disability", "naive-bayes", 0.6), (3, "hospitalisation", "text-pattern", 0.8), (4, "hospitalisation", "text-pattern", 0.8), (5, "death", "seriousness-label-map", 0.95)]
+
+
+def test_cascade_query_asks_the_models(spark):
+    got = catalogue.QUERIES["severity_cascade_models"](spark, SF)
+    basis = {r["basis"]: r["count"] for r in got.groupBy("basis").count().collect()}
+    assert sum(basis.values()) == cases(spark, SF).count()
+    assert basis["logistic-regression-ml"] > 0
