@@ -1,8 +1,10 @@
 """BPE encoding and decoding with a published vocabulary, exact to the ``tokenizers`` library.
 
 Common path. The vocabulary's pre-tokeniser never joins across white space, so a text's ids are
-the ids of its words in order. Each Python worker keeps a bounded cache from word to result;
-only words that are not in it reach the library, in batches.
+the ids of its words in order. A batch of texts is split into words, and its distinct words into
+letters and the punctuation after them, in Arrow. Each task keeps a bounded store of pieces and
+their ids as flat columns; only pieces that it lacks reach the library, in batches. Ids are put
+together by the pieces' numbers, in numpy: no Python runs per word.
 
 Long unsplit text (a run of ``RUN_CHARS`` or more without white space) goes by tree
 concatenation. The run's pre-tokens are cut into leaves, which Spark deals out and encodes in
@@ -27,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +42,17 @@ from .common import checkpointed
 RUN_CHARS = 4096
 #: Code points in a leaf.
 LEAF_CHARS = 2048
-#: Texts whose unknown words go to the library together.
-TEXTS_AT_ONCE = 32
+#: Bytes of the texts whose words are numbered together (a longer text goes alone).
+BYTES_AT_ONCE = 1 << 23
+#: Pieces in a task's store; the older half goes when it is full.
+STORED = 400_000
 
 #: White space as the vocabulary's normaliser has it.
 _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Texts without these characters may be put in lower case before the library sees them.
+#: Words without these characters may be put in lower case before the library sees them.
 _KEEP_CASE = re.compile("[^\x00-įı-˿]")
-_PLAIN_WORD = re.compile("([a-zà-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+_PLAIN_WORD = "^(?P<a>[a-zà-öø-ÿ]+)(?P<b>[!-/:-@\\[-`{-~]*)$"
 
 
 def default_vocabulary() -> str:
@@ -56,11 +61,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def words_of(text: str) -> list[str]:
-    """Maximal runs without white space, in lower case where that can't change the ids."""
-    if _KEEP_CASE.search(text) is None:
-        text = text.lower()
-    return text.split() if _ODD_SPACE.search(text) is None else _WORD.findall(text)
+def resolved(path: str | None) -> str:
+    """The vocabulary's file where this runs: packages need not be in the same place everywhere."""
+    return path or default_vocabulary()
+
+
+def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Maximal runs without white space, of all texts in order, and where each text's begin."""
+    if pc.any(pc.match_substring_regex(texts, _ODD_SPACE.pattern)).as_py():
+        found = [_WORD.findall(t) for t in texts.to_pylist()]
+        return pa.array([w for words in found for w in words], pa.string()), np.cumsum([0, *map(len, found)])
+    lists = pc.utf8_split_whitespace(texts)
+    words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not some.all():
+        words, offsets = words.filter(pa.array(some)), np.r_[0, np.cumsum(some)][offsets]
+    return words, offsets
 
 
 @lru_cache(maxsize=4)
@@ -104,96 +121,120 @@ def _token_bytes(path: str) -> np.ndarray:
     return out
 
 
-class TextView:
-    """Of a word: its ids in decimal and its tokens, each joined by a space."""
-
-    #: Words in a worker's cache; it is emptied when full.
-    limit = 300_000
-
-    def __init__(self, path: str):
-        vocab = tokenizer(path).get_vocab(with_added_tokens=True)
-        self.number = [str(i) for i in range(max(vocab.values()) + 1)]
-        self.token = [""] * len(self.number)
-        for token, i in vocab.items():
-            self.token[i] = token
-
-    def views(self, ids: list[int], bounds: list[int]) -> list[tuple[str, str]]:
-        numbers, tokens = [self.number[i] for i in ids], [self.token[i] for i in ids]
-        return [(" ".join(numbers[a:b]), " ".join(tokens[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def add(self, a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
-        return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+class Store:
+    """Strings and their ids, as flat columns."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.keys = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def places(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Start in ``ids`` and number of ids of each word; those not yet here are learned."""
+        numbered = words.dictionary_encode()
+        distinct = numbered.dictionary
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.keys) + len(new) > STORED:
+                half = len(self.keys) // 2
+                self.ids, self.sizes = self.ids[self.sizes[:half].sum() :], self.sizes[half:]
+                self.keys = pa.concat_arrays([self.keys.slice(half)])
+                at = pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy().astype(np.int64)
+                new = np.flatnonzero(at < 0)
+            unknown = distinct.take(pa.array(new))
+            ids, sizes = self.learn(unknown.to_pylist())
+            at[new] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, unknown])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(self.sizes) - self.sizes
+        at = at[numbered.indices.to_numpy()]
+        return starts[at], self.sizes[at]
 
 
-class ByteView:
-    """Of a word: its ids as little-endian unsigned 32-bit numbers."""
-
-    limit = 500_000
+class WordEncoder:
+    """Encodes texts word by word."""
 
     def __init__(self, path: str):
-        pass
-
-    def views(self, ids: list[int], bounds: list[int]) -> list[bytes]:
-        data = np.array(ids, "<u4").tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def add(self, a: bytes, b: bytes) -> bytes:
-        return a + b
+        self.tok, self.tokens = tokenizer(path), _word_tokenizer(path)
+        self.last = _word_ends(path)
+        self.letters, self.marks, self.others = Store(self._pieces), Store(self._pieces), Store(self._others)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # each piece's last id is one that ends a word
+        lines = [pieces[k : k + 512] for k in range(0, len(pieces), 512)]
+        found = self.tokens.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary doesn't mark where words end")
+        return ids, np.diff(ends, prepend=0)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def _distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        # letters and the punctuation after them are separate pre-tokens that no normaliser changes
+        low = pc.if_else(pc.match_substring_regex(words, _KEEP_CASE.pattern), words, pc.utf8_lower(words))
+        split = pc.extract_regex(low, _PLAIN_WORD)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        none = pc.fill_null(pc.equal(pc.struct_field(split, "b"), ""), True).to_numpy(zero_copy_only=False)
+        rows = (np.flatnonzero(plain), np.flatnonzero(~none), np.flatnonzero(~plain))
+        parts = (pc.struct_field(split, "a"), pc.struct_field(split, "b"), words)
+        # a word's letters, or else all of it, then its marks
+        starts, sizes, flat, held = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64), [], 0
+        for store, part, at, k in zip((self.letters, self.marks, self.others), parts, rows, (0, 1, 0), strict=True):
+            if len(at):
+                place, size = store.places(part.take(pa.array(at)))
+                starts[at, k], sizes[at, k] = held + place, size
+                flat.append(store.ids)
+                held += len(store.ids)
+        return gathered(np.concatenate(flat), starts.ravel(), sizes.ravel()) if flat else np.zeros(0, "<u4"), sizes.sum(axis=1)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' ids, in order; where each text's begin, and the last end; and which texts have
+        a long run (these have no ids here)."""
+        words, offsets = words_of(texts)
+        runs = np.flatnonzero(pc.greater_equal(pc.binary_length(words), RUN_CHARS).to_numpy(zero_copy_only=False))
+        runs = runs[pc.utf8_length(words.take(pa.array(runs))).to_numpy() >= RUN_CHARS]
+        long = np.zeros(len(texts), bool)
+        if len(runs):
+            long[np.searchsorted(offsets, runs, "right") - 1] = True
+            keep = ~np.repeat(long, np.diff(offsets))
+            words, offsets = words.filter(pa.array(keep)), np.r_[0, np.cumsum(keep)][offsets]
+        numbered = words.dictionary_encode()
+        flat, size = self._distinct(numbered.dictionary)
+        codes = numbered.indices.to_numpy()
+        sizes = size[codes]
+        return gathered(flat, (np.cumsum(size) - size)[codes], sizes), np.r_[0, np.cumsum(sizes)][offsets], long
 
 
-class WordEncoder:
-    """Word by word encoding; the view says what is kept of a word's ids."""
-
-    def __init__(self, path: str, view: type):
-        self.tok, self.pieces, self.view = tokenizer(path), _word_tokenizer(path), view(path)
-        self.last = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values()) + 1, bool)
-        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
-            self.last[i] = token.endswith("</w>")
-        self.cache: dict[str, object] = {}
-        self.parts: dict[str, object] = {"": None}
-
-    def _learn(self, words: Iterable[str]) -> None:
-        if len(self.parts) > self.view.limit:
-            self.parts = {"": None}
-        parts, split, others = self.parts, {}, []
-        for w in words:
-            if m := _PLAIN_WORD.fullmatch(w):
-                split[w] = m.groups()
-            else:
-                others.append(w)
-        # letters and the punctuation after them are separate pre-tokens that no normaliser changes,
-        # and each pre-token's last id is one that ends a word
-        new = list({p for ps in split.values() for p in ps if p not in parts})
-        lines = [new[k : k + 512] for k in range(0, len(new), 512)]
-        for line, e in zip(lines, self.pieces.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = e.ids
-            bounds = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            parts.update(zip(line, self.view.views(ids, bounds), strict=True))
-        add = self.view.add
-        self.cache.update((w, add(parts[a], parts[b]) if b else parts[a]) for w, (a, b) in split.items())
-        for w, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.cache[w] = self.view.views(e.ids, [0, len(e.ids)])[0]
-
-    def encode(self, texts: list[str]) -> Iterator[list | None]:
-        """For each text the views of its words, or None if it has a long run."""
-        for k in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [words_of(t) for t in texts[k : k + TEXTS_AT_ONCE]]
-            long = {n for n, words in enumerate(split) if len(texts[k + n]) >= RUN_CHARS and max(map(len, words), default=0) >= RUN_CHARS}
-            for n in long:
-                split[n] = []
-            if len(self.cache) > self.view.limit:
-                self.cache.clear()
-            missing = set().union(*split).difference(self.cache)
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            for n, words in enumerate(split):
-                yield None if n in long else list(map(get, words))
+@lru_cache(maxsize=4)
+def _word_ends(path: str) -> np.ndarray:
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
+        out[i] = token.endswith("</w>")
+    return out
 
 
-@lru_cache(maxsize=4)
-def word_encoder(path: str, view: type) -> WordEncoder:
-    return WordEncoder(path, view)
+def parts_of(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BYTES_AT_ONCE``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+        yield at, end
+        at = end
 
 
 # --- tree concatenation -------------------------------------------------------------------------
@@ -224,7 +265,9 @@ def _at_character(data: bytes, at: int, step: int) -> int:
 def _agreed(half: Node, window: Node, before: int | None, after: int | None) -> tuple[int, int] | None:
     """Indexes (in half, in window) of a token that both have at the same bytes; the window's own
     edges count as agreed where they are the half's edges."""
-    key = {(int(s), int(e), int(i)): n for n, (s, e, i) in enumerate(zip(half.starts, half.ends, half.ids, strict=True)) if s >= window.lo and e <= window.hi}
+    starts = half.starts
+    near = range(int(np.searchsorted(starts, window.lo)), int(np.searchsorted(half.ends, window.hi, "right")))
+    key = {(int(starts[n]), int(half.ends[n]), int(half.ids[n])): n for n in near}
     tokens = list(enumerate(zip(window.starts, window.ends, window.ids, strict=True)))
     for n, (s, e, i) in reversed(tokens) if before is not None else tokens:
         if (before is None or e <= before) and (after is None or s >= after):
@@ -336,48 +379,54 @@ def joined(path: str, segments: list[tuple[int, int, str, np.ndarray]]) -> np.nd
 _SEGMENT = "row long, seq int, kind int, run int, piece string"
 
 
-def encode_then(docs: DataFrame, path: str, view: type, plain: Callable, whole: Callable, schema: str) -> DataFrame:
+def encode_then(docs: DataFrame, path: str | None, rows: Callable[[list, np.ndarray, np.ndarray], list], schema: str) -> DataFrame:
     """Rows made from each document's ids.
 
-    ``plain(doc_id, views)`` makes a text's rows from the views of its words, ``whole(doc_id,
-    ids)`` from its ids; both yield tuples of ``schema``'s columns, ``doc_id`` first. One pass
-    over the texts gives the rows of most and the segments of those with long runs; it is
+    ``rows(doc_ids, ids, bounds)`` makes the columns of the rows of some texts: text ``k`` has the
+    ids from ``bounds[k]`` to ``bounds[k + 1]``. ``doc_id`` is the first column of ``schema``. One
+    pass over the texts gives the rows of most and the segments of those with long runs; it is
     checkpointed, so neither part is made twice and segments keep their labels.
     """
     result = StructType.fromDDL(schema)
     mixed = StructType.fromDDL(f"{schema}, {_SEGMENT}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def batch(rows: list[tuple], kind: StructType) -> pa.RecordBatch:
-        like = to_arrow_schema(kind)
-        columns = list(zip(*rows, strict=True)) or [[] for _ in like]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, like, strict=True)], names=like.names)
+    like = to_arrow_schema(mixed)
+
+    def made(columns: list, fields: list) -> list[pa.Array]:
+        return [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path, view)
+        file = resolved(path)
+        encoder = WordEncoder(file)  # a task's own: nothing stays in the worker
         label = TaskContext.get().partitionId() << 40
-        none, blank = (None,) * 5, (None,) * (len(result) - 1)
+        own, others = list(like)[: len(result)], list(like)[len(result) :]
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for k in range(0, len(ids), 1024):
-                part, rows = texts.slice(k, 1024).to_pylist(), []
-                for i, text, views in zip(ids[k : k + 1024], part, encoder.encode(part), strict=True):
-                    if views is None:
-                        rows += [(i, *blank, label, n, *s) for n, s in enumerate(cut(path, text))]
-                        label += 1
-                    else:
-                        rows += [(*r, *none) for r in plain(i, views)]
-                yield batch(rows, mixed)
+            all_ids, all_texts = b.column("doc_id"), b.column("text")
+            for at, end in parts_of(all_texts):
+                names, texts = all_ids.slice(at, end - at), all_texts.slice(at, end - at)
+                ids, bounds, long = encoder.encode(texts)
+                short = np.flatnonzero(~long)
+                if len(short):  # (texts with long runs have no ids here, so bounds close up)
+                    columns = made(rows(names.take(pa.array(short)).to_pylist(), ids, np.r_[bounds[short], bounds[-1]]), own)
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), f.type) for f in others)], names=like.names)
+                for k in np.flatnonzero(long).tolist():
+                    found = [(label, n, *s) for n, s in enumerate(cut(file, texts[k].as_py()))]
+                    nothing = [pa.nulls(len(found), f.type) for f in own[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k].as_py()] * len(found), pa.int64()), *nothing, *made(list(zip(*found, strict=True)), others)], names=like.names)
+                    label += 1
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = resolved(path)
         for b in batches:
-            ids = [encode_segment(path, k, p).astype("<u4").tobytes() for k, p in zip(b.column("kind").to_pylist(), b.column("piece").to_pylist(), strict=True)]
+            ids = [encode_segment(file, k, p).astype("<u4").tobytes() for k, p in zip(b.column("kind").to_pylist(), b.column("piece").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, type=pa.binary())], names=[*b.schema.names, "ids"])
 
     def tree(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
         parts = [(k, r, p if k == LEAF else "", np.frombuffer(i, "<u4").astype(np.int64)) for k, r, p, i in zip(t["kind"].to_pylist(), t["run"].to_pylist(), t["piece"].to_pylist(), t["ids"].to_pylist(), strict=True)]
-        return pa.Table.from_batches([batch(list(whole(t["doc_id"][0].as_py(), joined(path, parts))), result)])
+        ids = joined(resolved(path), parts).astype("<u4")
+        return pa.Table.from_arrays(made(rows([t["doc_id"][0].as_py()], ids, np.array([0, len(ids)])), list(like)[: len(result)]), names=list(result.names))
 
     both = checkpointed(docs.mapInArrow(first, mixed))
     segments = both.where("kind is not null").select("doc_id", "row", "seq", "kind", "run", "piece")
@@ -389,27 +438,39 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def decode(path: str, ids: Iterable[int]) -> str:
-    """As the library decodes, special tokens kept: this vocabulary has no decoder, which joins
-    tokens by a space."""
+@lru_cache(maxsize=4)
+def _strings(path: str) -> tuple[pa.StringArray, pa.StringArray]:
+    """Each id in decimal, and its token."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    tokens = [""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        tokens[i] = token
+    return pa.array([str(i) for i in range(len(tokens))]), pa.array(tokens)
+
+
+def _spaced(strings: pa.StringArray, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """Of each text the strings of its ids, joined by a space."""
+    lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), strings.take(pa.array(ids)))
+    return pc.binary_join(lists, " ").to_pylist()
+
+
+def decoded(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """As the library decodes, special tokens kept; without a decoder it joins tokens by a space."""
     tok = tokenizer(path)
-    return " ".join(map(tok.id_to_token, ids)) if tok.decoder is None else tok.decode(list(ids), skip_special_tokens=False)
+    if tok.decoder is None:
+        return _spaced(_strings(path)[1], ids, bounds)
+    return [tok.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
     """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``; with ``keep`` also the ids
     (``array<int>``) and the decoded text."""
-    path = path or default_vocabulary()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
 
-    def row(doc_id, ids: str, text: str):
-        extra = ([int(i) for i in ids.split()], text) if keep else ()
-        return (doc_id, ids.count(" ") + bool(ids), _digest(ids), _digest(text), *extra)
-
-    def plain(doc_id, views):
-        yield row(doc_id, " ".join([v[0] for v in views if v[0]]), " ".join([v[1] for v in views if v[0]]))
-
-    def whole(doc_id, ids):
-        yield row(doc_id, " ".join(map(str, ids)), decode(path, map(int, ids)))
+    def rows(doc_ids: list, ids: np.ndarray, bounds: np.ndarray) -> list:
+        file = resolved(path)
+        texts = decoded(file, ids, bounds)
+        extra = [[ids[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], texts] if keep else []
+        return [doc_ids, np.diff(bounds), [_digest(x) for x in _spaced(_strings(file)[0], ids, bounds)], [_digest(x) for x in texts], *extra]
 
-    return encode_then(docs, path, TextView, plain, whole, schema)
+    return encode_then(docs, path, rows, schema)

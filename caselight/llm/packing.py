@@ -89,20 +89,18 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
     """Each document's ids and ``end_id``, cut into full windows and a rest."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(doc_id, data: bytes):
-        data += end
-        n = len(data) // 4
-        for a in range(0, n, window):
-            part = data[4 * a : 4 * (a + window)]
-            yield (doc_id, a, len(part) // 4, zlib.crc32(part), n, *([part] if keep_ids else []))
-
-    def plain(doc_id, views):
-        return cut(doc_id, b"".join(views))
-
-    def whole(doc_id, ids):
-        return cut(doc_id, ids.astype("<u4").tobytes())
-
-    return bpe.encode_then(docs, path or bpe.default_vocabulary(), bpe.ByteView, plain, whole, PIECE + ", ids binary" * keep_ids)
+    def rows(doc_ids: list, ids: np.ndarray, bounds: np.ndarray) -> list:
+        all_data, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+        found = []
+        for i, x, y in zip(doc_ids, at, at[1:], strict=False):
+            data = all_data[x:y] + end
+            n = len(data) // 4
+            for a in range(0, n, window):
+                part = data[4 * a : 4 * (a + window)]
+                found.append((i, a, len(part) // 4, zlib.crc32(part), n, *([part] if keep_ids else [])))
+        return list(zip(*found, strict=True))
+
+    return bpe.encode_then(docs, path, rows, PIECE + ", ids binary" * keep_ids)
 
 
 def pack(parts: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
