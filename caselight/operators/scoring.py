@@ -73,10 +73,16 @@ def field_report(rows: DataFrame, fields: list[tuple[str, str, bool]]) -> DataFr
     return counts.select(F.expr(f"stack({len(fields)}, {cells}) AS (field, mandatory, present, total)"))
 
 
+#: A guideline's mandatory rules at most.
+MOST_RULES = 1000
+
+
 def guideline_scores(rows: DataFrame, rules: DataFrame, threshold: float = REVIEW_BELOW, penalty: int = CONFIDENCE_PENALTY) -> DataFrame:
     """Score under a guideline's rules ``(field, weight, mandatory)`` and its difference to the
-    stored score. Rules number as many as fields; they become one expression."""
-    chosen = [(r["field"], r["weight"]) for r in rules.where("mandatory").limit(len(rows.columns)).collect()]
+    stored score. Rules become one expression; more than ``MOST_RULES`` of them are an error."""
+    chosen = [(r["field"], r["weight"]) for r in rules.where("mandatory").select("field", "weight").take(MOST_RULES + 1)]
+    if len(chosen) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} mandatory rules")
     lost = sum((F.when(~_present(f), w).otherwise(0) for f, w in chosen), F.lit(0))
     score = F.greatest(F.lit(0), 100 - lost - F.when(F.col("confidence") < threshold, penalty).otherwise(0)).cast("int")
     return rows.withColumn("preview", score).withColumn("delta", F.col("preview") - F.col("score"))
