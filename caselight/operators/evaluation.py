@@ -42,6 +42,14 @@ def per_class(matrix: DataFrame, truth: str, guess: str, classes: tuple[str, ...
     return c.withColumn("f1", rounded(_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 3)).withColumn("support", F.col("tp") + F.col("fn"))
 
 
+def macro(scores: DataFrame) -> DataFrame:
+    """Means over the classes of :func:`per_class` that occur; three digits. Under two such classes
+    there is nothing to compare, and the means are null."""
+    some = scores.where("support > 0")
+    several = F.count("*") >= 2
+    return some.agg(F.count("*").alias("classes"), F.sum("support").alias("support"), *[F.when(several, rounded(F.avg(c), 3)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+
+
 def mcc(matrix: DataFrame, truth: str, guess: str) -> DataFrame:
     """Multiclass correlation in closed form from the matrix's margins."""
     t = matrix.groupBy(truth).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("tt"))

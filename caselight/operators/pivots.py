@@ -80,3 +80,12 @@ def latency(events: DataFrame, route: str, at: str, value: str, last: int = 100)
 
 def confidence_stats(cases: DataFrame) -> DataFrame:
     return cases.agg(rounded(F.avg("confidence"), 4).alias("confidence"), rounded(F.avg("parser_confidence"), 4).alias("parser"), rounded(F.avg("trace_share"), 4).alias("trace"), F.count_if(F.col("confidence") < 0.65).alias("low"))
+
+
+def most_frequent(rows: DataFrame, row: str, rows_kept: int, column: str, columns_kept: int) -> DataFrame:
+    """Counts of the pairs of the most frequent values of two columns, ties by value. The pairs are
+    counted once; both lists come from their counts."""
+    counts = rows.groupBy(row, column).agg(F.count("*").alias("n"))
+    top = lambda c, k: counts.groupBy(c).agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), c).limit(k).select(c)
+    # two lists of so many values
+    return counts.join(F.broadcast(top(row, rows_kept)), row, "left_semi").join(F.broadcast(top(column, columns_kept)), column, "left_semi").select(row, column, "n")

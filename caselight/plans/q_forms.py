@@ -8,7 +8,7 @@ from caselight.operators import documents as docs_ops
 from caselight.operators import evaluation, forms, identifiers, signals
 
 from .cases import cases, d, r, sql
-from .q_text import inline, toks, values
+from .q_text import _rouge, inline, sents, toks, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,7 +84,11 @@ def _reports(spark, sf):
     return cases(spark, sf).select(F.col("case_key").alias("id"), "narrative", F.concat(F.lit("Patient received "), "medicine", F.lit(".")).alias("summary"))
 
 
-@query("lead3_rouge")
+_LEAD_PAIRS = f"SELECT id, summary AS hypothesis, reference FROM (SELECT id, summary, array_to_string(list_slice({sents('narrative', 20)}, 1, 3), ' ') AS reference FROM (SELECT * FROM ({_REPORTS}) WHERE length(narrative) > 80 ORDER BY id LIMIT 50)) WHERE length(summary) > 10 AND length(reference) > 10"
+_LEAD = _rouge(1, _LEAD_PAIRS)
+
+
+@query("lead3_rouge", sql(f", sm AS (SELECT count(*) AS samples, {r('avg(precision)', 4)} AS precision, {r('avg(recall)', 4)} AS recall, {r('avg(f1)', 4)} AS f1 FROM ({_LEAD})) SELECT * FROM sm"))
 def lead3_rouge(spark, sf):
     return evaluation.batch_mean(evaluation.rouge_n(forms.lead_pairs(_reports(spark, sf)), 1))
 

@@ -237,6 +237,30 @@ def eval_multiclass(spark, sf):
     return evaluation.per_class(_matrix(spark, sf), "truth", "guess")
 
 
+_CLASS_SCORES = f"""SELECT *, {r('coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)', 3)} AS f1, tp + fn AS support FROM (SELECT class, tp, fp, fn, {r('coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0)', 3)} AS precision, {r('coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0)', 3)} AS recall FROM (
+SELECT class, CAST(coalesce(sum(n) FILTER (WHERE truth = class AND guess = class), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (WHERE truth <> class AND guess = class), 0) AS BIGINT) AS fp, CAST(coalesce(sum(n) FILTER (WHERE truth = class AND guess <> class), 0) AS BIGINT) AS fn FROM cl CROSS JOIN m GROUP BY 1))"""
+
+
+@query("eval_macro", sql(f"{_MATRIX.rstrip()}, pc AS ({_CLASS_SCORES}) SELECT count(*) AS classes, CAST(sum(support) AS BIGINT) AS support, CASE WHEN count(*) >= 2 THEN {r('avg(precision)', 3)} END AS macro_precision, CASE WHEN count(*) >= 2 THEN {r('avg(recall)', 3)} END AS macro_recall, CASE WHEN count(*) >= 2 THEN {r('avg(f1)', 3)} END AS macro_f1 FROM pc WHERE support > 0"))
+def eval_macro(spark, sf):
+    return evaluation.macro(evaluation.per_class(_matrix(spark, sf), "truth", "guess"))
+
+
+@query("severity_flag", sql(f"SELECT {SEVERITY} AS severity, {FLAG} AS flag, count(*) AS n FROM cases GROUP BY 1, 2"))
+def severity_flag(spark, sf):
+    return cases(spark, sf).groupBy(scoring.severity_of_label().alias("severity"), scoring.reviewer_flag().alias("flag")).agg(F.count("*").alias("n"))
+
+
+def _most(column: str, n: int) -> str:
+    return f"SELECT {column} FROM cases GROUP BY 1 ORDER BY count(*) DESC, {column} LIMIT {n}"
+
+
+@query("medicine_reaction", sql(f"SELECT medicine, reaction, count(*) AS n FROM cases WHERE medicine IN ({_most('medicine', 10)}) AND reaction IN ({_most('reaction', 8)}) GROUP BY 1, 2"))
+def medicine_reaction(spark, sf):
+    """The ten most frequent medicines by the eight most frequent reactions."""
+    return pivots.most_frequent(cases(spark, sf), "medicine", 10, "reaction", 8)
+
+
 @query("eval_mcc", sql(_MATRIX + f""", z AS (SELECT CAST(sum(n) AS DOUBLE) AS s, CAST(sum(n) FILTER (WHERE truth = guess) AS DOUBLE) AS c FROM m), tm AS (SELECT truth AS k, CAST(sum(n) AS DOUBLE) AS t FROM m GROUP BY 1), pm AS (SELECT guess AS k, CAST(sum(n) AS DOUBLE) AS p FROM m GROUP BY 1)
 SELECT CAST(s AS BIGINT) AS support, {r('((c * s - (SELECT sum(t * p) FROM tm JOIN pm USING (k))) / (sqrt(s * s - (SELECT sum(p * p) FROM pm)) * sqrt(s * s - (SELECT sum(t * t) FROM tm))))', 3)} AS mcc FROM z"""))
 def eval_mcc(spark, sf):

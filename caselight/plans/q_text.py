@@ -400,9 +400,65 @@ def inspection_template(spark, sf):
     return t.groupBy("status").agg(F.count("*").alias("sections"))
 
 
-@query("inspection_documents", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\n+')), '^\s+|\s+$', '', 'g') AS l FROM documents) WHERE length(l) > 15 AND regexp_matches(l, '(?i)^(\d+[.):]|-|\*|obs(ervation)?\s*\d*\s*[:.]|finding\s*\d*\s*[:.])') GROUP BY 1")
+def _re2(p: str) -> str:
+    """A pattern for RE2, whose word boundary is ASCII's."""
+    return p.replace(text.WB, r"\b").replace(text.WE, r"\b").removeprefix("(?i)")
+
+
+def _hit(x: str, *patterns: str) -> str:
+    return f"regexp_matches({x}, '{'|'.join(f'(?:{_re2(p)})' for p in patterns)}', 'i')"
+
+
+_OBSERVED = rf"""WITH l AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n+'), lambda x: {TRIM.format('x')}), lambda x: length(x) > 15) AS ls FROM documents)),
+t AS (SELECT *, {_hit('line', docs_ops.NUMBERED)} OR {_hit('line', docs_ops.SENTINEL)} AS telling FROM l), u AS (SELECT *, bool_or(telling) OVER (PARTITION BY doc_id) AS any_telling FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS k FROM u WHERE telling OR NOT any_telling AND length(line) > 30),
+c AS (SELECT doc_id, position, line, CASE WHEN {_hit('line', *docs_ops.CRITICAL)} THEN 'critical' WHEN {_hit('line', *docs_ops.MAJOR)} THEN 'major' ELSE 'minor' END AS severity,
+CASE {' '.join(f"WHEN {' OR '.join(f'contains(lower(line), {quoted(w)})' for w in words)} THEN '{name}'" for name, words in docs_ops.SECTIONS.items())} ELSE 'documentation' END AS section FROM o WHERE k <= 50)"""
+
+
+def _observed(spark, sf) -> DataFrame:
+    return docs_ops.deficiencies(docs_ops.observations(documents(spark, sf)))
+
+
+@query("inspection_documents", f"{_OBSERVED} SELECT doc_id, position, sha256(line) AS line, severity, section FROM c")
 def inspection_documents(spark, sf):
-    return docs_ops.lines(documents(spark, sf), 15).where(F.col("line").rlike(docs_ops.NUMBERED)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """The observations of every document, classed."""
+    return _observed(spark, sf).select("doc_id", "position", F.sha2("line", 256).alias("line"), "severity", "section")
+
+
+@query("inspection_reports", f"{_OBSERVED} SELECT doc_id, count(*) AS observations, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'major') AS major, count(*) FILTER (WHERE severity = 'minor') AS minor, CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'Reject / Immediate Action Required' WHEN count(*) FILTER (WHERE severity = 'major') >= 3 THEN 'Major Non-Compliance - CAPA Required' WHEN count(*) FILTER (WHERE severity = 'major') > 0 THEN 'Conditional Approval - CAPA Required' ELSE 'Acceptable with Minor Observations' END AS recommendation FROM c GROUP BY 1")
+def inspection_reports(spark, sf):
+    return docs_ops.inspection_summary(_observed(spark, sf))
+
+
+_GRID = ", ".join(f"'{t}'" for t in docs_ops.TEMPLATE)
+
+
+@query("inspection_sections", rf"""{_OBSERVED}, n AS (SELECT doc_id, section, count(*) AS n FROM (SELECT doc_id, unnest([section, 'deficiencies']) AS section FROM c) GROUP BY ALL),
+g AS (SELECT doc_id, length({TRIM.format("coalesce(text, '')")}) < 30 AS short, CAST(unnest(range({len(docs_ops.TEMPLATE)})) AS INTEGER) AS number, unnest([{_GRID}]) AS section FROM documents)
+SELECT doc_id, number, section, CASE WHEN short THEN 0 ELSE coalesce(n, 0) END AS n, CASE WHEN short THEN 'pending' WHEN n > 0 THEN 'observations-found' ELSE 'no-observations' END AS status FROM g LEFT JOIN n USING (doc_id, section)""")
+def inspection_sections(spark, sf):
+    return docs_ops.inspection_template(documents(spark, sf), _observed(spark, sf))
+
+
+_CHECKED = rf"""SELECT doc_id, position, item, CASE WHEN {_hit('line', r'^\[x\]')} THEN 'provided' WHEN regexp_matches(line, '^\[\s\]') THEN 'missing' WHEN {_hit('lower(item)', docs_ops.MISSING_WORDS)} THEN 'missing' WHEN {_hit('lower(item)', docs_ops.INCOMPLETE_WORDS)} THEN 'incomplete' WHEN {_hit('lower(item)', docs_ops.PROVIDED_WORDS)} THEN 'provided' ELSE 'review' END AS status
+FROM (SELECT doc_id, position, line, {TRIM.format("regexp_replace(line, '^(?:\\d+[.):]|-|\\*|•|\\[x?\\])\\s*', '', 'i')").replace(chr(92) * 2, chr(92))} AS item FROM (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n+'), lambda x: {TRIM.format('x')}), lambda x: length(x) > 5) AS ls FROM documents))) WHERE item <> ''"""
+
+
+@query("checklist_documents", f"SELECT doc_id, position, sha256(item) AS item, status, CASE status WHEN 'missing' THEN 'Request from applicant' WHEN 'incomplete' THEN 'Review and complete' ELSE 'No action' END AS action FROM ({_CHECKED})")
+def checklist_documents(spark, sf):
+    """Every line of every document as a checklist's."""
+    return docs_ops.checklist(documents(spark, sf)).withColumn("item", F.sha2("item", 256))
+
+
+_TURN_LINES = rf"SELECT conv_id, turn, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS line FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n+'), lambda x: {TRIM.format('x')}), lambda x: length(x) > 5) AS ls FROM conversations)"
+
+
+@query("meeting_turns", "SELECT conv_id, turn, position, CASE " + " ".join(f"WHEN {_hit('line', p)} THEN '{name}'" for name, p in docs_ops.PREFIXES.items()) + f" END AS kind FROM ({_TURN_LINES}) WHERE {_hit('line', *docs_ops.PREFIXES.values())}")
+def meeting_turns(spark, sf):
+    """Labelled lines of every turn of every conversation."""
+    c = table(spark, sf, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    return docs_ops.meeting(c, "key").select("key.conv_id", "key.turn", "position", "kind")
 
 
 _V1 = [(1, "Intro text stays here.\nSection One\nThe dose is five mg daily. Patients were well.\nSection Two\nOld words stand in this part only."), (2, "same text"), (3, "Section A\nalpha beta gamma delta epsilon zeta eta theta iota kappa")]
@@ -419,16 +475,16 @@ def doc_verdict(spark, sf):
     return docs_ops.verdict(docs_ops.compare(inline(spark, _V1, "doc_id int, text string"), inline(spark, _V2, "doc_id int, text string")))
 
 
-@query("sentence_diff", f"SELECT a.doc_id, array_to_string(list_slice(list_filter({sents('b.text')}, lambda s: NOT list_contains(list_transform({sents('a.text')}, lambda z: lower(z)), lower(s))), 1, 3), '|') AS added FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE length(a.text) < 5000 AND length(b.text) < 5000")
-def sentence_diff(spark, sf):
-    a = documents(spark, sf).where(F.length("text") < 5000)
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after"))
-    return a.join(b, "doc_id").select("doc_id", F.array_join(docs_ops.only_in(F.col("after"), F.col("text")), "|").alias("added"))
+def _new_sentences(other: str, at: str) -> str:
+    """Of each document, its first three sentences that the other lacks, in order."""
+    return f"""SELECT doc_id, string_agg(s, '|' ORDER BY p) AS joined FROM (SELECT {at} AS doc_id, p, s, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = {other} AND k.low = lower(s.s))) WHERE n <= 3 GROUP BY 1"""
 
 
-@query("sentence_changes")
-def sentence_changes(spark, sf):
-    """Documents of every length, both ways; tests compare it with a plain version."""
+@query("sentence_diff", f"""WITH s AS (SELECT doc_id, unnest(range(len(x))) AS p, unnest(x) AS s FROM (SELECT doc_id, {sents("coalesce(text, '')")} AS x FROM documents)), k AS (SELECT DISTINCT doc_id, lower(s) AS low FROM s),
+a AS ({_new_sentences('s.doc_id - 1', 'doc_id - 1')}), b AS ({_new_sentences('s.doc_id + 1', 'doc_id')})
+SELECT d.doc_id, coalesce(a.joined, '') AS added, coalesce(b.joined, '') AS removed FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""")
+def sentence_diff(spark, sf):
+    """Documents of every length, both ways."""
     a = documents(spark, sf)
     return docs_ops.sentence_changes(a, a.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
 
@@ -491,48 +547,27 @@ def severity_text(spark, sf):
     return severity.cascade(rows)
 
 
-_NB = f""", tk AS (SELECT {_SEVERE} AS class, unnest({toks('narrative')}) AS token FROM cases WHERE case_key % 4 <> 0), cn AS (SELECT class, token, count(*) AS n FROM tk GROUP BY ALL), vc AS (SELECT DISTINCT token FROM cn), tt AS (SELECT class, sum(n) AS total FROM cn GROUP BY 1),
+_NB = f""", tk AS (SELECT {_SEVERE} AS class, unnest({toks('narrative')}) AS token FROM cases), cn AS (SELECT class, token, count(*) AS n FROM tk GROUP BY ALL), vc AS (SELECT DISTINCT token FROM cn), tt AS (SELECT class, sum(n) AS total FROM cn GROUP BY 1),
 nb AS (SELECT class, token, ln(CAST(coalesce(n, 0) + 1 AS DOUBLE) / CAST(total + (SELECT count(*) FROM vc) AS DOUBLE)) AS log_prob FROM tt CROSS JOIN vc LEFT JOIN cn USING (class, token))"""
 
 
 def _nb(spark, sf):
     rows = cases(spark, sf).select("case_key", "narrative", severity.mapped(F.col("seriousness"), severity.SERIOUSNESS_CLASS).alias("class"))
-    return rows, severity.nb_train(rows.where("case_key % 4 <> 0"), "class", "narrative")
+    return rows, severity.nb_train(rows.where("class is not null"), "class", "narrative")
 
 
 @query("nb_train", sql(_NB + f" SELECT class, token, {r('log_prob', 6)} AS log_prob FROM nb"))
 def nb_train(spark, sf):
-    _, model = _nb(spark, sf)
-    return model.select("class", "token", text.rounded(F.col("log_prob"), 6).alias("log_prob"))
+    """The final model, of all labelled cases."""
+    return _nb(spark, sf)[1].select("class", "token", text.rounded(F.col("log_prob"), 6).alias("log_prob"))
 
 
-@query("nb_score", sql(_NB + f""", q AS (SELECT case_key, unnest({toks('narrative')}) AS token FROM cases WHERE case_key % 4 = 0), s AS (SELECT case_key, class, sum(log_prob) AS s FROM q JOIN nb USING (token) GROUP BY ALL),
-p AS (SELECT case_key, class, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY case_key) AS p FROM (SELECT *, max(s) OVER (PARTITION BY case_key) AS m FROM s)) SELECT case_key, {r('max(p)', 3)} AS confidence FROM p GROUP BY 1"""))
+@query("nb_score", sql(_NB + f""", q AS (SELECT case_key, unnest({toks('narrative')}) AS token FROM cases), s AS (SELECT case_key, class, sum(log_prob) AS s FROM q JOIN nb USING (token) GROUP BY ALL),
+p AS (SELECT case_key, class, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY case_key) AS p FROM (SELECT *, max(s) OVER (PARTITION BY case_key) AS m FROM s)) SELECT case_key, arg_max(class, p) AS class, {r('max(p)', 3)} AS confidence FROM p GROUP BY 1"""))
 def nb_score(spark, sf):
+    """Every case, by the final model."""
     rows, model = _nb(spark, sf)
-    return severity.nb_score(rows.where("case_key % 4 = 0"), model, "case_key", "narrative").select("case_key", "confidence")
-
-
-_NB_ALL = _NB.replace(" WHERE case_key % 4 <> 0", "")
-
-
-def _nb_all(spark, sf):
-    rows = cases(spark, sf).select("case_key", "narrative", severity.mapped(F.col("seriousness"), severity.SERIOUSNESS_CLASS).alias("class"))
-    return rows, severity.nb_train(rows.where("class is not null"), "class", "narrative")
-
-
-@query("nb_train_all", sql(_NB_ALL + f" SELECT class, token, {r('log_prob', 6)} AS log_prob FROM nb"))
-def nb_train_all(spark, sf):
-    """The final model, of all labelled cases; ``nb_train`` leaves a quarter out."""
-    return _nb_all(spark, sf)[1].select("class", "token", text.rounded(F.col("log_prob"), 6).alias("log_prob"))
-
-
-@query("nb_score_all", sql(_NB_ALL + f""", q AS (SELECT case_key, unnest({toks('narrative')}) AS token FROM cases), s AS (SELECT case_key, class, sum(log_prob) AS s FROM q JOIN nb USING (token) GROUP BY ALL),
-p AS (SELECT case_key, class, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY case_key) AS p FROM (SELECT *, max(s) OVER (PARTITION BY case_key) AS m FROM s)) SELECT case_key, {r('max(p)', 3)} AS confidence FROM p GROUP BY 1"""))
-def nb_score_all(spark, sf):
-    """Every case, by the final model; ``nb_score`` scores the quarter that ``nb_train`` leaves out."""
-    rows, model = _nb_all(spark, sf)
-    return severity.nb_score(rows, model, "case_key", "narrative").select("case_key", "confidence")
+    return severity.nb_score(rows, model, "case_key", "narrative")
 
 
 @query("severity_cascade_models")
@@ -557,7 +592,7 @@ def lr_score(spark, sf):
     return severity.lr_score(severity.lr_features(rows, idf, "id", "text"), coef, start, "id")
 
 
-@query("stratified_folds")
+@query("stratified_folds", sql("SELECT case_key, seriousness, CAST((row_number() OVER (PARTITION BY seriousness ORDER BY md5(CAST(case_key AS VARCHAR)), case_key) - 1) % 5 AS INTEGER) AS fold FROM cases"))
 def stratified_folds(spark, sf):
     return severity.folds(cases(spark, sf), "case_key", "seriousness")
 
@@ -570,10 +605,13 @@ def _pairs(spark, sf):
     return b.select(F.col("item_id").alias("id"), F.col("text").alias("hypothesis")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
 
 
-def _rouge(n: int) -> str:
+_BENCH_PAIRS = "SELECT a.item_id AS id, a.text AS hypothesis, b.text AS reference FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+
+
+def _rouge(n: int, pairs: str = _BENCH_PAIRS, start: str = "WITH") -> str:
     gram = "t[i]" if n == 1 else "t[i] || ' ' || t[i + 1]"
     side = lambda c: f"SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, len(t) + {2 - n}), lambda i: {gram})) AS g FROM (SELECT id, {toks(c, 1)} AS t FROM pairs)) GROUP BY ALL"
-    return f"""WITH pairs AS (SELECT a.item_id AS id, a.text AS hypothesis, b.text AS reference FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), h AS ({side('hypothesis')}), e AS ({side('reference')}),
+    return f"""{start} pairs AS ({pairs}), h AS ({side('hypothesis')}), e AS ({side('reference')}),
 o AS (SELECT pairs.id, coalesce((SELECT sum(least(h.c, e.c)) FROM h JOIN e USING (id, g) WHERE h.id = pairs.id), 0) AS o, (SELECT sum(c) FROM h WHERE h.id = pairs.id) AS nh, (SELECT sum(c) FROM e WHERE e.id = pairs.id) AS nr FROM pairs),
 p AS (SELECT id, CAST(o AS DOUBLE) / CAST(nh AS DOUBLE) AS p, CAST(o AS DOUBLE) / CAST(nr AS DOUBLE) AS c FROM o) SELECT id, {r('p', 4)} AS precision, {r('c', 4)} AS recall, {r('coalesce(2 * p * c / nullif(p + c, 0), 0)', 4)} AS f1 FROM p"""
 
@@ -593,7 +631,11 @@ def rouge_l(spark, sf):
     return evaluation.rouge_l(_pairs(spark, sf))
 
 
-@query("tfidf_cosine")
+@query("tfidf_cosine", f"""WITH pairs AS ({_BENCH_PAIRS}), h AS (SELECT id, len(t) AS n, unnest(t) AS w FROM (SELECT id, {toks('hypothesis', 1)} AS t FROM pairs)), e AS (SELECT id, len(t) AS n, unnest(t) AS w FROM (SELECT id, {toks('reference', 1)} AS t FROM pairs)),
+x AS (SELECT id, w, count(*) / CAST(n AS DOUBLE) AS f FROM h GROUP BY id, w, n), y AS (SELECT id, w, count(*) / CAST(n AS DOUBLE) AS f FROM e GROUP BY id, w, n),
+v AS (SELECT id, w, coalesce(x.f, 0) AS a, coalesce(y.f, 0) AS b, ln(CAST(3 AS DOUBLE) / (1 + (x.f IS NOT NULL)::INT + (y.f IS NOT NULL)::INT)) + 1 AS idf FROM x FULL JOIN y USING (id, w)),
+c AS (SELECT id, sum(a * b * idf * idf) AS ab, sum(a * a * idf * idf) AS aa, sum(b * b * idf * idf) AS bb FROM v GROUP BY 1)
+SELECT pairs.id, {r('coalesce(ab / nullif(sqrt(aa) * sqrt(bb), 0), 0)', 4)} AS cosine FROM pairs LEFT JOIN c USING (id)""")
 def tfidf_cosine(spark, sf):
     return evaluation.cosine(_pairs(spark, sf))
 

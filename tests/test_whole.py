@@ -27,7 +27,7 @@ def test_sentence_changes_take_every_document_both_ways(spark):
     texts = {i: split(x or "") for i, x in zip(t["doc_id"], t["text"])}
     want = sorted((i, only(texts[i + 1], texts[i]), only(texts[i], texts[i + 1])) for i in texts if i + 1 in texts)
     assert any(len(x) >= 5000 for x in t["text"])
-    assert sorted(map(tuple, catalogue.QUERIES["sentence_changes"](spark, SF).collect())) == want
+    assert sorted(map(tuple, catalogue.QUERIES["sentence_diff"](spark, SF).collect())) == want
 
 
 def test_sentence_changes_small(spark):
@@ -39,9 +39,9 @@ def test_sentence_changes_small(spark):
 
 def test_naive_bayes_takes_every_case(spark):
     every = cases(spark, SF)
-    assert catalogue.QUERIES["nb_score_all"](spark, SF).select("case_key").distinct().count() == every.count()
+    assert catalogue.QUERIES["nb_score"](spark, SF).select("case_key").distinct().count() == every.count()
     words = every.select(F.explode(text.tokens(F.col("narrative"))).alias("token")).distinct()
-    assert words.join(catalogue.QUERIES["nb_train_all"](spark, SF), "token", "left_anti").count() == 0
+    assert words.join(catalogue.QUERIES["nb_train"](spark, SF), "token", "left_anti").count() == 0
 
 
 def test_cascade_asks_regression_before_bayes(spark):
