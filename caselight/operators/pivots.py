@@ -56,8 +56,16 @@ def presence(rows: DataFrame, fields: list[str], centre: str = "centre", first:
 
 
 def cohort(rows: DataFrame, medicine: str, dimensions: tuple[str, ...] = ("gender", "age_band", "weight_band")) -> DataFrame:
-    kept = rows.where(F.col("medicine") == medicine)
-    long = kept.select(F.expr(f"stack({len(dimensions)}, " + ", ".join(f"'{d}', {d}" for d in dimensions) + ") AS (dimension, value)"))
+    return _dimensions(rows.where(F.col("medicine") == medicine), dimensions)
+
+
+def cohort_of(rows: DataFrame, chosen: DataFrame, dimensions: tuple[str, ...] = ("gender", "age_band", "weight_band")) -> DataFrame:
+    """The cohort of the medicine in the one row of ``chosen``."""
+    return _dimensions(rows.join(F.broadcast(chosen), "medicine", "left_semi"), dimensions)
+
+
+def _dimensions(rows: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    long = rows.select(F.expr(f"stack({len(dimensions)}, " + ", ".join(f"'{d}', {d}" for d in dimensions) + ") AS (dimension, value)"))
     return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.text import rounded
@@ -17,14 +17,24 @@ K, L, MIN_ROWS = 5, 2, 20
 T_STRICT, T_LOOSE = 0.2, 0.35
 
 
+def counted(rows: DataFrame, ids: tuple[str, ...] = FIVE, sensitive: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """Rows by class and sensitive values, ``n``: the one pass over the rows; all else is made from
+    it, and the optimizer reuses its exchange."""
+    return rows.groupBy(*ids, *sensitive).agg(F.count("*").alias("n"))
+
+
+def _classes(counts: DataFrame, ids: tuple[str, ...], sensitive: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    return counts.groupBy(*ids).agg(F.sum("n").alias("size"), *[F.count_distinct(s).alias(f"{s}_values") for s in sensitive])
+
+
+def _fine(k: int = K, l: int = L, sensitive: tuple[str, ...] = SENSITIVE) -> Column:  # noqa: E741
+    return reduce(lambda a, s: a & (F.col(f"{s}_values") >= l), sensitive, F.col("size") >= k)
+
+
 def classes(rows: DataFrame, ids: tuple[str, ...] = FIVE, sensitive: tuple[str, ...] = SENSITIVE) -> DataFrame:
     """A row per equivalence class: size and distinct values of each sensitive attribute. Counts
-    by class and value come first, so no class is gathered as rows."""
-    sizes = rows.groupBy(*ids).agg(F.count("*").alias("size"))
-    for s in sensitive:
-        kinds = rows.groupBy(*ids, s).agg(F.lit(1).alias("one")).groupBy(*ids).agg(F.count("*").alias(f"{s}_values"))
-        sizes = sizes.join(kinds, list(ids))
-    return sizes
+    by class and values come first, so no class is gathered as rows."""
+    return _classes(counted(rows, ids, sensitive), ids, sensitive)
 
 
 def k_anonymity(rows: DataFrame, ids: tuple[str, ...] = FIVE) -> DataFrame:
@@ -39,8 +49,7 @@ def k_suppressed(rows: DataFrame, ids: tuple[str, ...] = FIVE, k: int = K) -> Da
 
 def released_classes(rows: DataFrame, ids: tuple[str, ...] = FIVE, k: int = K, l: int = L, sensitive: tuple[str, ...] = SENSITIVE) -> DataFrame:  # noqa: E741
     """Classes of ``k`` rows in which every sensitive attribute has ``l`` values."""
-    wide = reduce(lambda a, s: a & (F.col(f"{s}_values") >= l), sensitive, F.lit(True))
-    return classes(rows, ids, sensitive).where((F.col("size") >= k) & wide)
+    return classes(rows, ids, sensitive).where(_fine(k, l, sensitive))
 
 
 def released(rows: DataFrame, ids: tuple[str, ...] = FIVE, k: int = K, l: int = L) -> DataFrame:  # noqa: E741
@@ -58,34 +67,51 @@ def l_diversity(rows: DataFrame, ids: tuple[str, ...] = FIVE) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _released_counts(counts: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    return counts.join(_classes(counts, ids).where(_fine()).select(*ids, "size"), list(ids))
+
+
 def t_closeness(rows: DataFrame, ids: tuple[str, ...] = FIVE, data: DataFrame | None = None) -> DataFrame:
     """Per sensitive attribute the greatest total variation distance of a class from all released
-    rows. Values that a class lacks add their global share, so no grid of class by value is made:
-    half of (sum over present values of |p - q| + 1 - sum of their q)."""
-    data = released(rows, ids) if data is None else data
+    rows (or of the classes of ``data``). Values that a class lacks add their global share, so no
+    grid of class by value is made: half of (sum over present values of |p - q| + 1 - sum of their
+    q)."""
+    counts = _released_counts(counted(rows, ids), ids) if data is None else counted(data, ids)
+    if data is not None:
+        counts = counts.join(_classes(counts, ids).select(*ids, "size"), list(ids))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
     out = []
     for s in SENSITIVE:
-        local = data.groupBy(*ids, s).agg(F.count("*").alias("n"))
-        size = local.groupBy(*ids).agg(F.sum("n").alias("size"))
-        whole = local.groupBy(s).agg(F.sum("n").alias("n_all")).crossJoin(F.broadcast(data.agg(F.count("*").alias("total"))))
-        parts = local.join(size, list(ids)).join(whole, s).withColumn("q", F.col("n_all") / F.col("total").cast("double"))
+        local = counts.groupBy(*ids, "size", s).agg(F.sum("n").alias("n"))
+        whole = counts.groupBy(s).agg(F.sum("n").alias("n_all")).crossJoin(F.broadcast(total))
+        parts = local.join(whole, s).withColumn("q", F.col("n_all") / F.col("total").cast("double"))
         distance = parts.groupBy(*ids).agg(((F.sum(F.abs(F.col("n") / F.col("size").cast("double") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("t"))
         out.append(distance.agg(rounded(F.max("t"), 4).alias("t")).select(F.lit(s).alias("attribute"), "t", (F.col("t") <= T_STRICT).alias("strict"), (F.col("t") <= T_LOOSE).alias("loose")))
     return reduce(DataFrame.unionByName, out)
 
 
 def record(rows: DataFrame, ids: tuple[str, ...] = FIVE) -> DataFrame:
-    """The result as one row."""
+    """The whole result as one row: k before and after each suppression, what was suppressed, l and
+    t of what is released. Without rows, counts and k are 0 and ``insufficient`` is true."""
     g = classes(rows, ids)
-    fine = (F.col("size") >= K) & (F.col("outcome_values") >= L) & (F.col("seriousness_values") >= L)
+    fine, big, zero = _fine(), F.col("size") >= K, F.lit(0)
     one = g.agg(
-        F.sum("size").alias("total"), F.count("*").alias("classes"), F.min("size").alias("k_before"),
-        F.min(F.when(F.col("size") >= K, F.col("size"))).alias("k_after_k"),
-        F.sum(F.when(F.col("size") < K, F.col("size")).otherwise(0)).alias("k_suppressed"),
-        F.min(F.when(fine, F.col("size"))).alias("k_after"), F.coalesce(F.sum(F.when(fine, F.col("size"))), F.lit(0)).alias("released"),
+        F.coalesce(F.sum("size"), zero).alias("total"), F.count("*").alias("classes"), F.coalesce(F.min("size"), zero).alias("k_before"),
+        F.coalesce(F.min(F.when(big, F.col("size"))), zero).alias("k_after_k"),
+        F.coalesce(F.sum(F.when(~big, F.col("size"))), zero).alias("k_suppressed"), F.count_if(~big).alias("k_suppressed_classes"),
+        F.count_if(big & ~fine).alias("l_suppressed_classes"),
+        F.coalesce(F.min(F.when(fine, F.col("size"))), zero).alias("k_after"), F.coalesce(F.sum(F.when(fine, F.col("size"))), zero).alias("released"), F.count_if(fine).alias("released_classes"),
         F.min(F.when(fine, F.col("outcome_values"))).alias("l_outcome"), F.min(F.when(fine, F.col("seriousness_values"))).alias("l_seriousness"),
     )
-    return one.select("*", (F.col("total") - F.col("released")).alias("suppressed"), (F.col("total") < MIN_ROWS).alias("insufficient"), F.concat((F.col("total") - F.col("released")).cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" rows suppressed")).alias("note"))
+    t = t_closeness(rows, ids)
+    near = t.agg(*[F.max(F.when(F.col("attribute") == s, F.coalesce("t", F.lit(0.0)))).alias(f"t_{s}") for s in SENSITIVE])
+    one = one.crossJoin(F.broadcast(near))  # one row each
+    note = F.format_string("k-suppression removed %d group(s) (<%d records). l-suppression removed %d group(s) (l<%d). Released dataset: %d/%d records across %d equivalence classes.", "k_suppressed_classes", F.lit(K), "l_suppressed_classes", F.lit(L), "released", "total", "released_classes")
+    return one.select(
+        "*", (F.col("k_before") >= K).alias("k_compliant"), (F.col("k_after_k") >= K).alias("k_after_k_compliant"), (F.col("total") - F.col("released")).alias("suppressed"),
+        (F.col("k_suppressed_classes") + F.col("l_suppressed_classes")).alias("suppressed_classes"), *[(F.col(f"t_{s}") <= T_STRICT).alias(f"t_{s}_strict") for s in SENSITIVE], *[(F.col(f"t_{s}") <= T_LOOSE).alias(f"t_{s}_loose") for s in SENSITIVE],
+        (F.col("total") < MIN_ROWS).alias("insufficient"), note.alias("note"), F.lit(",".join(ids)).alias("identifiers"),
+    )
 
 
 def study(rows: DataFrame, strategies: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -96,6 +122,7 @@ def study(rows: DataFrame, strategies: dict[str, tuple[str, ...]]) -> DataFrame:
         fine = F.col("size") >= K
         out.append(g.agg(
             F.lit(name).alias("strategy"), F.min("size").alias("k_before"), F.min(F.when(fine, F.col("size"))).alias("k_after"), F.count_if(fine).alias("kept_classes"),
+            rounded(F.count_if(fine) / F.count("*").cast("double"), 4).alias("compliant_share"),
             F.sum(F.when(fine, 0).otherwise(F.col("size"))).alias("suppressed"),
             rounded(F.sum(F.when(fine, 0).otherwise(F.col("size"))) / F.sum("size").cast("double"), 4).alias("suppression_rate"),
             F.min(F.when(fine, F.col("outcome_values"))).alias("l_outcome"), F.min(F.when(fine, F.col("seriousness_values"))).alias("l_seriousness"),

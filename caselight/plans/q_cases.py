@@ -129,16 +129,22 @@ def privacy_tclose(spark, sf):
     return privacy.t_closeness(cases(spark, sf))
 
 
-@query("privacy_record", sql(_classes(FIVE) + """SELECT *, total - released AS suppressed, total < 20 AS insufficient, (total - released) || ' of ' || total || ' rows suppressed' AS note FROM (
-SELECT CAST(sum(size) AS BIGINT) AS total, count(*) AS classes, min(size) AS k_before, min(size) FILTER (WHERE size >= 5) AS k_after_k, CAST(coalesce(sum(size) FILTER (WHERE size < 5), 0) AS BIGINT) AS k_suppressed,
-min(size) FILTER (WHERE size >= 5 AND ov >= 2 AND sv >= 2) AS k_after, CAST(coalesce(sum(size) FILTER (WHERE size >= 5 AND ov >= 2 AND sv >= 2), 0) AS BIGINT) AS released,
-min(ov) FILTER (WHERE size >= 5 AND ov >= 2 AND sv >= 2) AS l_outcome, min(sv) FILTER (WHERE size >= 5 AND ov >= 2 AND sv >= 2) AS l_seriousness FROM g)"""))
+_OK = "size >= 5 AND ov >= 2 AND sv >= 2"
+
+
+@query("privacy_record", sql(_classes(FIVE) + f""", ok AS (SELECT {FIVE}, size FROM g WHERE {_OK}), rel AS (SELECT cases.* FROM cases JOIN ok USING ({FIVE})), t AS ({_t('outcome')} UNION ALL {_t('seriousness')}),
+b AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total, count(*) AS classes, coalesce(min(size), 0) AS k_before, coalesce(min(size) FILTER (WHERE size >= 5), 0) AS k_after_k, CAST(coalesce(sum(size) FILTER (WHERE size < 5), 0) AS BIGINT) AS k_suppressed, count(*) FILTER (WHERE size < 5) AS k_suppressed_classes,
+count(*) FILTER (WHERE size >= 5 AND NOT ({_OK})) AS l_suppressed_classes, coalesce(min(size) FILTER (WHERE {_OK}), 0) AS k_after, CAST(coalesce(sum(size) FILTER (WHERE {_OK}), 0) AS BIGINT) AS released, count(*) FILTER (WHERE {_OK}) AS released_classes,
+min(ov) FILTER (WHERE {_OK}) AS l_outcome, min(sv) FILTER (WHERE {_OK}) AS l_seriousness FROM g),
+n AS (SELECT coalesce(max(t) FILTER (WHERE attribute = 'outcome'), 0) AS t_outcome, coalesce(max(t) FILTER (WHERE attribute = 'seriousness'), 0) AS t_seriousness FROM t)
+SELECT *, k_before >= 5 AS k_compliant, k_after_k >= 5 AS k_after_k_compliant, total - released AS suppressed, k_suppressed_classes + l_suppressed_classes AS suppressed_classes, t_outcome <= 0.2 AS t_outcome_strict, t_seriousness <= 0.2 AS t_seriousness_strict, t_outcome <= 0.35 AS t_outcome_loose, t_seriousness <= 0.35 AS t_seriousness_loose, total < 20 AS insufficient,
+format('k-suppression removed {{}} group(s) (<5 records). l-suppression removed {{}} group(s) (l<2). Released dataset: {{}}/{{}} records across {{}} equivalence classes.', k_suppressed_classes, l_suppressed_classes, released, total, released_classes) AS note, '{",".join(privacy.FIVE)}' AS identifiers FROM b, n"""))
 def privacy_record(spark, sf):
     return privacy.record(cases(spark, sf))
 
 
 def _study(name: str, ids: str) -> str:
-    return f"""SELECT '{name}' AS strategy, min(size) AS k_before, min(size) FILTER (WHERE size >= 5) AS k_after, count(*) FILTER (WHERE size >= 5) AS kept_classes,
+    return f"""SELECT '{name}' AS strategy, min(size) AS k_before, min(size) FILTER (WHERE size >= 5) AS k_after, count(*) FILTER (WHERE size >= 5) AS kept_classes, {r("(count(*) FILTER (WHERE size >= 5) / CAST(count(*) AS DOUBLE))", 4)} AS compliant_share,
 CAST(coalesce(sum(size) FILTER (WHERE size < 5), 0) AS BIGINT) AS suppressed, {r("(coalesce(sum(size) FILTER (WHERE size < 5), 0) / CAST(sum(size) AS DOUBLE))", 4)} AS suppression_rate,
 min(ov) FILTER (WHERE size >= 5) AS l_outcome, min(sv) FILTER (WHERE size >= 5) AS l_seriousness
 FROM (SELECT {ids}, count(*) AS size, count(DISTINCT outcome) AS ov, count(DISTINCT seriousness) AS sv FROM cases GROUP BY {ids})"""

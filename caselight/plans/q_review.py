@@ -140,8 +140,7 @@ def presence_heatmap(spark, sf):
 @query("cohort", sql(" UNION ALL ".join(f"SELECT '{v}' AS dimension, {v} AS value, count(*) AS n FROM cases WHERE medicine = (SELECT min(medicine) FROM cases) GROUP BY 2" for v in ("gender", "age_band", "weight_band"))))
 def cohort(spark, sf):
     rows = cases(spark, sf)
-    first = rows.agg(F.min("medicine")).first()[0]
-    return pivots.cohort(rows, first)
+    return pivots.cohort_of(rows, rows.agg(F.min("medicine").alias("medicine")))
 
 
 @query("score_hist", sql(f"SELECT CAST(bin AS INTEGER) AS bin, count(case_key) AS n FROM range(10) AS t(bin) LEFT JOIN (SELECT case_key, least(9, CAST(floor(score / {d(10)}) AS INTEGER)) AS b FROM cases) ON b = bin GROUP BY 1"))
