@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parallelism
+from .common import checkpointed, first_of_each, parallelism
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -92,19 +92,25 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
-def _close(fps: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs (by index) are within ``bits``: the table discards, the bits confirm."""
+def close(left: np.ndarray, right: np.ndarray, bits: int, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs of fingerprints are within ``bits``: the pivot tables (made here, if not given)
+    discard, the bits confirm."""
     alive = np.arange(len(left))
-    for k in range(0, table.shape[1], 6):
-        apart = np.abs(table[left[alive], k : k + 6] - table[right[alive], k : k + 6]).max(axis=1)
+    a, b = tables or (pivot_table(left), pivot_table(right))
+    for k in range(0, PIVOTS, 6):
+        apart = np.abs(a[alive, k : k + 6] - b[alive, k : k + 6]).max(axis=1)
         alive = alive[apart <= bits]
         if not len(alive):
             break
     out = np.zeros(len(left), bool)
-    out[alive[np.bitwise_count(fps[left[alive]] ^ fps[right[alive]]) <= bits]] = True
+    out[alive[np.bitwise_count(left[alive] ^ right[alive]) <= bits]] = True
     return out
 
 
+def _close(fps: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    return close(fps[left], fps[right], bits, (table[left], table[right]))
+
+
 def _forest(fps: np.ndarray, table: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Breadth first: (index, indexes it reaches first)."""
     rest = np.arange(len(fps))
@@ -178,15 +184,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     keys = len(list(combinations(SEGMENTS, len(SEGMENTS) - MAX_BITS)))
     tasks = max(parallelism(spark), -(-groups.count() * keys // TASK_ROWS))
-    roots = checkpointed(connected_components(near_links(groups, tasks)))
+    roots = connected_components(near_links(groups, tasks))
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
+    # (written before it is joined: Spark splits a plain join's hot root or fingerprint)
+    least = checkpointed(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    label = checkpointed(named.join(least, "root").select("fp", "component_id"))
     return fps.join(label, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that a smaller ``doc_id`` of their component stands for."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return first_of_each(docs, near_duplicates(docs))

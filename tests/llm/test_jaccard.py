@@ -61,4 +61,6 @@ def test_common_shingles_last_lose_nothing():
         a = np.unique(np.r_[r.choice(common, 10), r.integers(0, 1 << 63, 30, np.uint64)])
         b = np.unique(np.r_[a[r.random(len(a)) < 0.92], r.integers(0, 1 << 63, 2, np.uint64)])
         if jaccard.similar(a, b):
+            rows = [np.frombuffer(jaccard.histogram(x), np.uint8)[None, :] for x in (a, b)]
+            assert jaccard.may_be_similar(*rows, np.array([len(a)]), np.array([len(b)])).all()
             assert set(jaccard.prefix(a, common).tolist()) & set(jaccard.prefix(b, common).tolist())

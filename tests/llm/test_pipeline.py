@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from caselight.llm import bpe, quality
+from caselight.llm import bpe, jaccard, quality, simhash
 from tests.llm import brute
+from tests.llm.test_jaccard import components
 from tests.llm.test_pii import plain
 from tests.llm.test_topk_quality import brute_quality
 
@@ -64,7 +65,7 @@ def test_rows_are_those_of_plain_stages(spark):
     judged = [(i, t, *features(t)) for i, t in rows]
     rows = [(i, t) for i, t, f, failed in judged if not failed and not any(all(c.holds(f) for c in rule) for rule in rules)]
     rows = brute.without_lines(rows)
-    rows = [(i, t) for (i, t), (_, _, c) in zip(sorted(rows), brute.simhash(sorted(rows))) if i == c]
+    rows = [(i, t) for (i, t), c in zip(rows, components(rows)) if i == c]
     rows = [(i, masked(t)) for i, t in rows]
     want = []
     for i, t in rows:
@@ -79,3 +80,17 @@ def test_rows_are_those_of_plain_stages(spark):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 4096
+
+
+def test_repeated_ids_lose_no_document(spark):
+    """A row goes by its own text, not by another's that shares its doc_id."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b), (None, b), (None, b), (7, None), (8, ""), (9, a + " end"), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for keep in (jaccard.keep_first, simhash.keep_first):
+        got = sorted(((r["doc_id"], r["text"]) for r in keep(docs).collect()), key=str)
+        assert got == sorted([(3, b), (3, b), (5, a), (None, b), (None, b), (7, None)] + ([(9, a + " end")] if keep is simhash.keep_first and not near(a, a + " end") else []), key=str)
+
+
+def near(a, b):
+    return bin(brute.fingerprint(a) ^ brute.fingerprint(b)).count("1") <= 4
