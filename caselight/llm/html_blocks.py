@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into blocks of text at block-level tags. Each block gets shallow features: words and
-link density of itself and of its neighbours, and what the open elements around it are. A decision
-tree decides which blocks are main text. It is trained here, once per worker, on a small labelled
-table that ``labelled_pages`` makes from a rule: layouts of a page as lists of parts, each with
-its label, with words of varied number.
+link density of itself and of the blocks before and after it, the longest plain block near it on
+either side, and what the elements around it say (tags such as ``nav`` or ``article``, names such as
+"menu"; a name on an element with over half of the page's words says nothing). A decision tree which blocks are main text. It is trained here, on the driver, on a small labelled table that
+``labelled_pages`` makes from a rule: layouts of a page as lists of parts, each with its label, in
+three dresses: pages that use tags, pages that use names, and bare pages of plain ``div`` and ``p``,
+where words and links alone tell the parts apart.
 
 Defined results: null and empty pages have no text; broken markup is read as far as it goes (an
 unclosed element ends with the block element around it); repeated rows give a row each; an empty
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,35 +57,41 @@ class Block:
     linked: int
     heading: bool
     item: bool
-    furniture: bool
+    #: In an element whose tag marks it as no article.
+    tagged: bool
+    #: Numbers of the elements around it whose name does, or that are a form or a header: such an
+    #: element may as well stand around the whole page.
+    named: tuple[int, ...]
     remark: bool
-    article: bool
-    main: bool
+    #: What around it marks the main part: an article (3), a main element (2), a name (1).
+    main: int
 
 
-def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
-    """(furniture, remark, article, main) that an element says of itself; ``inside`` an article a
-    header is the article's own."""
+def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int]:
+    """(tagged, named, remark, main) that an element says of itself; ``inside`` an article
+    a header is the article's own."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
     if inside:
         names = re.sub("header|masthead", "", names, flags=re.IGNORECASE)
-    furniture = tag in ("nav", "footer", "aside", "form", "menu", "dialog") or tag not in ("article", "main", "body", "html") and bool(names and FURNITURE.search(names)) or bool(attributes and _HIDDEN.search(attributes))
-    return furniture, bool(names and REMARKS.search(names)), tag == "article", tag == "main" or bool(names and tag not in ("body", "html") and MAIN.search(names))
+    tagged = tag in ("nav", "footer", "aside", "menu", "dialog") or bool(attributes and _HIDDEN.search(attributes))
+    named = tag == "form" or tag == "header" and not inside or tag not in ("article", "main", "body", "html") and bool(names and FURNITURE.search(names))
+    main = 3 if tag == "article" else 2 if tag == "main" else int(bool(names and tag not in ("body", "html") and MAIN.search(names)))
+    return tagged, named, bool(names and REMARKS.search(names)), main
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # open elements: tag, and what they and those around them are
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    # open elements: tag, and what they and those around them are (as in a block)
+    stack: list[tuple[str, bool, tuple[int, ...], bool, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    state = {"link": 0, "skip": 0}
+    state = {"link": 0, "skip": 0, "seen": 0}
 
     def end() -> None:
         text = " ".join("".join(parts).split())
         if text:
             tags = {s[0] for s in stack}
-            top = stack[-1] if stack else ("", False, False, False, False)
+            top = stack[-1] if stack else ("", False, (), False, 0)
             out.append(Block(text, text.count(" ") + 1, len(" ".join(linked).split()), bool(tags & HEADINGS), bool(tags & {"li", "td", "th", "dd", "dt"}), *top[1:]))
         parts.clear()
         linked.clear()
@@ -137,140 +146,164 @@ def blocks(page: str) -> list[Block]:
             pop(k)
             if tag in REPEATS and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
-        around = stack[-1][1:] if stack else (False,) * 4
-        furniture, remark, article, main = _flags(tag, m[3], around[2])
-        if tag == "header" and not around[2]:
-            furniture = True
-        if tag in ("article", "main") and around[0] and not any(x[0] in ("nav", "footer", "aside") for x in stack):
-            # a form or a "sidebar" layout around the whole page says nothing of its article
-            around = (False, *around[1:])
-        stack.append((tag, around[0] or furniture, around[1] or remark or (article and around[2]), around[2] or article, around[3] or main))
+        around = stack[-1][1:] if stack else (False, (), False, 0)
+        tagged, named, remark, main = _flags(tag, m[3], around[3] == 3)
+        state["seen"] += 1
+        number = state["seen"]
+        stack.append((tag, around[0] or tagged, (*around[1], number) if named else around[1], around[2] or remark or main == around[3] == 3, max(around[3], main)))
         state["link"] += tag == "a"
         state["skip"] += tag in SKIPPED
     end()
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "furniture", "remark", "article", "main", "page_article", "page_main", "longest_before", "longest_after", "outside")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "longest_before", "longest_after", "heading", "heading_before", "item", "inside", "page_marked", "page_blocks", "off")
+#: Of these, what elements' tags and names say against their text.
+NAME_FEATURES = ("off",)
+#: An element of some blocks with a greater share of the page's words says nothing by its name.
+MOST = 0.5
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     words = [float(b.words) for b in found]
     density = [b.linked / max(1, b.words) for b in found]
-    quiet = [w if d < 0.34 and not b.furniture and not b.remark else 0.0 for w, d, b in zip(words, density, found, strict=True)]
-    page_article, page_main = float(any(b.article for b in found)), float(any(b.main for b in found))
+    held: dict[int, list[float]] = {}
+    for w, b in zip(words, found, strict=True):
+        for number in b.named:
+            held.setdefault(number, []).append(w)
+    around = {number for number, of in held.items() if len(of) > (len(found) > 1) and sum(of) > MOST * sum(words)}
+    named = [not around.issuperset(b.named) for b in found]
+    plain = [w if d < 0.34 and not (b.tagged or b.remark or n) else 0.0 for w, d, b, n in zip(words, density, found, named, strict=True)]
+    main = max((b.main for b in found), default=0)
     out = []
     for k, b in enumerate(found):
-        # the page marks its article (or else its main part), and the block is not in it
-        outside = not b.article if page_article else bool(page_main) and not b.main
+        after = k + 1 < len(found)
         out.append((
             words[k], density[k],
             words[k - 1] if k else 0.0, density[k - 1] if k else 0.0,
-            words[k + 1] if k + 1 < len(found) else 0.0, density[k + 1] if k + 1 < len(found) else 0.0,
-            float(b.heading), float(b.item), float(b.furniture), float(b.remark), float(b.article), float(b.main),
-            page_article, page_main, max(quiet[max(0, k - 3) : k], default=0.0), max(quiet[k + 1 : k + 4], default=0.0),
-            float(outside),
+            words[k + 1] if after else 0.0, density[k + 1] if after else 0.0,
+            max(plain[max(0, k - 3) : k], default=0.0), max(plain[k + 1 : k + 4], default=0.0),
+            float(b.heading), float(bool(k) and found[k - 1].heading), float(b.item),
+            # in what marks the main part of this page best
+            float(main > 0 and b.main == main), float(main > 0), float(len(found)),
+            float(b.tagged or b.remark or named[k]),
         ))
     return out
 
 
 # --- the labelled table and the tree ------------------------------------------------------------
 
-#: Parts of a page: markup with {} for words, the least and greatest number of words, and whether
-#: they are main text. ``links`` parts fill {} with linked words.
+#: Parts of a page: whether they are main text, the least and greatest number of words, what they are
+#: filled with (words, links only, or words that are mostly a link), and their markup in pages of
+#: tags, of names, and bare; a part without markup does not occur in such pages.
 _PARTS = {
-    "nav": ('<nav><ul>{}</ul></nav>', "links", 3, 9, 0),
-    "menu": ('<div class="menu">{}</div>', "links", 3, 9, 0),
-    "plain_links": ("<ul>{}</ul>", "links", 3, 12, 0),
-    "header": ("<header><p>{}</p></header>", "words", 2, 12, 0),
-    "masthead": ('<div id="masthead"><span>{}</span></div>', "words", 2, 10, 0),
-    "ad": ('<div class="ad">{}</div>', "words", 4, 30, 0),
-    "promo": ('<div class="promo-box"><p>{}</p></div>', "words", 5, 40, 0),
-    "cookie": ('<div class="cookie-notice"><p>{}</p></div>', "words", 8, 50, 0),
-    "aside": ("<aside><h3>{}</h3></aside>", "words", 2, 8, 0),
-    "aside_text": ("<aside><p>{}</p></aside>", "words", 8, 60, 0),
-    "sidebar": ('<div class="sidebar"><p>{}</p></div>', "words", 5, 60, 0),
-    "form": ("<form><p>{}</p></form>", "words", 3, 30, 0),
-    "comment": ('<div class="comments"><p>{}</p></div>', "words", 5, 120, 0),
-    "comment_list": ('<ol id="comments"><li>{}</li></ol>', "words", 5, 120, 0),
-    "footer": ("<footer>{}</footer>", "words", 4, 30, 0),
-    "foot": ('<div id="footer"><p>{}</p></div>', "words", 4, 30, 0),
-    "related": ('<div class="related">{}</div>', "links", 3, 8, 0),
-    "bare": ("<div><p>{}</p></div>", "words", 4, 80, 0),
-    "h1": ("<h1>{}</h1>", "words", 2, 12, 1),
-    "h2": ("<h2>{}</h2>", "words", 1, 8, 1),
-    "p": ("<p>{}</p>", "words", 15, 150, 1),
-    "short": ("<p>{}</p>", "words", 1, 6, 1),
-    "quote": ("<blockquote>{}</blockquote>", "words", 5, 40, 1),
-    "list": ("<ul><li>{}</li></ul>", "words", 3, 30, 1),
-    "cell": ("<table><tr><td>{}</td></tr></table>", "words", 2, 20, 1),
+    "nav": (0, 3, 9, "links", "<nav><ul>{}</ul></nav>", '<div class="menu">{}</div>', "<ul>{}</ul>"),
+    "header": (0, 2, 10, "words", "<header><p>{}</p></header>", '<div id="masthead"><span>{}</span></div>', "<div>{}</div>"),
+    "ad": (0, 3, 14, "words", '<div class="ad">{}</div>', '<div class="promo-box"><p>{}</p></div>', "<div>{}</div>"),
+    "notice": (0, 6, 50, "words", '<div class="cookie-notice"><p>{}</p></div>', '<div id="consent">{}</div>', None),
+    "aside": (0, 2, 60, "words", "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', None),
+    "related": (0, 3, 9, "links", "<aside><ul>{}</ul></aside>", '<div class="related"><ul>{}</ul></div>', "<ul>{}</ul>"),
+    "form": (0, 3, 30, "words", "<form><p>{}</p></form>", '<form class="signup">{}</form>', "<form>{}</form>"),
+    "comment": (0, 3, 120, "words", '<section class="comments"><p>{}</p></section>', '<div class="comment-list"><p>{}</p></div>', None),
+    "remark": (0, 3, 120, "words", '<div id="comments"><div>{}</div></div>', '<ol id="responses"><li>{}</li></ol>', None),
+    "footer": (0, 3, 30, "words", "<footer>{}</footer>", '<div id="footer"><p>{}</p></div>', None),
+    "foot": (0, 3, 12, "words", "<footer><p>{}</p></footer>", '<div class="copyright">{}</div>', "<div>{}</div>"),
+    "outside": (0, 4, 80, "words", "<div><p>{}</p></div>", None, None),
+    "h1": (1, 1, 12, "words", *["<h1>{}</h1>"] * 3),
+    "linked_h1": (1, 1, 12, "linked", *["<h1>{}</h1>"] * 3),
+    "h2": (1, 1, 8, "words", *["<h2>{}</h2>"] * 3),
+    "p": (1, 15, 150, "words", *["<p>{}</p>"] * 3),
+    "long": (1, 40, 150, "words", *["<p>{}</p>"] * 3),
+    "linked_p": (1, 15, 60, "mostly", *["<p>{}</p>"] * 3),
+    "short": (1, 1, 6, "words", *["<p>{}</p>"] * 3),
+    "linked_short": (1, 4, 14, "mostly", "<p>{}</p>", "<p>{}</p>", None),
+    "some": (1, 4, 40, "words", *["<p>{}</p>"] * 3),
+    "quote": (1, 5, 90, "words", *["<blockquote>{}</blockquote>"] * 3),
+    "list": (1, 3, 80, "words", *["<ul><li>{}</li></ul>"] * 3),
+    "cell": (1, 2, 60, "words", "<table><tr><td>{}</td></tr></table>", "<table><tr><td>{}</td></tr></table>", None),
 }
-_BEFORE = [["nav", "header", "ad"], ["masthead", "menu", "cookie"], ["cookie", "header", "nav"], ["plain_links", "promo"], ["nav", "form"], ["nav"], []]
-_INSIDE = [["h1", "p", "p", "short", "p"], ["h1", "short", "p", "h2", "p", "list", "p"], ["p", "quote", "p", "short", "short", "p"], ["h1", "p"], ["h1", "short"], ["short"], ["h1", "p", "cell", "p", "h2", "short"]]
-_BETWEEN = [[], [], ["ad"], ["related"], ["promo"]]
-_AFTER = [["footer"], ["aside", "aside_text", "footer"], ["related", "comment", "foot"], ["sidebar", "comment_list", "footer"], ["form", "foot"], ["plain_links", "foot"], ["comment", "form", "footer"], [], []]
-_WRAP = [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div>", "</div>")]
-
-
-def labelled_pages(pages: int = 400, seed: int = 11) -> list[tuple[str, list[tuple[str, bool]]]]:
+_BEFORE = [["nav", "header", "ad"], ["header", "nav", "notice"], ["notice", "header", "nav"], ["nav", "ad"], ["nav", "form"], ["ad"], ["header"], ["nav"], []]
+_INSIDE = [["h1", "p", "long", "short", "p"], ["h1", "short", "p", "h2", "p", "list", "long"], ["long", "quote", "p", "short", "short", "p"], ["h1", "long"], ["linked_h1", "p", "linked_p", "long"], ["long"], ["h1", "long", "linked_p", "p"], ["p", "cell", "p", "h2", "p"]]
+#: Articles that take more than words and links to be told.
+_SHORT = [["h1", "p"], ["h1", "short"], ["h1", "short"], ["h1", "short"], ["short"], ["some"], ["some"], ["h1", "some"], ["linked_h1", "short", "linked_short"], ["h1", "p", "linked_p"], ["h1", "p", "cell", "p", "h2", "short"], ["linked_h1", "p"], ["linked_p"], ["h1", "linked_short", "p"]]
+_BETWEEN = [[], [], ["ad"], ["related"], ["form"], ["comment"], ["remark"]]
+_AFTER = [["footer", "foot"], ["aside", "aside", "footer"], ["related", "comment", "foot"], ["aside", "comment", "remark", "footer"], ["remark", "comment", "foot"], ["form", "foot"], ["related", "foot"], ["comment", "form", "footer"], ["foot"], []]
+_WRAP = [[("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>")], [('<div class="content">', "</div>"), ('<div class="post">', "</div>"), ("<div>", "</div>"), ("<article>", "</article>")], [("<div>", "</div>"), ("", "")]]
+#: Elements around a whole page that say what is not so of all of it.
+_AROUND = [("<form id='page'>", "</form>"), ("<div class='sidebar-left'>", "</div>"), ("<div class='post legal'>", "</div>"), ("<div class='has-footer social'>", "</div>")]
+
+
+def labelled_pages(pages: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[str, bool]]]]:
     """Pages and, for each of their blocks in order, its text and label."""
     r = random.Random(seed)
     out = []
     for n in range(pages):
+        dress = n % 3
         body: list[str] = []
         labels: list[tuple[str, bool]] = []
 
-        def put(name: str, body=body, labels=labels) -> None:
-            shape, kind, low, high, label = _PARTS[name]
+        def put(name: str, body=body, labels=labels, dress=dress) -> None:
+            label, low, high, kind, *shapes = _PARTS[name]
+            shape = shapes[dress]
+            if shape is None:
+                return
             words = ["w" + "".join(r.choice("aeioulmnrst") for _ in range(r.randint(1, 7))) for _ in range(r.randint(low, high))]
+            text = " ".join(words)
             if kind == "links":
                 fill = [" ".join(words[k : k + 2]) for k in range(0, len(words), 2)]
-                item = "<li><a href='/x'>{}</a></li>" if "<ul>" in shape else "<a href='/x'>{}</a> "
-                body.append(shape.format("".join(item.format(f) for f in fill)))
-                labels.extend([(f, False) for f in fill] if "<ul>" in shape else [(" ".join(words), False)])
-            else:
-                body.append(shape.format(" ".join(words)))
-                labels.append((" ".join(words), bool(label)))
-
-        start, stop = _WRAP[r.randrange(len(_WRAP))]
-        # only where the page says where its article is can bare text elsewhere be told from it
-        bare = ["bare"] if start in ("<article>", "<main>") and r.random() < 0.4 else []
-        for name in _BEFORE[n % len(_BEFORE)] + bare:
+                items = "<ul>" in shape
+                body.append(shape.format("".join((f"<li><a href='/x'>{f}</a></li>" if items else f"<a href='/x'>{f}</a> ") for f in fill)))
+                labels.extend([(f, False) for f in fill] if items else [(text, False)])
+                return
+            cut = {"words": len(words), "linked": 0, "mostly": r.randint(0, max(1, len(words) // 3))}[kind]
+            link = f"<a href='/x'>{' '.join(words[cut:])}</a>" if cut < len(words) else ""
+            body.append(shape.format(" ".join([*words[:cut], link] if link else words)))
+            labels.append((text, bool(label)))
+
+        start, stop = r.choice(_WRAP[dress])
+        marked = start in ("<article>", "<main>")
+        around = r.choice(_AROUND) if dress < 2 and r.random() < 0.35 else ("", "")
+        # a page that has nothing else, or whose other parts say what they are, can be short
+        alone = r.random() < 0.15
+        inside = [*r.choice(_SHORT if (marked or alone or dress == 1) and r.random() < 0.5 else _INSIDE)]
+        for name in [] if alone else r.choice(_BEFORE):
             put(name)
+        if marked and r.random() < 0.4:
+            put("outside")
         body.append(start)
-        inside = [*_INSIDE[r.randrange(len(_INSIDE))]]
-        for name in _BETWEEN[r.randrange(len(_BETWEEN))]:
-            inside.insert(r.randint(1, len(inside)), name)
+        if dress < 2 and len(inside) > 1 and not alone:
+            for name in r.choice(_BETWEEN):
+                inside.insert(len(inside) if name in ("comment", "remark") else r.randint(1, len(inside)), name)
         for name in inside:
             put(name)
         body.append(stop)
-        for name in bare + _AFTER[r.randrange(len(_AFTER))]:
+        for name in [] if alone else (["outside"] if marked and r.random() < 0.4 else []) + r.choice(_AFTER):
             put(name)
-        out.append(("<html><body>" + "".join(body) + "</body></html>", labels))
+        out.append((f"<html><body>{around[0]}{''.join(body)}{around[1]}</body></html>", labels))
     return out
 
 
-def grow(rows: list[tuple[tuple[float, ...], bool]], depth: int = 8, least: int = 4) -> tuple | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 18, least: int = 6) -> tuple | bool:
     """A decision tree by Gini impurity: (feature, threshold, below, above) or a label."""
-    ones = sum(y for _, y in rows)
-    if not depth or ones in (0, len(rows)) or len(rows) < 2 * least:
-        return 2 * ones >= len(rows)
+    ones, n = int(y.sum()), len(y)
+    label = 2 * ones >= n
+    if not depth or ones in (0, n) or n < 2 * least:
+        return label
     best = None
-    for f in range(len(FEATURES)):
-        ordered = sorted((x[f], y) for x, y in rows)
-        left = 0
-        for k in range(1, len(ordered)):
-            left += ordered[k - 1][1]
-            if ordered[k][0] == ordered[k - 1][0] or k < least or len(ordered) - k < least:
-                continue
-            right, m = ones - left, len(ordered) - k
-            impurity = left * (k - left) / k + right * (m - right) / m
-            if best is None or impurity < best[0] - 1e-9:
-                best = impurity, f, (ordered[k][0] + ordered[k - 1][0]) / 2
+    for f in range(x.shape[1]):
+        order = np.argsort(x[:, f], kind="stable")
+        v, left = x[order, f], np.cumsum(y[order])[:-1]
+        k = np.arange(1, n)
+        impurity = left * (k - left) / k + (ones - left) * (n - k - ones + left) / (n - k)
+        impurity[(v[1:] == v[:-1]) | (k < least) | (n - k < least)] = np.inf
+        at = int(np.argmin(impurity))
+        if np.isfinite(impurity[at]) and (best is None or impurity[at] < best[0] - 1e-9):
+            best = impurity[at], f, float(v[at] + v[at + 1]) / 2
     if best is None:
-        return 2 * ones >= len(rows)
+        return label
     _, f, at = best
-    return f, at, grow([r for r in rows if r[0][f] < at], depth - 1, least), grow([r for r in rows if r[0][f] >= at], depth - 1, least)
+    below = x[:, f] < at
+    return f, at, grow(x[below], y[below], depth - 1, least), grow(x[~below], y[~below], depth - 1, least)
 
 
 def decide(tree: tuple | bool, x: tuple[float, ...]) -> bool:
@@ -279,7 +312,7 @@ def decide(tree: tuple | bool, x: tuple[float, ...]) -> bool:
     return tree
 
 
-def training_rows(pages: int = 400, seed: int = 11) -> list[tuple[tuple[float, ...], bool]]:
+def training_rows(pages: int = 1800, seed: int = 11) -> list[tuple[tuple[float, ...], bool]]:
     rows = []
     for page, labels in labelled_pages(pages, seed):
         found = blocks(page)
@@ -289,9 +322,16 @@ def training_rows(pages: int = 400, seed: int = 11) -> list[tuple[tuple[float, .
     return rows
 
 
+def train(rows: list[tuple[tuple[float, ...], bool]], without: tuple[str, ...] = ()) -> tuple | bool:
+    """A tree of the labelled rows; features ``without`` count as constant."""
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    x[:, [FEATURES.index(f) for f in without]] = 0
+    return grow(x, y)
+
+
 @cache
 def tree() -> tuple | bool:
-    return grow(training_rows())
+    return train(training_rows())
 
 
 def main_text(page: str) -> str:

@@ -43,3 +43,42 @@ def test_odd_pages(spark):
     assert out[7] == f"Head line\n\n{story}\n\nA caption."
     assert out[8] == "Head\n\nA b"
     assert html_blocks.extract(df.where("false")).count() == 0
+
+
+LONG = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam"
+
+
+def test_words_and_links_decide_in_bare_pages():
+    page = f"<div>Subscribe to our newsletter today</div><p>{LONG}</p><div>Copyright 2024 Example</div>"
+    assert html_blocks.main_text(page) == LONG
+    page = f"<div><a href=a>Home</a> <a href=b>World</a></div><div><h1>A big headline here</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><ul><li><a href=c>More of it</a></li><li><a href=d>And more</a></li></ul>"
+    assert html_blocks.main_text(page) == f"A big headline here\n\n{LONG}\n\nShort one.\n\n{LONG}"
+
+
+def test_links_inside_an_article_stay():
+    page = f"<article><h1><a href=x>The linked headline</a></h1><p>{LONG}</p><p>See <a href=y>the whole of this linked paragraph with many words in it</a></p></article>"
+    assert html_blocks.main_text(page) == f"The linked headline\n\n{LONG}\n\nSee the whole of this linked paragraph with many words in it"
+
+
+def test_names_around_a_whole_page_say_nothing():
+    page = f"<div class='post legal'><h1>Head</h1><p>{LONG}</p></div><div class='legal'>All rights reserved</div>"
+    assert html_blocks.main_text(page) == f"Head\n\n{LONG}"
+    assert html_blocks.main_text(f"<div class='post legal'><article><h1>Head</h1><p>{LONG}</p></article></div>") == f"Head\n\n{LONG}"
+
+
+def test_text_features_carry_the_tree():
+    """Without what tags and names say against a block, words and links still tell most; without
+    words and links, less."""
+    rows, held = html_blocks.training_rows(600, seed=5), html_blocks.training_rows(300, seed=99)
+
+    def share(without):
+        tree = html_blocks.train(rows, without)
+        blank = lambda x: tuple(0.0 if f in without else v for f, v in zip(html_blocks.FEATURES, x))
+        return sum(html_blocks.decide(tree, blank(x)) == y for x, y in held) / len(held)
+
+    assert share(html_blocks.NAME_FEATURES) >= 0.95 > share(tuple(f for f in html_blocks.FEATURES if "words" in f or "density" in f or "longest" in f))
+
+
+def test_very_long_page():
+    page = "<nav><a href=x>Menu</a></nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article><footer>Foot</footer>" + "<div>" * 50_000
+    assert html_blocks.main_text(page) == "\n\n".join([LONG] * 20_000)
