@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselight.llm import pii
 from tests.llm import brute
@@ -53,3 +55,81 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     out = {x["doc_id"]: x["s"] for x in pii.extract(df).select("doc_id", pii.listed("spans").alias("s")).collect()}
     assert out[50] == f"phone:{rows[12][1].index('555')}:{rows[12][1].index('555') + 10}"
     assert out[51] == ""
+
+
+def brute_bootstrap(edges):
+    """Plain rounds over (kind, instance, pattern); what candidates become."""
+    seeds = {}
+    for k, i, _ in edges:
+        if k >= 0:
+            seeds[i] = min(seeds.get(i, k), k)
+    links = {(i, p) for _, i, p in edges}
+    of_pattern = {}
+    for i, p in links:
+        of_pattern.setdefault(p, set()).add(i)
+    known = {i: (k, 1.0) for i, k in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        voting = {}
+        for p, held in of_pattern.items():
+            for kind in range(len(pii.ALL_KINDS)):
+                sure = [known[i][1] for i in held if i in known and known[i][0] == kind]
+                score = sum(sure) / (len(held) + pii.SMOOTHING)
+                if sum(c >= pii.MIN_CONFIDENCE for c in sure) >= pii.MIN_SUPPORT and score >= pii.MIN_SCORE:
+                    voting[p, kind] = score
+        found = {}
+        for i, p in links:
+            for kind in range(len(pii.ALL_KINDS)):
+                if i not in seeds and (p, kind) in voting:
+                    found.setdefault(i, {}).setdefault(kind, []).append(voting[p, kind])
+        known = {i: (k, 1.0) for i, k in seeds.items()}
+        for i, kinds in found.items():
+            best = max((1 - math.prod(1 - min(x, 1) for x in v), -k) for k, v in kinds.items())
+            known[i] = (-best[1], best[0])
+    return {i: k for i, (k, c) in known.items() if i not in seeds and c >= pii.MIN_CONFIDENCE}
+
+
+def context_rows():
+    """Texts of identifiers in contexts of their kind, with others that no fixed pattern knows."""
+    r = random.Random(6)
+    filler = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(r.randint(3, 9)))
+    card = lambda: next(c for c in iter(lambda: "".join(r.choice("0123456789") for _ in range(16)), "") if luhn(c))
+    shapes = {"email": ("write to me at", lambda k: f"p{k}x@mail{k}.example.org"), "phone": ("phone number:", lambda k: f"+1 (555) 555-{1000 + k}"), "card": ("charged to card", lambda k: card())}
+    rows = [(100 * n + k, f"{filler()} {words} {make(k)} {filler()}") for n, (words, make) in enumerate(shapes.values()) for k in range(14)]
+    unseen = {"email": ["jane.doe(at)example(dot)com", "jane.doe@localhost"], "phone": ["017 555 7713", "5557714"], "card": ["4111 1111 1111 1112"]}
+    planted = [(kind, x) for kind, xs in unseen.items() for x in xs]
+    rows += [(1000 + n, f"{filler()} {shapes[kind][0]} {x} {filler()}") for n, (kind, x) in enumerate(planted)]
+    rows += [(2000 + n, f"{filler()} order {x} {filler()}") for n, x in enumerate(["12345678", "3.14.15", "v2.0", "http://x.org/a_b", "20 30 40"])]
+    return rows, planted
+
+
+def test_contexts_find_identifiers_of_any_shape(spark):
+    rows, planted = context_rows()
+    out = {x["doc_id"]: x["s"] for x in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    texts = dict(rows)
+    for n, (kind, x) in enumerate(planted):
+        at = texts[1000 + n].index(x)
+        assert out[1000 + n] == f"{kind}:{at}:{at + len(x)}", x
+    assert not any(out[i] for i in out if i >= 2000)
+
+
+@pytest.mark.parametrize("source", ["given", "contexts"])
+def test_scores_are_the_plain_ones(spark, source):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if source == "given" else spark.createDataFrame(context_rows()[0], "doc_id long, text string")
+    contexts = pii.found(docs).select(F.explode("contexts").alias("c")).select("c.kind", "c.instance", F.explode("c.patterns").alias("pattern")).distinct()
+    got = {r["instance"]: r["kind"] for r in pii.bootstrap(contexts).collect()}
+    assert got == brute_bootstrap([tuple(r) for r in contexts.collect()])
+
+
+def test_secrets_are_spans_but_not_base(spark):
+    text = 'see token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" and Password: aB3dE5gH7jK9mN1p, token = "short1" but no token here'
+    out = pii.extract(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.listed("base").alias("b"), pii.listed("spans").alias("s")).first()
+    assert out["b"] == "" and [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in out["s"].split(","))] == ["9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "aB3dE5gH7jK9mN1p"]
+
+
+def test_long_texts_and_ties(spark):
+    long = "1" * 50_000 + " " + "a.b" * 20_000 + " " + "x@y.org " * 5_000
+    got = pii.extract(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")).collect()
+    assert len(got) == 2 and all(len(r["base"]) == 5_000 == len(r["spans"]) for r in got)
+    # a phone's digits can be a card's too: both spans stay, in the order of kinds
+    both = pii.extract(spark.createDataFrame([(1, "+4111111111111111")], "doc_id long, text string")).select(pii.listed("spans").alias("s")).first()["s"]
+    assert both == ",".join(f"{k}:{a}:{b}" for k, a, b in plain("+4111111111111111"))
