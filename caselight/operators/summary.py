@@ -7,6 +7,7 @@ batches; everything before and after is DataFrame work.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log
 
@@ -56,20 +57,45 @@ def _tokens(s: str) -> list[str]:
     return [w for w in _PUNCT.sub(" ", s.lower()).split() if len(w) > 2]
 
 
+def _sentence_counts(words: list[str], bags: list[list[str]]) -> list[int]:
+    """In how many sentences each word occurs as a substring: a word of letters and digits lies
+    within one token, so it is looked for in the distinct tokens, and their sentences are bits."""
+    holders: dict[str, int] = {}
+    for n, bag in enumerate(bags):
+        for token in bag:
+            holders[token] = holders.get(token, 0) | 1 << n
+    joined, starts, at = "\n".join(holders), [], 0
+    for token in holders:
+        starts.append(at)
+        at += len(token) + 1
+    of = list(holders.values())
+    out = []
+    for w in words:
+        found, at = 0, joined.find(w)
+        while at >= 0:
+            k = bisect_right(starts, at)
+            found |= of[k - 1]
+            at = joined.find(w, starts[k]) if k < len(starts) else -1
+        out.append(found.bit_count())
+    return out
+
+
 def _cosines(sentences: list[str]) -> np.ndarray:
     """Cosine of TF-IDF vectors; a word's document frequency counts sentences that contain it as
-    a substring."""
-    low = [s.lower() for s in sentences]
+    a substring. Sums go word by word over the sentences that have it."""
     bags = [_tokens(s) for s in sentences]
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for b in bags for w in b))}
-    idf = np.array([log((len(low) + 1) / (sum(w in s for s in low) + 1)) + 1 for w in vocabulary]) if vocabulary else np.zeros(0)
-    m = np.zeros((len(bags), len(vocabulary)))
-    for row, bag in zip(m, bags, strict=True):
+    places: dict[str, dict[int, float]] = {}
+    for n, bag in enumerate(bags):
         for w in bag:
-            row[vocabulary[w]] += 1 / len(bag)
-    m *= idf
-    norm = np.sqrt((m * m).sum(axis=1))
-    return (m @ m.T) / np.maximum(np.outer(norm, norm), 1e-300)
+            at = places.setdefault(w, {})
+            at[n] = at.get(n, 0.0) + 1 / len(bag)
+    dots = np.zeros((len(bags), len(bags)))
+    for (_, at), df in zip(places.items(), _sentence_counts(list(places), bags), strict=True):
+        rows = np.fromiter(at, np.int64, len(at))
+        weights = np.fromiter(at.values(), float, len(at)) * (log((len(bags) + 1) / (df + 1)) + 1)
+        dots[rows[:, None], rows] += np.outer(weights, weights)
+    norm = np.sqrt(np.diag(dots))
+    return dots / np.maximum(np.outer(norm, norm), 1e-300)
 
 
 def _textrank(similar: np.ndarray) -> np.ndarray:

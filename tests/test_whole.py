@@ -1,12 +1,14 @@
 """Queries that take the whole table, against plain versions."""
 
+import math
 import re
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from caselight.functions import text
-from caselight.operators import documents, severity
+from caselight.operators import documents, scoring, severity, summary
 from caselight.plans import catalogue
 from caselight.plans.cases import cases
 
@@ -58,3 +60,82 @@ def test_cascade_query_asks_the_models(spark):
     basis = {r["basis"]: r["count"] for r in got.groupBy("basis").count().collect()}
     assert sum(basis.values()) == cases(spark, SF).count()
     assert basis["logistic-regression-ml"] > 0
+
+
+def plain_cosines(sentences):
+    low = [s.lower() for s in sentences]
+    bags = [summary._tokens(s) for s in sentences]
+    words = list(dict.fromkeys(w for b in bags for w in b))
+    rows = [[bag.count(w) / max(len(bag), 1) * (math.log((len(low) + 1) / (sum(w in s for s in low) + 1)) + 1) for w in words] for bag in bags]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    return [[dot(a, b) / max(math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)), 1e-300) for b in rows] for a in rows]
+
+
+def test_sentence_cosines_are_the_plain_ones():
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pydict()["text"]
+    for words in sorted(filter(None, t), key=len)[-60::7]:
+        sentences = split(words[:4000]) + ["", "é", "the 12th the 12th"]
+        got = summary._cosines(sentences)
+        assert all(abs(x - y) < 1e-9 for a, b in zip(got, plain_cosines(sentences)) for x, y in zip(a, b))
+
+
+def test_longest_common_subsequences_are_the_plain_ones(spark):
+    t = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
+    words = {i: [w for w in re.sub(r"[^a-z0-9\s]", " ", x.lower()).split() if len(w) > 1] for i, x in zip(t["item_id"], t["text"])}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b):
+                last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+        return row[-1]
+
+    half = lambda x: math.floor(x * 1e4 + 0.5) / 1e4
+    for r in catalogue.QUERIES["rouge_l"](spark, SF).collect():
+        a, b = words[r["id"]], words[r["id"] + 1]
+        n = lcs(a, b)
+        p, c = n / len(a) if a else 0.0, n / len(b) if b else 0.0
+        assert (r["precision"], r["recall"], r["f1"]) == (half(p), half(c), half(2 * p * c / (p + c) if p + c else 0.0))
+
+
+def test_wrapped_lines_are_the_plain_ones(spark):
+    t = dict(zip(*pq.read_table(f"{SF}/benchmark.parquet", columns=["item_id", "text"]).to_pydict().values()))
+    for r in catalogue.QUERIES["wrapped_text"](spark, SF).collect():
+        lines = []
+        for w in t[r["item_id"]].split():
+            if lines and len(lines[-1]) + 1 + len(w) <= 105:
+                lines[-1] += f" {w}"
+            else:
+                lines.append(w)
+        assert r["wrapped"] == "\n".join(lines)
+
+
+def test_inspection_classes():
+    """Each critical pattern has its word."""
+    hits = ["Contaminated room", "sterility breach", "Pathogens", "adulterated lot", "immediate danger", "Microbiology failure seen in the water loop", "data manipulation", "unauthorised batch", "cross contamination", "recall required"]
+    assert len(documents.CRITICAL) == len(hits)
+    assert all(re.search(p, x, re.IGNORECASE) for p, x in zip(documents.CRITICAL, hits))
+
+
+def test_families_of_severity_models(spark):
+    rows = spark.createDataFrame([(k, "death" if k % 2 else "others", "fatal died gone" if k % 2 else "mild itch rash") for k in range(60)], "id long, class string, note string")
+    for family in severity.FAMILIES:
+        model, scores = severity.train_models(rows, "id", "class", "note", k=2, family=family)
+        assert min(scores) == 1.0
+        if family == severity.FAMILIES[0]:
+            idf, cells, start = severity.exported(model, spark)
+            assert idf.count() and {r["class"] for r in cells.collect()} == {r["class"] for r in start.collect()} == {"death", "others"}
+
+
+def test_many_classes_are_all_learned(spark):
+    rows = spark.createDataFrame([(f"c{k}", f"word{k} shared") for k in range(1500)], "class string, note string")
+    assert severity.nb_train(rows, "class", "note").select("class").distinct().count() == 1500
+
+
+def test_guidelines_take_every_rule_or_none(spark):
+    rows = spark.createDataFrame([(1.0, 100, "", "x")], "confidence double, score int, a string, b string")
+    rules = lambda n: spark.createDataFrame([("a" if k % 2 else "b", 1, True) for k in range(n)], "field string, weight int, mandatory boolean")
+    assert scoring.guideline_scores(rows, rules(40)).first()["preview"] == 80
+    with pytest.raises(ValueError):
+        scoring.guideline_scores(rows, rules(scoring.MOST_RULES + 1))
