@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,11 @@ def append_reports(reports: DataFrame, path: str) -> None:
 
 
 def append_audit(events: DataFrame, path: str) -> bool:
-    """False, and no error, where the log can't be written: an audit must not stop intake."""
+    """False, and a logged warning, where the log can't be written: an audit must not stop intake."""
     try:
         events.write.mode("append").parquet(path)
-    except Exception:
+    except (PySparkException, Py4JJavaError, OSError):
+        logging.getLogger(__name__).warning("audit events were not written to %s", path, exc_info=True)
         return False
     return True
 

@@ -4,6 +4,7 @@ late data; linkage keyed by anchor in state."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,14 +25,21 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
+#: Cases later than this behind the newest are dropped; an anchor that meets no case for so long
+#: beyond that is forgotten, and a case after that counts as new.
+LATE, IDLE = "365 days", timedelta(days=3650)
 _STATE = "seen long, outcomes array<string>"
 _OUT = "case_key long, relation string"
 
 
 def _link(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     seen, outcomes = state.get if state.exists else (0, [])
-    outcomes = list(outcomes)
+    outcomes, newest = list(outcomes), state.getCurrentWatermarkMs()
     for x in batches:
+        newest = max(newest, int(x.created_at.max().timestamp() * 1000))
         x = x.sort_values(["created_at", "case_key"])
         relation = []
         for outcome in x.outcome:
@@ -41,10 +49,11 @@ def _link(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 outcomes.append(outcome)
         yield pd.DataFrame({"case_key": x.case_key, "relation": relation})
     state.update((seen, outcomes))
+    state.setTimeoutTimestamp(newest + int(IDLE.total_seconds() * 1000))
 
 
 def linked(stream: DataFrame) -> DataFrame:
     """Relation of each case to those that came before it with its anchor; state per anchor is a
-    count and the outcomes met, never rows."""
-    keyed = stream.select("case_key", "created_at", "patient_token", value_key(F.col("medicine")).alias("medicine"), value_key(F.col("reaction")).alias("reaction"), value_key(F.col("outcome")).alias("outcome"))
-    return keyed.groupBy("patient_token", "medicine", "reaction").applyInPandasWithState(_link, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    count and the outcomes met, never rows, and ends after ``IDLE`` without a case."""
+    keyed = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", LATE).select("case_key", "created_at", "patient_token", value_key(F.col("medicine")).alias("medicine"), value_key(F.col("reaction")).alias("reaction"), value_key(F.col("outcome")).alias("outcome"))
+    return keyed.groupBy("patient_token", "medicine", "reaction").applyInPandasWithState(_link, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
