@@ -3,8 +3,8 @@
 Statistics of a text are DataFrame expressions only. The list is learned from statistics of a
 bounded sample of labelled documents (``SAMPLE`` rows, by hash of the id): a rule grows one
 threshold after another by information gain on two thirds of the sample, is pruned from its end
-on the other third, and is kept while it is precise there; the documents it covers are set aside
-and the next rule grows on the rest. The list becomes one ordered ``CASE`` expression.
+on the other third, and is kept if it is precise there; the documents it covers are set aside and
+the next rule grows on the rest. What an imprecise rule covered seeds no other. The list becomes one ordered ``CASE`` expression.
 
 Defined results: null and empty texts have no words (so the base fails); labels that are missing,
 null or of one class only give an empty list, which keeps all that the base keeps; repeated rows
@@ -25,11 +25,12 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: The learner's bounds: labelled rows, thresholds a statistic, rules, conditions a rule, and the
+#: The learner's bounds: labelled rows, thresholds a statistic, rules, rules tried, conditions a rule, and the
 #: precision and support that a rule needs on the rows that it did not grow on.
 SAMPLE = 20_000
 THRESHOLDS = 40
 MAX_RULES = 8
+MAX_TRIES = 40
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.97
 MIN_SUPPORT = 5
@@ -130,10 +131,15 @@ def learn(rows: list[dict]) -> list[Rule]:
 
     rules: list[Rule] = []
     left = everything
-    while len(rules) < MAX_RULES:
-        grow, prune = left & ~held_out & everything, left & held_out
+    skipped = 0  # bad rows that no precise rule was found for: they seed no other
+    for _ in range(MAX_TRIES):
+        if len(rules) == MAX_RULES:
+            break
+        grow, prune = left & ~held_out & ~skipped & everything, left & held_out
         rule: Rule = ()
         p, n = covered(rule, grow)
+        if not p:
+            break
         while n and p and len(rule) < MAX_CONDITIONS:
             here = grow
             for c in rule:
@@ -150,18 +156,25 @@ def learn(rows: list[dict]) -> list[Rule]:
                 break
             rule = (*rule, best)
             p, n = covered(rule, grow)
+        tried = grow & bad
+        for c in rule:
+            tried &= conditions[c]
         worth = {}
         for k in range(1, len(rule) + 1):
             p, n = covered(rule[:k], prune)
             if p + n:
                 worth[k] = (p - n) / (p + n)
         if not worth:
-            break
+            if not rule:
+                break
+            skipped |= tried
+            continue
         rule = rule[: max(worth, key=lambda k: (worth[k], -k))]
         p, n = covered(rule, prune)
         q, m = covered(rule, grow)
         if p < MIN_SUPPORT or p < MIN_PRECISION * (p + n) or q < MIN_PRECISION * (q + m):
-            break
+            skipped |= tried
+            continue
         rules.append(rule)
         for_all = left
         for c in rule:
