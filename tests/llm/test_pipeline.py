@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caselight.llm import bpe, jaccard, quality, simhash
@@ -94,3 +95,21 @@ def test_repeated_ids_lose_no_document(spark):
 
 def near(a, b):
     return bin(brute.fingerprint(a) ^ brute.fingerprint(b)).count("1") <= 4
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, ties, columns with clashing names."""
+    sf = "/root/testdata/sf0.001"
+    words = " ".join(f"word{k} of the quiet morning" for k in range(30))
+    rows = [(1, words), (1, words), (1, words + " and more of it"), (2, words), (None, words), (None, words), (3, None), (4, ""), (5, "short"), (6, words.upper()), (7, "one line here of twenty\n" * 3 + words[::-1]), (8, "mail bob@x.org " + " ".join(f"other{k} thing said" for k in range(30)))]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, keys string, gone_id int")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf).cache()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == list(corpus_pipeline.COLUMNS), name
+        found = sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=str)
+        if name == "quality_rules":
+            assert found == [1, 1, 1, 2, 6, 7, 8, None, None]
+        if name == "simhash_dedup":  # rows of the least id of a group stay, and those without one
+            assert found == [1, 1, 1, 7, 8, None, None]
+    assert docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).count() == 4
