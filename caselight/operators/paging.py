@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselight.functions.text import text_of
+
 
 def scoped(rows: DataFrame, user: str, admin: bool, column: str = "uploader") -> DataFrame:
     return rows if admin else rows.where(F.col(column) == user)
@@ -57,3 +59,23 @@ def presented(rows: DataFrame, role: str, user: str) -> DataFrame:
 def upserted(profiles: DataFrame, changed: DataFrame, key: str = "version") -> DataFrame:
     """``changed`` in place of rows with its key, and what has a new key."""
     return profiles.join(changed.select(key), key, "left_anti").unionByName(changed)
+
+
+# What the detail view says where a report has nothing to show.
+NOT_DISPLAYED, TOKEN_ONLY, REMOVED = "Not displayed", "Reporter token only", "Generalised or removed"
+FOLLOW_UP_ONLY = "Visible only through PvPI follow-up workflow."
+REPORT_TYPE, NEW, SUSPECTED, TRACED = "Processed ADR report", "new", "Suspected", "extracted source trace"
+
+
+def detailed(rows: DataFrame, key: str = "case_key") -> DataFrame:
+    """``key`` and the nested view of a report: ``patient``, ``reporter``, ``pvpi``, ``clinical``,
+    ``medications[]``, ``reactions[]``. Columns that ``rows`` lacks are empty."""
+    of = lambda c, none="": F.coalesce(F.nullif(text_of(c), F.lit("")), F.lit(none)) if c in rows.columns else F.lit(none)
+    part = lambda **fields: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in fields.items()])
+    patient = part(token=of("patient_token"), name=NOT_DISPLAYED, initials=of("initials"), age=of("age"), sex=of("gender"), weight=of("weight"), address=REMOVED, history=of("narrative"))
+    reporter = part(token=of("reporter_token"), name=of("reporter", TOKEN_ONLY), institution=of("institution"), department=of("department"), phone=of("phone"), email=of("email"), policy=FOLLOW_UP_ONLY)
+    pvpi = part(centre=of("centre"), received=of("created_at"), kind=REPORT_TYPE, submitted_by=of("uploader"), lineage=of("relation", NEW))
+    clinical = part(onset=of("onset"), seriousness=of("seriousness"), outcome=of("outcome"), narrative=of("narrative"))
+    medication = part(name=of("medicine"), role=SUSPECTED, dose=of("dose"), route=of("route"), frequency=of("frequency"), source=TRACED)
+    reaction = part(term=of("reaction"), onset=of("onset"), outcome=of("outcome"), seriousness=of("seriousness"), source=TRACED)
+    return rows.select(key, patient.alias("patient"), reporter.alias("reporter"), pvpi.alias("pvpi"), clinical.alias("clinical"), F.array(medication).alias("medications"), F.array(reaction).alias("reactions"))

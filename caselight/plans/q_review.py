@@ -191,6 +191,17 @@ def present_report(spark, sf):
     return paging.presented(rows, "member", "BUILDING")
 
 
+@query("report_detail", sql("SELECT case_key, patient_token || '|Not displayed||' || age || '|' || gender || '|' || weight AS patient, 'Reporter token only' AS reporter, centre || '|' || uploader || '|new' AS pvpi, 1 AS medications, medicine || '|Suspected|' || dose || '|' || route || '|' || frequency AS medication, 1 AS reactions, reaction || '|' || onset || '|' || outcome || '|' || seriousness AS reaction FROM cases"))
+def report_detail(spark, sf):
+    """Parts of the nested view, flat again for comparison."""
+    flat = lambda c, *names: F.concat_ws("|", *[F.col(c)[n] for n in names])
+    rows = paging.detailed(cases(spark, sf)).withColumn("m", F.get("medications", F.lit(0))).withColumn("r", F.get("reactions", F.lit(0)))
+    return rows.select(
+        "case_key", flat("patient", "token", "name", "initials", "age", "sex", "weight").alias("patient"), F.col("reporter.name").alias("reporter"), flat("pvpi", "centre", "submitted_by", "lineage").alias("pvpi"),
+        F.size("medications").alias("medications"), flat("m", "name", "role", "dose", "route", "frequency").alias("medication"), F.size("reactions").alias("reactions"), flat("r", "term", "onset", "outcome", "seriousness").alias("reaction"),
+    )
+
+
 @query("guideline_upsert", "SELECT version, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES ('v1', 0.7), ('v2', 0.65), ('v3', 0.5)) AS t(version, threshold)")
 def guideline_upsert(spark, sf):
     old = spark.sql("SELECT * FROM VALUES ('v1', 0.6D), ('v2', 0.65D) AS t(version, threshold)")

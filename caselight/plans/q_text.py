@@ -282,6 +282,15 @@ def evaluation_fields(spark, sf):
     return extraction.evaluation_fields(inline(spark, _EVAL, "doc_id int, text string"))
 
 
+_COMMON = ", ".join(f"'{w}'" for w in extraction.EVAL_COMMON)
+
+
+@query("suspect_drugs", rf"SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_])([A-Z][a-z]+\b)', 1), lambda w: length(w) > 3 AND w NOT IN ({_COMMON}))[1] AS drug FROM documents")
+def suspect_drugs(spark, sf):
+    """The evaluation's drug extractor on every document."""
+    return documents(spark, sf).select("doc_id", extraction.evaluation_drug("text").alias("drug"))
+
+
 # --- identifiers ---
 
 
@@ -441,6 +450,15 @@ def inspection_sections(spark, sf):
     return docs_ops.inspection_template(documents(spark, sf), _observed(spark, sf))
 
 
+_SECTION_TEXT = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS section, list_filter(ls, lambda x: {' OR '.join(f'contains(lower(x), {quoted(w)})' for w in words)}) AS kept FROM l" for name, words in docs_ops.SECTIONS.items())
+
+
+@query("inspection_texts", rf"WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n+') AS ls FROM documents) SELECT doc_id, section, sha256(substr({TRIM.format("array_to_string(list_slice(kept, 1, 3), ' ')")}, 1, 300)) AS extracted FROM ({_SECTION_TEXT})")
+def inspection_texts(spark, sf):
+    """What a report's template quotes of every document."""
+    return docs_ops.section_texts(documents(spark, sf)).withColumn("extracted", F.sha2("extracted", 256))
+
+
 _CHECKED = rf"""SELECT doc_id, position, item, CASE WHEN {_hit('line', r'^\[x\]')} THEN 'provided' WHEN regexp_matches(line, '^\[\s\]') THEN 'missing' WHEN {_hit('lower(item)', docs_ops.MISSING_WORDS)} THEN 'missing' WHEN {_hit('lower(item)', docs_ops.INCOMPLETE_WORDS)} THEN 'incomplete' WHEN {_hit('lower(item)', docs_ops.PROVIDED_WORDS)} THEN 'provided' ELSE 'review' END AS status
 FROM (SELECT doc_id, position, line, {TRIM.format("regexp_replace(line, '^(?:\\d+[.):]|-|\\*|•|\\[x?\\])\\s*', '', 'i')").replace(chr(92) * 2, chr(92))} AS item FROM (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n+'), lambda x: {TRIM.format('x')}), lambda x: length(x) > 5) AS ls FROM documents))) WHERE item <> ''"""
 
