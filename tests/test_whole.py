@@ -11,6 +11,7 @@ from caselight.functions import text
 from caselight.operators import documents, scoring, severity, summary
 from caselight.plans import catalogue
 from caselight.plans.cases import cases
+from caselight.sources import workbooks
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +140,28 @@ def test_guidelines_take_every_rule_or_none(spark):
     assert scoring.guideline_scores(rows, rules(40)).first()["preview"] == 80
     with pytest.raises(ValueError):
         scoring.guideline_scores(rows, rules(scoring.MOST_RULES + 1))
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    first = spark.createDataFrame([("a & b <c>", 1, None), ("é | x", 2, 0.5)], "name string, n int, share double")
+    second = spark.createDataFrame([(True, "line\nbreak")], "ok boolean, text string")
+    (tmp_path / "one.xlsx").write_bytes(workbooks.workbook({"First": first, "Second sheet": second, "Empty": first.limit(0)}))
+    (tmp_path / "none.xlsx").write_bytes(b"no workbook")
+    got = sorted((r["sheet_name"], r["row_number"], r["text"], r["row"]["sheetName"], r["row"].get("name")) for r in workbooks.read_path(spark, str(tmp_path / "*.xlsx")).collect())
+    assert got == [("First", 1, "a & b <c> 1 ", "First", "a & b <c>"), ("First", 2, "é | x 2 0.5", "First", "é | x"), ("Second sheet", 1, "True line\nbreak", "Second sheet", None)]
+    assert workbooks.markdown({"First": first}, "Report") == "# Report\n\n## First\n\n| name | n | share |\n|-|-|-|\n| a & b <c> | 1 |  |\n| é \\| x | 2 | 0.5 |\n"
+
+
+def test_workbooks_with_shared_strings_and_gaps():
+    import io
+    import zipfile
+
+    ns = workbooks.MAIN
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{workbooks.RELATED}"><sheets><sheet name="S" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{workbooks.PACKAGE}/relationships"><Relationship Id="rId7" Type="x" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>one</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="AB2"><v>4.5</v></c></row><row/></sheetData></worksheet>')
+    ((name, rows),) = workbooks.sheets(out.getvalue())
+    assert name == "S" and list(rows) == [["one", "", "two runs"], [""] * 27 + ["4.5"], []]
