@@ -48,6 +48,21 @@ def pair_rules(spark, sf):
     return _judged(spark, sf)[1]
 
 
+def _same(f: str) -> str:
+    return f"CAST(lower(b.{f}) = lower(o.{f}) AS INTEGER)"
+
+
+_AGE = "coalesce(TRY_CAST({}.age AS DOUBLE), 0)"
+
+
+@query("pair_features", sql(f""", p AS (SELECT case_key AS base, lead(case_key) OVER (PARTITION BY patient_token ORDER BY case_key) AS other FROM cases)
+SELECT base, other, {_same('gender')} AS same_sex, {_same('medicine')} AS same_drug, {_same('reaction')} AS same_reaction, CAST(split_part(b.reaction, ' ', 1) = split_part(o.reaction, ' ', 1) AS INTEGER) AS same_group, {_same('outcome')} AS same_outcome, {_same('seriousness')} AS same_seriousness,
+least(abs({_AGE.format('b')} - {_AGE.format('o')}), {d(20)}) / {d(20)} AS age_gap, {_same('source_hash')} AS same_hash FROM p JOIN cases b ON b.case_key = base JOIN cases o ON o.case_key = other"""))
+def pair_features(spark, sf):
+    c, judged = _judged(spark, sf)
+    return forms.pair_features(judged.select("base", "other"), c, F.split("reaction", " ")[0])
+
+
 @query("pair_metrics", sql(_NEXT + " " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, {r('p', 4)} AS precision, {r('c', 4)} AS recall, {r('coalesce(2 * p * c / nullif(p + c, 0), 0)', 4)} AS f1 FROM (SELECT coalesce(count(*) FILTER (WHERE truth AND ({e})) / CAST(nullif(count(*) FILTER (WHERE {e}), 0) AS DOUBLE), 0) AS p, coalesce(count(*) FILTER (WHERE truth AND ({e})) / CAST(nullif(count(*) FILTER (WHERE truth), 0) AS DOUBLE), 0) AS c FROM q)" for n, e in (("by_hash", "by_hash"), ("by_rule", "by_rule"), ("by_either", "by_hash OR by_rule")))))
 def pair_metrics(spark, sf):
     c, judged = _judged(spark, sf)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight.functions import text
-from caselight.operators import documents, scoring, severity, summary
+from caselight.operators import documents, forms, scoring, severity, summary
 from caselight.plans import catalogue
 from caselight.plans.cases import cases
 from caselight.sources import workbooks
@@ -165,3 +165,14 @@ def test_workbooks_with_shared_strings_and_gaps():
         z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="AB2"><v>4.5</v></c></row><row/></sheetData></worksheet>')
     ((name, rows),) = workbooks.sheets(out.getvalue())
     assert name == "S" and list(rows) == [["one", "", "two runs"], [""] * 27 + ["4.5"], []]
+
+
+def test_pair_model(spark):
+    cases_ = spark.createDataFrame([(k, "F" if k % 2 else "M", f"d{k // 2}", "r", "x", "o", "h" if k % 4 < 2 else "", str(30 + k)) for k in range(80)], "case_key int, gender string, medicine string, reaction string, outcome string, seriousness string, source_hash string, age string")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(0, 79)], "base int, other int")
+    features = forms.pair_features(pairs, cases_, F.col("reaction"))
+    one = features.where("base = 0").first()
+    assert [one[f] for f in forms.PAIR_FEATURES] == [0, 1, 1, 1, 1, 1, 0.05, 1]
+    model, metrics = forms.pair_model(features.withColumn("t", F.col("same_drug") == 1), "t")
+    assert metrics.first()["f1"] == 1.0 and model.coefficients.size == len(forms.PAIR_FEATURES)
+    assert forms.pair_model(features.limit(5).withColumn("t", F.lit(True)), "t") == (None, None)
