@@ -531,7 +531,14 @@ def case_slots(spark, sf):
 # --- summaries ---
 
 
-@query("sentence_scores")
+_SENTENCE_SCORES = f"""WITH s AS (SELECT doc_id, {_CAPITAL} AS x FROM documents), e AS (SELECT doc_id, len(x) AS total, CAST(unnest(range(len(x))) AS INTEGER) AS position, unnest(x) AS sentence FROM s),
+w AS (SELECT doc_id, position, total, w, count(*) AS n FROM (SELECT doc_id, position, total, unnest({toks('sentence')}) AS w FROM e) GROUP BY ALL), st AS (SELECT doc_id, w, sum(n) AS freq, count(*) AS df FROM w GROUP BY ALL),
+b AS (SELECT doc_id, position, CAST(sum(n) AS DOUBLE) AS words, sum(n * CAST(freq AS DOUBLE) * (ln(CAST(total + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1)) AS x FROM w JOIN st USING (doc_id, w) GROUP BY 1, 2),
+f AS (SELECT e.*, words, x, len(list_filter([{', '.join(map(quoted, summary.CLINICAL))}], lambda k: contains(lower(sentence), k))) AS hits, CAST(CASE WHEN position = 0 THEN 2.5 WHEN position < total * {d(0.25)} THEN 1.5 WHEN position > total * {d(0.75)} THEN 0.8 ELSE 1 END AS DOUBLE) AS place, CAST(CASE WHEN words < 5 THEN 0.5 WHEN words > 50 THEN 0.8 ELSE 1 END AS DOUBLE) AS length FROM e LEFT JOIN b USING (doc_id, position)),
+g AS (SELECT doc_id, position, coalesce((x / words + hits * {d(1.8)}) * place * length, 0) AS score FROM f) SELECT doc_id, position, {r('score', 3)} AS score FROM g"""
+
+
+@query("sentence_scores", _SENTENCE_SCORES)
 def sentence_scores(spark, sf):
     return summary.sentence_scores(documents(spark, sf))
 
