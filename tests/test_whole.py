@@ -1,6 +1,7 @@
 """Queries that take the whole table, against plain versions."""
 
 import math
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight.functions import text
-from caselight.operators import documents, forms, scoring, severity, summary
+from caselight.operators import documents, extraction, forms, scoring, severity, summary
 from caselight.plans import catalogue
 from caselight.plans.cases import cases
 from caselight.sources import workbooks
@@ -176,3 +177,52 @@ def test_pair_model(spark):
     model, metrics = forms.pair_model(features.withColumn("t", F.col("same_drug") == 1), "t")
     assert metrics.first()["f1"] == 1.0 and model.coefficients.size == len(forms.PAIR_FEATURES)
     assert forms.pair_model(features.limit(5).withColumn("t", F.lit(True)), "t") == (None, None)
+
+
+def plain_fields(words):
+    """Extraction with Python's own regular expressions, every pattern tried on every text."""
+    strip = lambda x: x.strip(" \t\n\x0b\f\r")
+    clean = lambda x: strip(re.sub(r"[:|]+\Z", "", re.sub(r"[ \t\n\x0b\f\r]+", " ", x or "")))
+    find = lambda p, x: clean(m[1]) if (m := re.search(p, x, re.ASCII)) else ""
+    marked = extraction.MARKER in words
+    source = words.split(extraction.MARKER)[-1] if marked else words
+    places = list(re.finditer(rf"(?i){'(?<![^\n])' if marked else r'(?<!\S)'}({'|'.join(extraction.LABELS)}):", source, re.ASCII))
+    given = {}
+    for m, after in zip(places, [*places[1:], None]):
+        given.setdefault(m[1].lower(), clean(source[m.end() : after.start() if after else len(source)]))
+    low, out = words.lower(), {}
+    term = lambda terms: next((name for t, name in terms if t in low), "")
+    for name, labels in extraction.FIELD_LABELS.items():
+        tried = [given.get(label.lower(), "") for label in labels] + [find(p, words) for _, p in extraction.ANYWHERE.get(name, ())]
+        if not marked:
+            tried += [find(p, words) for _, p in extraction.FREE.get(name, ())]
+            if name in extraction.TITLED:
+                value = find(extraction.TITLED[name][1], words)
+                tried.append("" if re.search(extraction.LAYOUT_WORDS, value.lower()) else value)
+            if name == "outcome":
+                tried += [find(extraction.OUTCOME_TICKED, find(extraction.OUTCOME_BLOCK[1], words)), term(extraction.OUTCOMES)]
+            if name == "seriousness":
+                tried.append(term(extraction.SERIOUSNESS))
+        out[name] = next((x for x in tried if x), "")
+    return out
+
+
+def test_extraction_is_the_plain_one(spark):
+    from caselight.plans import q_text
+
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    rows = [(i, x) for i, x in zip(t["doc_id"], t["text"])]
+    r = random.Random(4)
+    bits = [line for _, x in q_text._CASES for line in (x or "").split("\n")] + ["15. Outcome: X Recovering", "i Warfarin 5 mg oral daily N/A", "i Metformin N/A N/A N/A 3", "Dose: route", "Outcome: Region: north", "onset: 01/02/2024", "patient name", "description of reaction: a long rash", "Institution: City Hospital", "30 yrs"]
+    rows += [(10_000 + k, r.choice(["\n", " ", "\n\n"]).join(r.choice(bits) for _ in range(r.randint(1, 12)))) for k in range(300)]
+    rows += [(20_000, None), (20_001, "")]
+    got = {x["doc_id"]: x for x in extraction.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in rows:
+        want = plain_fields(x or "")
+        assert {n: got[i][n] for n in want} == want, x
+
+
+def test_risk_flags_are_the_last_word_on_seriousness(spark):
+    rows = spark.createDataFrame([(1, "nothing of note", "serious, late"), (2, "life-threatening", "serious"), (3, "nothing", None)], "doc_id int, text string, row_risk_flags string")
+    got = {r["doc_id"]: r["seriousness"] for r in extraction.extract(rows).collect()}
+    assert got == {1: "Other medically important", 2: "Life-threatening", 3: ""}
