@@ -92,3 +92,44 @@ def test_no_labels_keep_all(spark):
         rules = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
         assert rules == [] and quality.judged(docs, rules).first()["kept"]
     assert quality.judged(docs.where("false"), []).count() == 0
+
+
+def test_a_floor_prunes_blocks_and_loses_nothing():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 300, (40, 16)).astype(np.int64)
+    docs = np.repeat(centres, 64, axis=0) + r.integers(-20, 20, (40 * 64, 16))
+    ids, queries = np.arange(len(docs)), centres[:10] + 1
+    names = -1 - np.arange(10)
+    row, found, score, scored = topk.search(names, queries, ids, docs, 10)
+    floor = np.array([score[row == k].min() for k in range(10)])
+    again = topk.search(names, queries, ids, docs, 10, floor=floor)
+    assert [x.tolist() for x in again[:3]] == [row.tolist(), found.tolist(), score.tolist()] and again[3] <= scored < 400
+    # a floor above all scores leaves no block; none at all is as before
+    assert topk.search(names, queries, ids, docs, 10, floor=floor + 10**9)[3] == 0
+    assert topk.search(names, queries, ids, docs, 10, floor=np.full(10, topk.NO_FLOOR))[3] == scored
+
+
+def test_chunks_out_of_reach_are_not_met(spark, monkeypatch):
+    """With small chunks: the same rows as by brute force, from several chunks and batches."""
+    for name, value in (("CHUNK", 32), ("BATCH", 4), ("SUMMARIES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rows = vectors(900, 5, 0.2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search_every(df).collect())
+    assert got == brute_top(rows)
+
+
+def test_imprecise_rules_do_not_end_the_list():
+    """The first seed's rule is no good; what it covered is set aside and the next one is learned."""
+    r = random.Random(7)
+    rows = []
+    for k in range(1200):
+        x = {f: r.random() for f in quality.FEATURES}
+        bad = x["upper_share"] > 0.9 and r.random() < 0.99 or x["symbol_share"] > 0.7 and r.random() < 0.85
+        rows.append(x | {"bad": bad, "fold": k % 3})
+    rules = quality.learn(rows)
+    caught = lambda x: any(all(c.holds(x) for c in rule) for rule in rules)
+    clear = [x for x in rows if x["upper_share"] > 0.92]
+    assert sum(map(caught, clear)) > 0.8 * len(clear)
