@@ -14,7 +14,6 @@ once each; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

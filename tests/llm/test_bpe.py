@@ -98,3 +98,16 @@ def test_best_fit_decreasing_is_the_plain_one():
     assert len(set(bins.tolist())) == len(rooms)
     used = np.bincount(bins, lengths)
     assert sorted(100 - used) == sorted(rooms)
+
+
+def test_query_packs_with_little_padding(spark):
+    """Of the query's own output, with repeated ids, equal lengths and clashing columns."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clash = docs.unionByName(docs.limit(20)).withColumnsRenamed({"lang": "bucket"}).selectExpr("doc_id", "text", "bucket", "doc_id AS sequence_id", "text AS length")
+    out = packing.pack_documents(clash).select("sequence_id", "offset", "length").collect()
+    ends = {}
+    for s, o, n in sorted(map(tuple, out)):
+        assert o == ends.get(s, 0)
+        ends[s] = o + n
+    total = sum(ends.values())
+    assert max(ends.values()) <= packing.WINDOW and len(ends) <= -(-total // packing.WINDOW) * 1.01 + 1
