@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import checkpointed
+from .common import checkpointed, drop, saved
 
 WINDOW = 13
 PERIOD = 7
@@ -36,16 +36,24 @@ def aligned(hashes: np.ndarray) -> np.ndarray:
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """``(gone_id, gone_key, starts, copy)`` per row that loses words."""
-    found = passages.repeated(docs, aligned, ANCHOR, WINDOW)
-    gone = found.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
-    return checkpointed(gone)
+    buckets = passages.buckets_for(docs, PERIOD / len(COVER))
+    spots, copies = passages.suspects(docs, passages.dealt_anchors(buckets, aligned, ANCHOR, WINDOW), WINDOW)
+
+    def dealer() -> passages.Dealer:
+        return passages.Dealer(*passages.WINDOWS, buckets, passages.least_document)
+
+    dealt = passages.suspect_windows(docs, spots, ANCHOR, WINDOW, dealer().schema, dealer)
+    later = saved(dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(passages.later_windows, "doc_id long, text_key long, start int"))
+    found = later.select("*", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "text_key", F.lit(None).cast("int").alias("start"), F.lit(True).alias("copy")))
+    gone = checkpointed(found.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_list("start").alias("starts"), F.max("copy").alias("copy")))
+    drop(spots, copies, later)
+    return gone
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words, joined by a space, as ``text``, and ``n_words`` and
     ``n_removed``."""
     gone = removed_windows(passages.prepared(docs))
-    passages.release(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
@@ -54,13 +62,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, lost = [], [], []
-            for x, starts, copy in zip(b.column("data"), b.column("starts").to_pylist(), b.column("copy").to_pylist(), strict=True):
+            for x, starts, copy in zip(b.column("data"), b.column("starts"), b.column("copy").to_pylist(), strict=True):
                 words = x.as_py().split()
                 n.append(len(words))
                 if copy:
                     words = words if len(words) < WINDOW else []
-                elif starts:
-                    words = [words[k] for k in np.flatnonzero(~passages.covered(len(words), starts, WINDOW)).tolist()]
+                elif starts.is_valid and len(starts.values):
+                    words = [words[k] for k in np.flatnonzero(~passages.covered(len(words), starts.values.to_numpy(), WINDOW)).tolist()]
                 lost.append(n[-1] - len(words))
                 texts.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=["rest", "text", "n_words", "n_removed"])
