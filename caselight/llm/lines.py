@@ -1,15 +1,18 @@
 """Line deduplication with two Bloom filters.
 
-A first pass hashes each line's key into two filters: seen once, seen in a second document. Tasks
-build their own pair; pairs are merged in a tree, slice by slice (what both sides saw once counts
-as seen twice), and only the second filter, of a fixed greatest size, is broadcast. A second pass
-shuffles the suspected keys alone: those that the second filter holds. They are counted exactly
-and each repeated key's last document is found. A filter that is too full for its corpus only
-lets more keys be shuffled; the result is the same.
-
-Keys are compared by a 128-bit hash. Defined results: null and empty texts are one empty line;
-rows with a null ``doc_id`` keep all lines and do not count as documents; rows with one
-``doc_id`` are one document; an empty table gives an empty table; other columns are passed on.
+Keys of lines, as hashes of 128 bits with their document, are dealt out by hash to as many shards as
+``SHARD_KEYS`` go into the corpus. A shard reads its keys into two filters, seen once and seen
+again, sized for it; only the suspects, which the second filter holds, are sorted and counted
+exactly, and each repeated key's last document is found. Filters never grow with the corpus: more
+text makes more shards.
+
+A key that a third of all documents hold doesn't fill its shard. Of what a task gathers (``FLUSH``
+keys), a key's largest ``min_documents`` documents go to its shard; if there are more, these lose the
+line whatever other tasks have, and go to shards by document, marked as known.
+
+Defined results: null and empty texts are one empty line; rows with a null ``doc_id`` keep all lines
+and do not count as documents; rows with one ``doc_id`` are one document; an empty table gives an
+empty table; other columns are passed on.
 """
 
 from __future__ import annotations
@@ -18,21 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, checkpointed
+from .passages import Dealer, unpacked
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-BITS_A_LINE = 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-#: Bits in a slice of a filter.
-SLICE = 1 << 18
-FAN_IN = 64
+BITS_A_KEY = 16
+#: Keys in a shard, about; bytes of text to a key; keys that a shard takes into its filters at once.
+SHARD_KEYS = 500_000
+LINE_BYTES = 60
+AT_ONCE = 1 << 14
 _SPACE = SPACE_CHARS.encode()
+KEYS = (["hash", "low", "doc_id"], ["<u8", "<u8", "<i8"])
 
 
 def line_keys(data: bytes) -> list[bytes | None]:
@@ -47,117 +52,93 @@ def line_keys(data: bytes) -> list[bytes | None]:
     return out
 
 
-def _halves(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-
-
 class Filter:
-    def __init__(self, bits: int, data: np.ndarray | None = None):
+    def __init__(self, bits: int):
         self.mask = np.uint64(bits - 1)
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def _places(self, keys: np.ndarray) -> np.ndarray:
-        return keys & self.mask
+        self.data = np.zeros(bits, bool)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = self._places(keys)
-        return ((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+        return self.data[keys & self.mask].all(axis=1)
 
     def add(self, keys: np.ndarray) -> None:
-        at = self._places(keys).ravel()
-        np.bitwise_or.at(self.data, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-
-
-def _packed(part: np.ndarray) -> bytes:
-    """A slice as bits or, where shorter, as the places of its ones."""
-    ones = np.flatnonzero(np.unpackbits(part, bitorder="little")).astype("<u4").tobytes()
-    return b"p" + ones if len(ones) < len(part) else b"b" + part.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    if data[:1] == b"b":
-        return np.frombuffer(data, np.uint8, offset=1)
-    bits = np.zeros(SLICE, np.uint8)
-    bits[np.frombuffer(data, "<u4", offset=1)] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-_FILTERS = "part int, slice int, once binary, twice binary"
-
-
-def _rows(part: int, slices: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(slices), pa.int32()), pa.array([s[0] for s in slices], pa.int32()), *(pa.array([_packed(s[k]) for s in slices], pa.binary()) for k in (1, 2))],
-        names=["part", "slice", "once", "twice"],
-    )
-
-
-def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
-    """The filter of keys that at least two documents may hold."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = Filter(bits), Filter(bits)
-        for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                found = [d for x in b.column("data").slice(k, 2048) for d in {*line_keys(x.as_py())} - {None}]
-                if not found:
-                    continue
-                keys, counts = np.unique(_halves(found), axis=0, return_counts=True)
-                twice.add(keys[(counts > 1) | once.has(keys)])
-                once.add(keys)
-        a, c = once.data.reshape(-1, SLICE // 8), twice.data.reshape(-1, SLICE // 8)
-        full = np.flatnonzero(a.any(axis=1)).tolist()
-        for k in range(0, len(full), 64):
-            yield _rows(TaskContext.get().partitionId() // FAN_IN, [(i, a[i], c[i]) for i in full[k : k + 64]])
-
-    def merge(t: pa.Table) -> pa.Table:
-        once, twice = np.zeros(SLICE // 8, np.uint8), np.zeros(SLICE // 8, np.uint8)
-        for x, y in zip(t["once"], t["twice"], strict=True):
-            seen = _unpacked(x.as_py())
-            twice |= _unpacked(y.as_py()) | (once & seen)
-            once |= seen
-        return pa.Table.from_batches([_rows(t["part"][0].as_py() // FAN_IN, [(t["slice"][0].as_py(), once, twice)])])
-
-    rows = docs.select("data").mapInArrow(build, _FILTERS)
-    parts = max(1, docs.rdd.getNumPartitions())
-    while True:
-        rows = rows.groupBy("part", "slice").applyInArrow(merge, _FILTERS)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            break
-    out = np.zeros((bits // SLICE, SLICE // 8), np.uint8)
-    merged = rows.select("slice", "twice").toArrow()
-    for s, data in zip(merged["slice"].to_pylist(), merged["twice"].to_pylist(), strict=True):
-        out[s] = _unpacked(data)
-    return out.ravel()
-
-
-def suspected(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """``(doc_id, key)``: each document's keys that the filter holds."""
-    bits = len(bloom) * 8
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(bits, np.frombuffer(shared.value, np.uint8))
-        for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for k in range(0, b.num_rows, 2048):
-                found = [(i, d) for i, x in zip(ids[k : k + 2048], b.column("data").slice(k, 2048), strict=True) for d in {*line_keys(x.as_py())} - {None}]
-                if found:
-                    keep = np.flatnonzero(held.has(_halves([d for _, d in found]))).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([found[j][0] for j in keep], pa.int64()), pa.array([found[j][1] for j in keep], pa.binary())], names=["doc_id", "key"])
-
-    return docs.select("doc_id", "data").mapInArrow(run, "doc_id long, key binary")
+        self.data[keys & self.mask] = True
+
+
+def suspects(keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (rows of two hashes) may be there again."""
+    bits = 1 << (BITS_A_KEY * len(keys) | 1 << 10).bit_length()
+    once, again = Filter(bits), Filter(bits)
+    for k in range(0, len(keys), AT_ONCE):
+        part, counts = np.unique(keys[k : k + AT_ONCE], axis=0, return_counts=True)
+        again.add(part[(counts > 1) | once.has(part)])
+        once.add(part)
+    return again.has(keys)
+
+
+def ranked(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in the order of key and document without repeats: the number of documents above each
+    one's own that hold its key, and of all that hold it."""
+    new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(high) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, len(high)])
+    return np.repeat(starts + sizes, sizes) - 1 - np.arange(len(high)), np.repeat(sizes, sizes)
+
+
+def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns in their order, without repeats."""
+    if not len(columns[0]):
+        return columns
+    new = np.any([np.r_[True, c[1:] != c[:-1]] for c in columns], axis=0)
+    return [c[new] for c in columns]
+
+
+def dealer(shards: int, min_documents: int) -> Dealer:
+    def pick(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        above, _ = ranked(*columns)
+        return above < min_documents, above >= min_documents
+
+    return Dealer(*KEYS, shards, pick, route="doc_id")
+
+
+def confirmed(t: pa.Table, min_documents: int) -> pa.Table:
+    """Of a shard, the keys that each document loses."""
+    known = t.filter(t["known"])
+    gone = unpacked(known, *KEYS) if known.num_rows else [np.zeros(0, d) for d in KEYS[1]]
+    t = t.filter(pc.invert(t["known"]))
+    if t.num_rows:
+        high, low, doc = unpacked(t, *KEYS)
+        again = suspects(np.stack([high, low], axis=1))
+        columns = [c[again] for c in (high, low, doc)]
+        order = np.lexsort(columns[::-1])
+        columns = _distinct([c[order] for c in columns])
+        above, holders = ranked(*columns)
+        lost = (holders >= min_documents) & (above > 0)
+        gone = [np.concatenate([g, c[lost]]) for g, c in zip(gone, columns, strict=True)]
+    return pa.table({"drop_id": gone[2], "key": pa.array([x.tobytes() for x in np.stack(gone[:2], axis=1)], pa.binary())})
 
 
 def dropped_keys(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(drop_id, keys)``: the keys that each document loses."""
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("data")).where("doc_id is not null and data is not null")
-    lines = data.agg(F.sum(F.length("data") - F.length(F.translate(F.col("data").cast("string"), "\n", "").cast("binary")) + 1)).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * lines).bit_length()))
-    found = checkpointed(suspected(data, twice_seen(data, bits)))
-    repeated = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents)
-    return found.join(repeated.select("key", "last"), "key").where("doc_id <> last").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("keys"))
+    size = data.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = 1 << (int(size / LINE_BYTES) // SHARD_KEYS + 1).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = dealer(shards, min_documents)
+        for b in batches:
+            for doc, x in zip(b.column("doc_id").to_pylist(), b.column("data"), strict=True):
+                found = np.frombuffer(b"".join({*line_keys(x.as_py())} - {None}), "<u8").reshape(-1, 2)
+                out.add(found[:, 0], found[:, 1], np.full(len(found), doc, np.int64))
+                if out.full():
+                    yield from out.rows()
+        yield from out.rows()
+
+    def confirm(t: pa.Table) -> pa.Table:
+        return confirmed(t, min_documents)
+
+    dealt = data.mapInArrow(deal, dealer(shards, min_documents).schema)
+    gone = checkpointed(dealt.repartitionById(shards, "bucket").groupBy("bucket").applyInArrow(confirm, "drop_id long, key binary"))
+    return gone.groupBy("drop_id").agg(F.collect_list("key").alias("keys"))
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

@@ -101,3 +101,88 @@ def test_suffixes(spark, rows):
         if gone:
             want.setdefault(i, set()).update(gone)
     assert got == want
+
+
+def by_bucket(dealer, flushes):
+    """What a dealer sends of some flushes, as a table per bucket."""
+    import pyarrow as pa
+
+    sent = []
+    for columns in flushes:
+        dealer.add(*columns)
+        sent += dealer.rows()
+    whole = pa.Table.from_batches(sent)
+    return [whole.filter(pa.compute.equal(whole["bucket"], b)) for b in sorted(set(whole["bucket"].to_pylist()))]
+
+
+def random_windows(seed):
+    """Columns of windows of 30 documents in 6 flushes, some hashes in most documents."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    n = 1200
+    h = np.where(r.random(n) < 0.3, r.integers(0, 3, n), r.integers(0, 400, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    doc = r.integers(1, 31, n)
+    columns = [h, (h >> np.uint64(40)) & np.uint64(0xFFFFFFFF), doc, doc * 1000 - 15_000, np.arange(n, dtype=np.int64)]
+    cut = np.array_split(r.permutation(n), 6)
+    return columns, [[c[k] for c in columns] for k in cut]
+
+
+def test_anchors_are_shared_across_flushes():
+    import numpy as np
+
+    from caselight.llm import passages
+
+    for seed in range(5):
+        (h, _, _, key, place), flushes = random_windows(seed)
+        dealer = passages.Dealer(*passages.ANCHORS, 8, passages.one_text)
+        got = set()
+        for t in by_bucket(dealer, [[f[0], f[3], f[4]] for f in flushes]):
+            out = passages.shared_anchors(t)
+            got |= set(zip(out["text_key"].to_pylist(), out["place"].to_pylist()))
+        texts = {}
+        for a, k in zip(h.tolist(), key.tolist()):
+            texts.setdefault(a, set()).add(k)
+        assert got == {(k, p) for a, k, p in zip(h.tolist(), key.tolist(), place.tolist()) if len(texts[a]) > 1}
+
+
+def test_later_windows_across_flushes():
+    import numpy as np
+
+    from caselight.llm import passages
+
+    for seed in range(5):
+        (h, _, doc, key, start), flushes = random_windows(seed)
+        least = {}
+        for a, d in zip(h.tolist(), doc.tolist()):
+            least[a] = min(least.get(a, d), d)
+        want = {(d, k, s) for a, d, k, s in zip(h.tolist(), doc.tolist(), key.tolist(), start.tolist()) if d > least[a]}
+        got = set()
+        for t in by_bucket(passages.Dealer(*passages.WINDOWS, 8, passages.least_document), flushes):
+            out = passages.later_windows(t)
+            got |= set(zip(out["doc_id"].to_pylist(), out["text_key"].to_pylist(), out["start"].to_pylist()))
+        assert got == want
+        got, firsts = set(), {}
+        for t in by_bucket(passages.Dealer(*passages.WINDOWS, 8, suffixes.least_marked), flushes):
+            for r in suffixes.later_and_least(t).to_pylist():
+                if r["doc_id"] is None:
+                    firsts[r["hash"] % (1 << 64)] = r["first_doc_id"]
+                else:
+                    got.add((r["doc_id"], r["text_key"], r["start"]))
+        assert got == want
+        assert firsts == {a: d for a, d in least.items() if any(a == b and e > d for b, e in zip(h.tolist(), doc.tolist()))}
+
+
+def test_lines_across_flushes():
+    import numpy as np
+
+    for seed in range(5):
+        (h, low, doc, _, _), flushes = random_windows(seed)
+        gone = set()
+        for t in by_bucket(lines.dealer(8, 3), [[f[0], f[1], f[2]] for f in flushes]):
+            out = lines.confirmed(t, 3)
+            gone |= {(d, int(np.frombuffer(k, "<u8")[0])) for d, k in zip(out["drop_id"].to_pylist(), out["key"].to_pylist())}
+        holders = {}
+        for a, d in zip(h.tolist(), doc.tolist()):
+            holders.setdefault(a, set()).add(d)
+        assert gone == {(d, a) for a, ds in holders.items() if len(ds) >= 3 for d in ds if d != max(ds)}
