@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_blocks, lines, packing, pii, quality, simhash, substring, suffixes, topk
+from . import bpe, html_blocks, lines, merkle, packing, pii, quality, simhash, substring, suffixes, topk
 from .common import table
 
 
@@ -59,6 +59,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``folded_root`` is made anew for every row, from the tampered leaf or else its own, by its proof."""
+    out = merkle.manifest(table(spark, sf_dir, "documents"))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,7 +93,40 @@ h AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + {size - 1}], ' ')) AS
 gone AS (SELECT doc_id, i, first FROM h JOIN f USING (h) WHERE doc_id > first)"""
 
 
+def _merkle(lower: int = 8, upper: int = 4) -> str:
+    """Levels are written out: enough for 8 ** ``lower`` rows of a language and 8 ** ``upper`` languages."""
+    fan = merkle.FAN
+    text = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    head = " || ".join(text.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bit = "CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    crc = f"list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, b: list_reduce(range(8), lambda a, i: {bit}, xor(x, b)), 4294967295)"
+    steps = [
+        f"d AS MATERIALIZED (SELECT doc_id, coalesce('+' || lang, '') AS tree, sha256({head} || {text.format('text')}) AS leaf, CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN sha256({head} || {text.format(_LOWER.format('text'))}) END AS spoilt FROM documents)",
+        "a0 AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+    ]
+
+    def levels(name: str, runs: str, count: int) -> None:
+        for k in range(count):
+            steps.append(f"{runs}{k} AS MATERIALIZED (SELECT tree, pos // {fan} AS pos, list(h ORDER BY pos) AS kids, max(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // {fan})")
+            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, pos, sha256(array_to_string(kids, '')) AS h, (n + {fan - 1}) // {fan} AS n FROM {runs}{k})")
+
+    levels("a", "b", lower)
+    tops = " UNION ALL ".join(f"SELECT tree, h FROM a{k} WHERE n = 1" for k in range(lower + 1))
+    steps.append(f"s AS MATERIALIZED (SELECT tree AS name, h AS subroot FROM ({tops}))")
+    steps.append("u0 AS MATERIALIZED (SELECT name, '' AS tree, subroot AS h, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n FROM s)")
+    levels("u", "v", upper)
+    steps.append("r AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT h AS root FROM u{k} WHERE n = 1" for k in range(upper + 1)) + ")")
+    steps.append("f0 AS (SELECT a0.doc_id, a0.tree, leaf, subroot, a0.pos, u0.pos AS top, '' AS proof, coalesce(spoilt, leaf) AS f FROM a0 JOIN s ON tree = name JOIN u0 USING (name))")
+    for j, (runs, place, k) in enumerate([("b", "pos", k) for k in range(lower)] + [("v", "top", k) for k in range(upper)]):
+        own = f"(x.{place} // {fan**k}) % {fan}"
+        left, right = f"coalesce(array_to_string(kids[1:{own}], ''), '')", f"coalesce(array_to_string(kids[{own} + 2:], ''), '')"
+        tree = "y.tree = x.tree" if runs == "b" else "true"
+        steps.append(f"f{j + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (proof, f), proof || {left} || {right} AS proof, CASE WHEN kids IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f FROM f{j} AS x LEFT JOIN {runs}{k} AS y ON {tree} AND y.pos = x.{place} // {fan ** (k + 1)})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{lower + upper}, r"
+
+
 SQL: dict[str, str] = {
+    "op13_merkle": _merkle(),
     "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
