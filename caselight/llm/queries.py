@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_blocks, lines, merkle, packing, pii, quality, simhash, substring, suffixes, topk
+from . import bpe, html_blocks, licenses, lines, merkle, negatives, packing, pii, quality, simhash, substring, suffixes, topk
 from .common import table
 
 
@@ -59,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % negatives.ANCHOR_EVERY == 0, label)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places, base = F.transform("places", lambda x: x["place"]), F.transform("places", lambda x: x["label"])
+    text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), text(base).alias("base_labels"), text(F.concat(base, "notices")).alias("labels"), "score")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``folded_root`` is made anew for every row, from the tampered leaf or else its own, by its proof."""
     out = merkle.manifest(table(spark, sf_dir, "documents"))
@@ -77,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
+    "op11_negatives": op11_negatives,
+    "op12_licenses": op12_licenses,
     "op13_merkle": op13_merkle,
 }
 
@@ -93,6 +109,26 @@ h AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + {size - 1}], ' ')) AS
 gone AS (SELECT doc_id, i, first FROM h JOIN f USING (h) WHERE doc_id > first)"""
 
 
+def _licenses() -> str:
+    """Every block with every template of its length, without filters."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        words = re.findall("[a-z0-9]+", text.lower())
+        run, held = max(licenses.LEAST_RUN, 2 ** math.ceil(math.log2(len(words)))), sorted(set(words))
+        rows.append(f"('{label}', {run}, {math.ceil(licenses.THRESHOLD * len(held) - 1e-9)}, {quoted(held)})")
+    places = " UNION ALL ".join(f"SELECT rid, '{label}' AS label, i FROM (SELECT rid, words, unnest(range(0, len(words))) AS i FROM w) WHERE words[i + 1:i + {len(phrase.split())}] = {quoted(phrase.split())}" for phrase, label in licenses.PHRASES)
+    return rf"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+t(label, run, k, words) AS MATERIALIZED (VALUES {", ".join(rows)}),
+b AS MATERIALIZED (SELECT rid, run, s, list_distinct(words[s + 1:s + 2 * run]) AS held FROM (SELECT rid, run, words, unnest(range(0, len(words), run)) AS s FROM w, (SELECT DISTINCT run FROM t))),
+m AS MATERIALIZED (SELECT rid, b.run, s, label, list_intersect(held, t.words) AS shared, len(list_intersect(held, t.words)) / len(t.words) AS share FROM b JOIN t ON b.run = t.run AND len(list_intersect(held, t.words)) >= k),
+z AS (SELECT rid, label, share FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.rid = m.rid AND o.run = m.run AND o.s = m.s AND (len(o.shared), o.share) > (len(m.shared), m.share) AND list_has_all(o.shared, m.shared))),
+p AS MATERIALIZED ({places}),
+q AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS e, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT rid, label, 1.0 AS share FROM p UNION ALL SELECT * FROM z) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, e AS last_word, coalesce(q.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CAST(coalesce(share, 0) AS DOUBLE) AS score FROM w LEFT JOIN q USING (rid) LEFT JOIN a USING (rid)"""
+
+
 def _merkle(lower: int = 8, upper: int = 4) -> str:
     """Levels are written out: enough for 8 ** ``lower`` rows of a language and 8 ** ``upper`` languages."""
     fan = merkle.FAN
@@ -126,6 +162,13 @@ def _merkle(lower: int = 8, upper: int = 4) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_negatives": """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+    "op12_licenses": _licenses(),
     "op13_merkle": _merkle(),
     "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
