@@ -14,15 +14,15 @@ from caselight.functions.text import rounded
 CLASSES = ("death", "disability", "hospitalisation", "others")
 
 
-def _ratio(a: Column, b: Column) -> Column:
+def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
 def binary(rows: DataFrame, truth: Column, guess: Column, digits: int = 3) -> DataFrame:
     c = rows.select(truth.alias("t"), guess.alias("g")).agg(F.count_if(F.col("t") & F.col("g")).alias("tp"), F.count_if(~F.col("t") & F.col("g")).alias("fp"), F.count_if(F.col("t") & ~F.col("g")).alias("fn"), F.count_if(~F.col("t") & ~F.col("g")).alias("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return c.select("tp", "fp", "fn", "tn", rounded(_ratio(tp + tn, tp + fp + fn + tn), digits).alias("accuracy"), rounded(p, digits).alias("precision"), rounded(r, digits).alias("recall"), rounded(_ratio(2 * p * r, p + r), digits).alias("f1"))
+    p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    return c.select("tp", "fp", "fn", "tn", rounded(ratio(tp + tn, tp + fp + fn + tn), digits).alias("accuracy"), rounded(p, digits).alias("precision"), rounded(r, digits).alias("recall"), rounded(ratio(2 * p * r, p + r), digits).alias("f1"))
 
 
 def confusion(rows: DataFrame, truth: str, guess: str, classes: tuple[str, ...] = CLASSES) -> DataFrame:
@@ -38,8 +38,8 @@ def per_class(matrix: DataFrame, truth: str, guess: str, classes: tuple[str, ...
     one = matrix.select(F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"), truth, guess, "n")
     t, g = F.col(truth) == F.col("class"), F.col(guess) == F.col("class")
     c = one.groupBy("class").agg(F.sum(F.when(t & g, F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(~t & g, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(t & ~g, F.col("n")).otherwise(0)).alias("fn"))
-    c = c.withColumn("precision", rounded(_ratio(F.col("tp"), F.col("tp") + F.col("fp")), 3)).withColumn("recall", rounded(_ratio(F.col("tp"), F.col("tp") + F.col("fn")), 3))
-    return c.withColumn("f1", rounded(_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 3)).withColumn("support", F.col("tp") + F.col("fn"))
+    c = c.withColumn("precision", rounded(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 3)).withColumn("recall", rounded(ratio(F.col("tp"), F.col("tp") + F.col("fn")), 3))
+    return c.withColumn("f1", rounded(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 3)).withColumn("support", F.col("tp") + F.col("fn"))
 
 
 def macro(scores: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     counts = long.groupBy("id", "x.g").agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
     total = counts.groupBy("id").agg(F.sum(F.least("h", "r")).alias("o"), F.sum("h").alias("nh"), F.sum("r").alias("nr"))
     t = rows.select("id").join(total, "id", "left")
-    p, r = _ratio(F.col("o"), F.col("nh")), _ratio(F.col("o"), F.col("nr"))
-    return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(_ratio(2 * p * r, p + r), 4).alias("f1"))
+    p, r = ratio(F.col("o"), F.col("nh")), ratio(F.col("o"), F.col("nr"))
+    return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -94,8 +94,8 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": x.id, "lcs": [_lcs(list(a), list(b)) for a, b in zip(x.h, x.r, strict=True)], "nh": [len(a) for a in x.h], "nr": [len(b) for b in x.r]})
 
     t = rows.mapInPandas(run, "id long, lcs long, nh long, nr long")
-    p, r = _ratio(F.col("lcs"), F.col("nh")), _ratio(F.col("lcs"), F.col("nr"))
-    return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(_ratio(2 * p * r, p + r), 4).alias("f1"))
+    p, r = ratio(F.col("lcs"), F.col("nh")), ratio(F.col("lcs"), F.col("nr"))
+    return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
 def cosine(pairs: DataFrame) -> DataFrame:
@@ -122,5 +122,5 @@ def fields(rows: DataFrame, names: list[str], soft: bool = False) -> DataFrame:
     same = (x == g) | (x.contains(g) | g.contains(x) if soft else F.lit(False))
     c = long.groupBy("field").agg(F.count_if((x != "") & (g != "") & same).alias("tp"), F.count_if((x != "") & ~((g != "") & same)).alias("fp"), F.count_if((x == "") & (g != "")).alias("fn"))
     every = c.unionByName(c.agg(F.lit("micro").alias("field"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
-    p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return every.select("field", "tp", "fp", "fn", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(_ratio(2 * p * r, p + r), 4).alias("f1"))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return every.select("field", "tp", "fp", "fn", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(ratio(2 * p * r, p + r), 4).alias("f1"))

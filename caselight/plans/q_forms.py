@@ -24,14 +24,6 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-_ROWS = [(1, "2025-01-09", "Aspirin, Metformin; Heparin ,Digoxin"), (2, "09/01/2025", ""), (3, "January", None), (4, None, "Insulin")]
-
-
-@query("form_fields", f"SELECT * FROM {values([(1, '2025', '01', '09', 4, 'Aspirin', 'Metformin', 'Heparin'), (2, '2025', '01', '09', 0, '', '', ''), (3, '', '', 'January', 0, '', '', ''), (4, '', '', '', 1, 'Insulin', '', '')], 'id, year, month, day, n_drugs, drug_1, drug_2, drug_3')}")
-def form_fields(spark, sf):
-    return forms.form_fields(inline(spark, _ROWS, "id int, onset string, concomitant string"))
-
-
 _NEXT = ", p AS (SELECT case_key AS base, lead(case_key) OVER (PARTITION BY patient_token ORDER BY case_key) AS other FROM cases), q AS (SELECT base, other, a.source_hash = b.source_hash AS by_hash, a.gender = b.gender AND a.medicine = b.medicine AND a.reaction = b.reaction AS by_rule, a.patient_token = b.patient_token AND a.medicine = b.medicine AS truth FROM p JOIN cases a ON a.case_key = base JOIN cases b ON b.case_key = other)"
 
 
@@ -77,21 +69,6 @@ def expected_evidence(spark, sf):
     return forms.expected_evidence(asked, c)
 
 
-_FORMS = [("Male", "M", "Non-serious", "non serious", "rash", "Date"), ("Female", "male", "Death", "", "", "itch"), ("", "", "Death", "death", "fever", "fever!")]
-_FORM_SCHEMA = "e_sex string, a_sex string, e_seriousness string, a_seriousness string, e_reaction string, a_reaction string"
-_FIELDS = ["sex", "seriousness", "reaction"]
-
-
-@query("form_accuracy", f"SELECT field, compared, matched, CAST(accuracy AS DOUBLE) AS accuracy FROM {values([('sex', 3, 2, 0.6667), ('seriousness', 3, 2, 0.6667), ('reaction', 3, 1, 0.3333)], 'field, compared, matched, accuracy')}")
-def form_accuracy(spark, sf):
-    return forms.form_accuracy(inline(spark, _FORMS, _FORM_SCHEMA), _FIELDS)
-
-
-@query("form_errors", f"SELECT * FROM {values([('wrong_value', 1), ('missing_extraction', 1), ('unexpected_extraction', 1), ('template_label_extracted', 1)], 'error, n')}")
-def form_errors(spark, sf):
-    return forms.form_errors(inline(spark, _FORMS, _FORM_SCHEMA), _FIELDS)
-
-
 _REPORTS = "SELECT case_key AS id, narrative, 'Patient received ' || medicine || '.' AS summary FROM cases"
 
 
@@ -119,37 +96,12 @@ def metrics_rollup(spark, sf):
     return forms.rollup(dataset=signals.dataset_stats(c), confidence=c.agg(F.count_if(F.col("confidence") < 0.65).alias("low")))
 
 
-_GOLD = [(1, "M", "45.0", "recovering", " Death "), (2, "woman", "x", "Not recovered", ""), (3, None, None, None, None), (4, "Male", " 7 ", "died", "Non-serious")]
-
-
-@query("gold_labels", f"SELECT * FROM {values([(1, 'male', '45', 'Recovered/Resolved', 'Death'), (2, 'female', None, 'Not Recovered/Not Resolved', None), (3, None, None, None, None), (4, 'male', '7', 'Fatal', 'Non-serious')], 'id, sex, age, outcome, seriousness')}")
-def gold_labels(spark, sf):
-    return forms.gold(inline(spark, _GOLD, "id int, sex string, age string, outcome string, seriousness string"))
-
-
-_VALUES = [("PII", "MRN 4421"), ("PII", "A. Kumar"), ("PHI", "HIV"), ("Other", "x")]
-
-
-@query("generalised_values", f"SELECT * FROM {values([('PII', 'MRN 4421', 'NUMERIC_ID_REDACTED', 0.95), ('PII', 'A. Kumar', 'PERSONAL_NAME_REDACTED', 0.95), ('PHI', 'HIV', 'HEALTH_INFO_REDACTED', 0.85), ('Other', 'x', 'REDACTED', 0.85)], 'kind, value, anon, confidence')}".replace("SELECT *", "SELECT kind, value, anon, CAST(confidence AS DOUBLE) AS confidence"))
-def generalised_values(spark, sf):
-    k = F.col("kind")
-    return inline(spark, _VALUES, "kind string, value string").select("kind", "value", identifiers.generalised(k, F.col("value")).alias("anon"), F.when(k == "PII", 0.95).otherwise(0.85).alias("confidence"))
-
-
 @query("narrow_serious", sql("SELECT medicine, count(*) AS reports, count(*) FILTER (WHERE seriousness IN ('Death', 'Life-threatening', 'Hospitalisation', 'Disability/incapacity')) AS serious FROM cases GROUP BY 1"))
 def narrow_serious(spark, sf):
     """The fallback's shorter list of serious labels."""
     return cases(spark, sf).groupBy("medicine").agg(F.count("*").alias("reports"), F.count_if(F.col("seriousness").isin("Death", "Life-threatening", "Hospitalisation", "Disability/incapacity")).alias("serious"))
 
 
-@query("section_keys", f"SELECT * FROM {values([('Introduction',), ('Section One',), ('Section Two',), ('Section Three',)], 'section')}")
-def section_keys(spark, sf):
-    from .q_text import _V1, _V2
-
-    keys = [docs_ops.sections(inline(spark, v[:1], "doc_id int, text string")).select("section") for v in (_V1, _V2)]
-    return keys[0].union(keys[1]).distinct()
-
-
 @query("token_sets", f"SELECT a.item_id, len(list_distinct(list_concat({toks('a.text')}, {toks('b.text')}))) AS n_union, len(list_intersect(list_distinct({toks('a.text')}), list_distinct({toks('b.text')}))) AS n_common FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def token_sets(spark, sf):
     from caselight.functions import text

@@ -202,13 +202,6 @@ def report_detail(spark, sf):
     )
 
 
-@query("guideline_upsert", "SELECT version, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES ('v1', 0.7), ('v2', 0.65), ('v3', 0.5)) AS t(version, threshold)")
-def guideline_upsert(spark, sf):
-    old = spark.sql("SELECT * FROM VALUES ('v1', 0.6D), ('v2', 0.65D) AS t(version, threshold)")
-    new = spark.sql("SELECT * FROM VALUES ('v1', 0.7D), ('v3', 0.5D) AS t(version, threshold)")
-    return paging.upserted(old, new)
-
-
 @query("distinct_lists", sql("SELECT DISTINCT 'medicine' AS list, medicine AS value FROM cases UNION ALL SELECT DISTINCT 'centre', centre FROM cases"))
 def distinct_lists(spark, sf):
     rows = cases(spark, sf)

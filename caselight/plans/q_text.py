@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import banding, text
 from caselight.operators import documents as docs_ops
-from caselight.operators import evaluation, extraction, identifiers, severity, summary
+from caselight.operators import casepages, evaluation, extraction, identifiers, severity, summary
 from caselight.sources import readers, writers
 
 from .cases import cases, d, r, sql, table
@@ -99,15 +99,6 @@ def capital_sentences(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(text.capital_sentences(F.col("text"))).cast("long").alias("n"))
 
 
-_STRINGS = [(1, "  Rash :: "), (2, "Reporting Form"), (3, "x" * 95 + " traceid"), (4, "mg"), (5, None), (6, "a\t b\n c ||"), (7, "Suspected Medication(s)"), (8, "HIV-Positive  Case!")]
-
-
-@query("string_rules", f"SELECT id, {VALUE.format('s')} AS value, CASE WHEN lower({VALUE.format('s')}) IN ('date', 'reaction', 'mg', 'reporting form', 'suspected adverse drug reaction', 'suspected medication(s)', 'suspected adverse reaction perit') OR length({VALUE.format('s')}) > 90 AND regexp_matches(lower({VALUE.format('s')}), 'adr_form|reporting form|sourcefile|traceid') THEN '' ELSE {VALUE.format('s')} END AS exact, {TRIM.format(chr(39).join(['regexp_replace(lower(s), ', '[^a-z0-9_]+', ', ', ' ', ', ', 'g', ')']))} AS label, {KEY.format('s')} AS key FROM (SELECT id, coalesce(s, '') AS s FROM {values(_STRINGS, 'id, s')})")
-def string_rules(spark, sf):
-    c = F.col("s")
-    return inline(spark, _STRINGS, "id int, s string").select("id", text.clean_value(c).alias("value"), text.exact_string(c).alias("exact"), text.label_key(c).alias("label"), text.value_key(c).alias("key"))
-
-
 @query("hash_token", "SELECT doc_id, sha256(text) AS hash, CASE WHEN source = '' THEN '' ELSE 'SOURCE_TKN_' || upper(substr(sha256('source:' || source), 1, 10)) END AS token FROM documents")
 def hash_token(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.sha256(F.col("text")).alias("hash"), text.token_for("source", F.col("source")).alias("token"))
@@ -124,14 +115,6 @@ def edit_distance(spark, sf):
     return a.join(b, "item_id").select("item_id", F.levenshtein("text", "other").cast("long").alias("distance"), text.cer(F.col("text"), F.col("other")).alias("cer"))
 
 
-_CER = [(1, "Severe Rash", "severe  rash"), (2, "severe rush.", "severe rash"), (3, "abc", ""), (4, "", "abc")]
-
-
-@query("cer", f"SELECT * FROM {values([(1, 0.0), (2, 0.1818), (3, None), (4, 1.0)], 'id, cer')}".replace("SELECT *", "SELECT id, CAST(cer AS DOUBLE) AS cer"))
-def cer(spark, sf):
-    return inline(spark, _CER, "id int, ocr string, truth string").select("id", text.cer(F.col("ocr"), F.col("truth")).alias("cer"))
-
-
 @query("wrapped_text")
 def wrapped_text(spark, sf):
     """Lines of up to 105 characters; a fold over words that SQL has no short form for."""
@@ -140,8 +123,6 @@ def wrapped_text(spark, sf):
 
 # --- bands ---
 
-_PEOPLE = [(1, "17"), (2, "18 years"), (3, "0"), (4, ""), (5, None), (6, "aged 70"), (7, "71"), (8, "40"), (9, "61.5"), (10, "nan"), (11, "5")]
-
 
 @query("bands", sql("""SELECT case_key, age_band, weight_band,
 CASE WHEN age IN ('', '0') THEN 'Unknown' WHEN CAST(age AS INT) < 18 THEN 'Under-18' WHEN CAST(age AS INT) <= 40 THEN '18-40' WHEN CAST(age AS INT) <= 60 THEN '41-60' WHEN CAST(age AS INT) <= 70 THEN '61-70' ELSE '71+' END AS eval_band,
@@ -153,21 +134,6 @@ def bands(spark, sf):
     return c.select("case_key", "age_band", "weight_band", banding.eval_age_band(F.col("age")).alias("eval_band"), banding.study_age_band(F.col("age")).alias("study_band"), banding.outcome_band(F.col("outcome")).alias("outcome_band"), banding.study_outcome_band(F.col("outcome")).alias("study_outcome"), banding.seriousness_band(F.col("seriousness")).alias("serious_band"), banding.study_seriousness_band(F.col("seriousness")).alias("study_serious"))
 
 
-@query("age_strings", f"SELECT * FROM {values([(1, 'Under-18'), (2, '18-35'), (3, 'Unknown'), (4, 'Unknown'), (5, 'Unknown'), (6, '56-70'), (7, '70+'), (8, '36-55'), (9, '56-70'), (10, 'Unknown'), (11, 'Under-18')], 'id, band')}")
-def age_strings(spark, sf):
-    return inline(spark, _PEOPLE, "id int, age string").select("id", banding.age_band(F.col("age")).alias("band"))
-
-
-_PLACES = [("Jaipur, Rajasthan", "Amoxicillin"), ("Rajasthan", " Heparin "), ("Kerala", "Digoxin"), ("Meghalaya", "Other"), ("", ""), (None, None), ("Goa", "Insulin"), ("Nagaland", "Clozapine"), ("West Bengal", "Rituximab"), ("Delhi", "Morphine")]
-_ZONES = [("Jaipur, Rajasthan", "North", "Other", "Antibacterial"), ("Rajasthan", "North", "West India", "Anticoagulant"), ("Kerala", "South", "South India", "Cardiovascular"), ("Meghalaya", "East", "Other", "Other systemic"), ("", "Unknown", "Unknown", "Other systemic"), (None, "Unknown", "Unknown", "Other systemic"), ("Goa", "West", "West India", "Antidiabetic"), ("Nagaland", "Central/Other", "Other", "CNS"), ("West Bengal", "East", "East India", "Immunomodulator"), ("Delhi", "North", "North India", "Analgesic/NSAID")]
-
-
-@query("zones_and_drugs", f"SELECT * FROM {values(_ZONES, 'place, zone, study_zone, drug_class')}")
-def zones_and_drugs(spark, sf):
-    c = F.col("place")
-    return inline(spark, _PLACES, "place string, drug string").select("place", banding.zone(c).alias("zone"), banding.study_zone(c).alias("study_zone"), banding.drug_class(F.col("drug")).alias("drug_class"))
-
-
 # --- sources ---
 
 
@@ -181,22 +147,6 @@ def json_rows(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode(readers.json_rows(F.col("props"))).alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k"))
 
 
-_FILES = [("a/Report.PDF", "25504446"), ("b/x.csv", "41"), ("c/y.Json", "7B"), ("d/z.html", "3C"), ("e/scan.jpeg", "FFD8FFE0"), ("f/readme", "61"), ("g/p.png", "89504E47"), ("h/t.tiff", "4D4D002A")]
-
-
-@query("file_kinds", f"SELECT * FROM {values([('a/Report.PDF', 'pdf', 'PDF'), ('b/x.csv', 'sheet', 'unknown'), ('c/y.Json', 'json', 'unknown'), ('d/z.html', 'xml', 'unknown'), ('e/scan.jpeg', 'image', 'JPEG'), ('f/readme', 'text', 'unknown'), ('g/p.png', 'image', 'PNG'), ('h/t.tiff', 'image', 'TIFF-BE')], 'path, kind, magic')}")
-def file_kinds(spark, sf):
-    return inline(spark, _FILES, "path string, head string").select("path", readers.kind(F.col("path")).alias("kind"), readers.magic(F.unhex("head")).alias("magic"))
-
-
-_FORM = [(1, "patient_age", "54"), (1, "sex_male", "Yes"), (1, "death", "Off"), (1, "suspect_drug", "Warfarin"), (1, "junk", "x"), (2, "hospitalised", "On"), (2, "reaction", "rash")]
-
-
-@query("form_text", f"SELECT * FROM {values([(1, chr(10).join(['Patient_Age: 54', 'Patient_Sex: Male', 'Suspect_Drug: Warfarin', 'SAE_Seriousness_Criteria: Non-serious'])), (2, chr(10).join(['MedDRA_PT: rash', 'SAE_Seriousness_Criteria: Hospitalisation', 'Patient_Sex: Unknown']))], 'doc_id, text')}")
-def form_text(spark, sf):
-    return readers.form_text(inline(spark, _FORM, "doc_id int, field string, value string"))
-
-
 @query("synthetic_cases")
 def synthetic_cases(spark, sf):
     """Hash-drawn cases; the hash is Spark's."""
@@ -205,50 +155,6 @@ def synthetic_cases(spark, sf):
 
 # --- extraction ---
 
-_NARRATIVE = "Patient received Warfarin and was reported bleeding after exposure to Warfarin."
-MACHINE = f"""Page 2
-{extraction.MARKER}
-Patient_Token: PATIENT_TKN_1
-Patient_Initials: A.B.
-Patient_Age: 54
-Patient_Sex: Male
-Patient_Weight_kg: 70.5
-Suspect_Drug: Warfarin
-MedDRA_PT: Bleeding
-Drug_Dose_mg: 5 mg
-Drug_Route: Oral
-Dose_Frequency: OD
-Outcome: Recovering
-Reporter_Name: Dr Rao
-SAE_Seriousness_Criteria: Hospitalisation
-Onset_Date: 2025-01-02
-Narrative: {_NARRATIVE}"""
-FREE = """Patient name: J K
-Age: 61 years
-male patient, weight: 80
-Suspected drug: Metformin
-Reaction: lactic acidosis
-Reporter name: Dr Iyer
-Contact No: +91 98765 43210
-mail iyer@clinic.example
-Outcome was not recovered; life-threatening event
-Dose: 500 mg
-Date: 03/02/2025"""
-_CASES = [(1, MACHINE), (2, FREE), (3, ""), (4, None)]
-_EXTRACTED = [
-    (1, "A.B.", "54", "Male", "70.5", "Warfarin", "Bleeding", "5 mg", "Oral", "OD", "Recovering", "Hospitalisation", "Dr Rao", "", "PATIENT_TKN_1", "36-55"),
-    (2, "J K Age", "61", "male", "80", "Metformin", "lactic acidosis", "500 mg", "", "", "Not recovered", "Life-threatening", "Dr Iyer", "iyer@clinic.example", None, "56-70"),
-    (3, "", "", "", "", "", "", "", "", "", "", "", "", "", "", "Unknown"),
-    (4, "", "", "", "", "", "", "", "", "", "", "", "", "", "", "Unknown"),
-]
-_NAMES = "doc_id initials age gender weight medicine reaction dose route frequency outcome seriousness reporter email patient_token age_band".split()
-
-
-@query("extract_fields", f"SELECT * REPLACE (CASE doc_id WHEN 2 THEN 'PATIENT_TKN_' || upper(substr(sha256('patient:J K Age|61|male|80'), 1, 10)) ELSE patient_token END AS patient_token) FROM {values(_EXTRACTED, ', '.join(_NAMES))}")
-def extract_fields(spark, sf):
-    out = extraction.extract(inline(spark, _CASES, "doc_id int, text string"))
-    return out.select(*_NAMES)
-
 
 @query("extract_documents")
 def extract_documents(spark, sf):
@@ -256,12 +162,6 @@ def extract_documents(spark, sf):
     return extraction.extract(documents(spark, sf)).drop("text")
 
 
-@query("source_trace", f"SELECT doc_id, count(*) AS fields, count(*) FILTER (WHERE v <> '') AS found FROM (SELECT doc_id, unnest([initials, age, gender, weight, medicine, reaction, dose, route, frequency, outcome, seriousness, reporter, email, CASE doc_id WHEN 2 THEN '+91 98765 43210' WHEN 1 THEN '2025-01-02' ELSE '' END]) AS v FROM {values(_EXTRACTED, ', '.join(_NAMES))}) GROUP BY 1")
-def source_trace(spark, sf):
-    t = extraction.source_trace(extraction.extract(inline(spark, _CASES, "doc_id int, text string")))
-    return t.groupBy("doc_id").agg(F.count("*").alias("fields"), F.count_if(F.col("confidence") > 0).alias("found"))
-
-
 @query("rag_chunks", sql("SELECT case_key AS doc_id, 0 AS chunk_index, concat_ws(' | ', medicine, reaction, dose, route, frequency, seriousness, outcome, narrative) AS chunk FROM cases UNION ALL SELECT case_key, 1, narrative FROM cases"))
 def rag_chunks(spark, sf):
     rows = cases(spark, sf).withColumn("doc_id", F.col("case_key")).withColumn("text", F.col("narrative"))
@@ -274,14 +174,6 @@ def span_agreement(spark, sf):
     return extraction.span_agreement(rows)
 
 
-_EVAL = [(1, "A 45-year-old female had a rash and recovered."), (2, "age: 7, boy, seizure, fatal"), (3, "nothing here"), (4, "62 M with acute kidney injury; not recovered; required hospitalisation")]
-
-
-@query("evaluation_fields", f"SELECT * FROM {values([(1, None, 'female', 'rash', 'Recovered/Resolved', None), (2, '7', 'male', 'seizure', 'Fatal', 'Death'), (3, None, None, None, None, None), (4, '62', 'male', 'acute kidney injury', 'Not Recovered/Not Resolved', 'Required hospitalisation')], 'doc_id, age, sex, reaction, outcome, seriousness')}")
-def evaluation_fields(spark, sf):
-    return extraction.evaluation_fields(inline(spark, _EVAL, "doc_id int, text string"))
-
-
 _COMMON = ", ".join(f"'{w}'" for w in extraction.EVAL_COMMON)
 
 
@@ -303,80 +195,13 @@ def identifier_counts(spark, sf):
     return identifiers.counts(documents(spark, sf)).drop("mobile", "date")
 
 
-_FOUND = [(1, "Aadhaar 1234 5678 9012 and 1234 5678 9013, PAN ABCDE1234F"), (2, "call 9876543210, MRN-12345, mail a@b.org"), (3, "Patient name: X, village Y, HIV positive"), (4, "éHIVé neighbour"), (5, None), (6, "order 49876543210")]
-
-
-def _tkn(prefix: str, v: str) -> str:
-    return f"'{prefix.upper()}_TKN_' || upper(substr(sha256('{prefix}:{v}'), 1, 10))"
-
-
-_FINDINGS = " UNION ALL ".join(
-    f"SELECT {i} AS doc_id, {p} AS position, '{e}' AS entity, '{t}' AS type, '{a}' AS action, {k} AS token"
-    for i, p, e, t, a, k in [
-        (1, 0, "Aadhaar-like number (2 occurrence(s))", "PII", "Redact", _tkn("aadhaar", "1234 5678 9012")),
-        (1, 1, "PAN-like number (1 occurrence(s))", "PII", "Redact", _tkn("pan", "ABCDE1234F")),
-        (2, 0, "Indian phone number (1 occurrence(s))", "PII", "Tokenise", _tkn("phone", "9876543210")),
-        (2, 1, "Medical Record Number (1 occurrence(s))", "PHI", "Tokenise", _tkn("mrn", "MRN-12345")),
-        (2, 2, "Email address (1 occurrence(s))", "PII", "Tokenise", _tkn("email", "a@b.org")),
-        (3, 0, "Address/location text", "PII/PHI", "Generalise", _tkn("location", "Patient name: X, village Y, HIV positive")),
-        (3, 1, "Sensitive disease indication", "PHI", "Tag", _tkn("sensitive-disease", "HIV")),
-        (3, 2, "Patient/reporter name field detected in text", "PII", "Tokenise", _tkn("name", "name-field")),
-        (4, 0, "Sensitive disease indication", "PHI", "Tag", _tkn("sensitive-disease", "HIV")),
-    ]
-)
-
-
-@query("identifier_findings", _FINDINGS)
-def identifier_findings(spark, sf):
-    return identifiers.findings(inline(spark, _FOUND, "doc_id int, text string"))
-
-
-@query("anonymisation_samples", f"SELECT doc_id, position, '[' || entity || ']' AS raw, token AS pseudo, CASE WHEN action = 'Generalise' THEN 'LOCATION_GENERALISED' WHEN type = 'PHI' THEN 'PHI_CATEGORY_PRESERVED' ELSE 'TOKEN_APPLIED' END AS anon FROM ({_FINDINGS}) WHERE position < 2")
-def anonymisation_samples(spark, sf):
-    return identifiers.samples(identifiers.findings(inline(spark, _FOUND, "doc_id int, text string")))
-
-
 @query("masked_text", rf"SELECT doc_id, sha256(regexp_replace(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}', '[EMAIL]', 'g')) AS masked FROM documents")
 def masked_text(spark, sf):
     return documents(spark, sf).select("doc_id", F.sha2(F.regexp_replace("text", identifiers.EMAIL, "[EMAIL]"), 256).alias("masked"))
 
 
-_OCR = [(1, [("call", 0.9, 0, 0, 10, 5), ("9876543210", 0.8, 12, 0, 40, 5), ("now", 0.4, 42, 0, 50, 5), ("PAN", 0.7, 0, 8, 9, 12), ("ABCDE1234F", 0.6, 10, 8, 30, 13)]), (2, [("none", 0.2, 0, 0, 1, 1)]), (3, [])]
-_OCR_SCHEMA = "doc_id long, words array<struct<text:string,confidence:double,x0:int,y0:int,x1:int,y1:int>>"
-
-
-@query("pii_boxes", f"SELECT * FROM {values([(1, 'Indian phone', 0, 0, 40, 5, 2), (1, 'PAN', 0, 0, 50, 13, 3)], 'doc_id, kind, x0, y0, x1, y1, words')}")
-def pii_boxes(spark, sf):
-    return summary.pii_boxes(inline(spark, _OCR, _OCR_SCHEMA))
-
-
-@query("ocr_confidence", f"SELECT doc_id, CAST(confidence AS DOUBLE) AS confidence FROM {values([(1, 0.75), (2, 0.3), (3, 0.3)], 'doc_id, confidence')}")
-def ocr_confidence(spark, sf):
-    return summary.ocr_confidence(inline(spark, _OCR, _OCR_SCHEMA))
-
-
 # --- checklists, meetings, inspections, comparison, retrieval ---
 
-_LIST = [(1, "[x] Application form attached\n[ ] Fee receipt\n1. Ethics approval pending\n- Protocol submitted\n* Investigator brochure\nshort"), (2, "Stability data not provided\n\n2) Annexure enclosed")]
-
-
-@query("checklist", f"SELECT * FROM {values([(1, 0, 'Application form attached', 'provided', 'No action'), (1, 1, '[ ] Fee receipt', 'missing', 'Request from applicant'), (1, 2, 'Ethics approval pending', 'incomplete', 'Review and complete'), (1, 3, 'Protocol submitted', 'provided', 'No action'), (1, 4, 'Investigator brochure', 'review', 'No action'), (2, 0, 'Stability data not provided', 'missing', 'Request from applicant'), (2, 1, 'Annexure enclosed', 'provided', 'No action')], 'doc_id, position, item, status, action')}")
-def checklist(spark, sf):
-    return docs_ops.checklist(inline(spark, _LIST, "doc_id int, text string"))
-
-
-@query("checklist_counts", f"SELECT * FROM {values([(1, 5, 2, 1, 1), (2, 2, 1, 1, 0)], 'doc_id, items, provided, missing, incomplete')}")
-def checklist_counts(spark, sf):
-    return docs_ops.checklist_counts(docs_ops.checklist(inline(spark, _LIST, "doc_id int, text string")))
-
-
-_MEETING = [(1, "Decision: approve batch 7\nAction - A to call B\nPending: stability data\nNext steps: meet on Monday\nAgreed. Close item 4\nremarks only")]
-
-
-@query("meeting", f"SELECT * FROM {values([(1, 0, 'decision', 'approve batch 7'), (1, 1, 'action', 'A to call B'), (1, 2, 'pending', 'stability data'), (1, 3, 'next', 'meet on Monday'), (1, 4, 'decision', 'Close item 4')], 'doc_id, position, kind, entry')}")
-def meeting(spark, sf):
-    return docs_ops.meeting(inline(spark, _MEETING, "doc_id int, text string"))
-
 
 @query("long_lines", r"SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\n+'), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) > 5)) AS n FROM conversations")
 def long_lines(spark, sf):
@@ -385,30 +210,6 @@ def long_lines(spark, sf):
     return c.join(n, "key", "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_NOTES = [(1, "1. Sterility failure observed in room 4\nCalibration overdue for balance 3\nHousekeeping needs work on level two\nGeneral remarks of the day were made\n- deviation in batch record incomplete"), (2, "The visit went on quietly and all was in order today"), (3, "tiny")]
-_CLASSED = [(1, 0, "critical", "premises"), (1, 1, "major", "equipment"), (1, 4, "major", "manufacturing"), (2, 0, "minor", "documentation")]
-
-
-def _classed(spark):
-    return docs_ops.deficiencies(docs_ops.observations(inline(spark, _NOTES, "doc_id int, text string")))
-
-
-@query("inspection_class", f"SELECT * FROM {values(_CLASSED, 'doc_id, position, severity, section')}")
-def inspection_class(spark, sf):
-    return _classed(spark).select("doc_id", "position", "severity", "section")
-
-
-@query("inspection_summary", f"SELECT * FROM {values([(1, 3, 1, 2, 0, 'Reject / Immediate Action Required'), (2, 1, 0, 0, 1, 'Acceptable with Minor Observations')], 'doc_id, observations, critical, major, minor, recommendation')}")
-def inspection_summary(spark, sf):
-    return docs_ops.inspection_summary(_classed(spark))
-
-
-@query("inspection_template", "SELECT status, count(*) AS sections FROM (VALUES ('observations-found', 4), ('no-observations', 4), ('observations-found', 2), ('no-observations', 6), ('pending', 8)) AS t(status, k), range(8) AS g(i) WHERE i < k GROUP BY 1")
-def inspection_template(spark, sf):
-    t = docs_ops.inspection_template(inline(spark, _NOTES, "doc_id int, text string"), _classed(spark))
-    return t.groupBy("status").agg(F.count("*").alias("sections"))
-
-
 def _re2(p: str) -> str:
     """A pattern for RE2, whose word boundary is ASCII's."""
     return p.replace(text.WB, r"\b").replace(text.WE, r"\b").removeprefix("(?i)")
@@ -479,20 +280,6 @@ def meeting_turns(spark, sf):
     return docs_ops.meeting(c, "key").select("key.conv_id", "key.turn", "position", "kind")
 
 
-_V1 = [(1, "Intro text stays here.\nSection One\nThe dose is five mg daily. Patients were well.\nSection Two\nOld words stand in this part only."), (2, "same text"), (3, "Section A\nalpha beta gamma delta epsilon zeta eta theta iota kappa")]
-_V2 = [(1, "Intro text stays here.\nSection One\nThe dose is six mg daily. Patients were well.\nSection Three\nEntirely new part."), (2, "same text"), (3, "Section A\nalpha beta gamma delta epsilon zeta eta theta iota kappa lambda")]
-
-
-@query("doc_compare", f"SELECT doc_id, section, change, CAST(similarity AS DOUBLE) AS similarity, materiality FROM {values([(1, 'Section One', 'modified', 0.75, 'medium'), (1, 'Section Two', 'removed', 0.0, 'high'), (1, 'Section Three', 'added', 0.0, 'high'), (3, 'Document', 'modified', 0.917, 'cosmetic')], 'doc_id, section, change, similarity, materiality')}")
-def doc_compare(spark, sf):
-    return docs_ops.compare(inline(spark, _V1, "doc_id int, text string"), inline(spark, _V2, "doc_id int, text string")).drop("a", "b")
-
-
-@query("doc_verdict", f"SELECT * FROM {values([(1, 3, 1, 1, 1, 2, 0, 'substantive', '1 section(s) added, 1 section(s) removed, 1 section(s) modified, 2 substantive change(s).'), (3, 1, 0, 0, 1, 0, 1, 'cosmetic', '1 section(s) modified.')], 'doc_id, changes, added, removed, modified, material, cosmetic, verdict, summary')}")
-def doc_verdict(spark, sf):
-    return docs_ops.verdict(docs_ops.compare(inline(spark, _V1, "doc_id int, text string"), inline(spark, _V2, "doc_id int, text string")))
-
-
 def _new_sentences(other: str, at: str) -> str:
     """Of each document, its first three sentences that the other lacks, in order."""
     return f"""SELECT doc_id, string_agg(s, '|' ORDER BY p) AS joined FROM (SELECT {at} AS doc_id, p, s, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = {other} AND k.low = lower(s.s))) WHERE n <= 3 GROUP BY 1"""
@@ -563,15 +350,6 @@ def severity_cascade(spark, sf):
     return severity.cascade(cases(spark, sf))
 
 
-_TEXTS = [(1, "", "Fatal", ""), (2, "", "", "patient was admitted to ICU"), (3, "", "", "permanent harm, then died"), (4, "Unknown", "", "mild itch"), (5, "", "", ""), (6, "", "Recovered with sequelae", "admitted")]
-
-
-@query("severity_text", f"SELECT case_key, class, basis, CAST(confidence AS DOUBLE) AS confidence FROM {values([(1, 'death', 'outcome-label-map', 0.9), (2, 'hospitalisation', 'text-pattern', 0.8), (3, 'death', 'text-pattern', 0.82), (4, 'others', 'seriousness-label-others', 0.7), (5, 'others', 'no-seriousness-data', 0.4), (6, 'disability', 'outcome-label-map', 0.9)], 'case_key, class, basis, confidence')}")
-def severity_text(spark, sf):
-    rows = inline(spark, _TEXTS, "case_key int, seriousness string, outcome string, narrative string").withColumn("reaction", F.lit(""))
-    return severity.cascade(rows)
-
-
 _NB = f""", tk AS (SELECT {_SEVERE} AS class, unnest({toks('narrative')}) AS token FROM cases), cn AS (SELECT class, token, count(*) AS n FROM tk GROUP BY ALL), vc AS (SELECT DISTINCT token FROM cn), tt AS (SELECT class, sum(n) AS total FROM cn GROUP BY 1),
 nb AS (SELECT class, token, ln(CAST(coalesce(n, 0) + 1 AS DOUBLE) / CAST(total + (SELECT count(*) FROM vc) AS DOUBLE)) AS log_prob FROM tt CROSS JOIN vc LEFT JOIN cn USING (class, token))"""
 
@@ -605,18 +383,6 @@ def severity_cascade_models(spark, sf):
     return severity.cascade(c, nb, lr=severity.lr_results(rows, "case_key", "class", "words"))
 
 
-_IDF = [("rash", 1.5), ("fatal", 2.0), ("rash fatal", 3.0)]
-_COEF = [("death", "fatal", 2.0), ("death", "rash", -1.0), ("others", "rash", 1.0), ("others", "rash fatal", -2.0), ("others", "fatal", 0.0), ("death", "rash fatal", 0.5)]
-
-
-@query("lr_score", f"SELECT id, class, CAST(confidence AS DOUBLE) AS confidence FROM {values([(1, 'others', 0.8808), (2, 'death', 0.8981)], 'id, class, confidence')}")
-def lr_score(spark, sf):
-    rows = inline(spark, [(1, "Rash rash"), (2, "rash, fatal")], "id int, text string")
-    idf, coef = inline(spark, _IDF, "gram string, idf double"), inline(spark, _COEF, "class string, gram string, coef double")
-    start = inline(spark, [("death", 0.0), ("others", 0.0)], "class string, intercept double")
-    return severity.lr_score(severity.lr_features(rows, idf, "id", "text"), coef, start, "id")
-
-
 @query("stratified_folds", sql("SELECT case_key, seriousness, CAST((row_number() OVER (PARTITION BY seriousness ORDER BY md5(CAST(case_key AS VARCHAR)), case_key) - 1) % 5 AS INTEGER) AS fold FROM cases"))
 def stratified_folds(spark, sf):
     return severity.folds(cases(spark, sf), "case_key", "seriousness")
@@ -670,14 +436,6 @@ def rouge_batch(spark, sf):
     return evaluation.batch_mean(evaluation.rouge_n(_pairs(spark, sf), 1))
 
 
-_GOLD = [("45", "45", "female", "male"), (None, "7", "male", "male"), ("62", "62", None, None), ("9", "", "male", "Male")]
-
-
-@query("field_metrics", f"SELECT field, tp, fp, fn, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1 FROM {values([('age', 2, 1, 1, 0.6667, 0.6667, 0.6667), ('sex', 2, 1, 0, 0.6667, 1.0, 0.8), ('micro', 4, 2, 1, 0.6667, 0.8, 0.7273)], 'field, tp, fp, fn, precision, recall, f1')}")
-def field_metrics(spark, sf):
-    return evaluation.fields(inline(spark, _GOLD, "x_age string, g_age string, x_sex string, g_sex string"), ["age", "sex"])
-
-
 @query("source_duplicates", "SELECT hash, count(*) AS copies, min(doc_id) AS first FROM (SELECT doc_id, sha256(text) AS hash FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def source_duplicates(spark, sf):
     return documents(spark, sf).groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")

@@ -184,8 +184,8 @@ def plain_fields(words):
     strip = lambda x: x.strip(" \t\n\x0b\f\r")
     clean = lambda x: strip(re.sub(r"[:|]+\Z", "", re.sub(r"[ \t\n\x0b\f\r]+", " ", x or "")))
     find = lambda p, x: clean(m[1]) if (m := re.search(p, x, re.ASCII)) else ""
-    marked = extraction.MARKER in words
-    source = words.split(extraction.MARKER)[-1] if marked else words
+    marked = bool(re.search(extraction.MARKER, words))
+    source = re.split(extraction.MARKER, words)[-1] if marked else words
     places = list(re.finditer(rf"(?i){'(?<![^\n])' if marked else r'(?<!\S)'}({'|'.join(extraction.LABELS)}):", source, re.ASCII))
     given = {}
     for m, after in zip(places, [*places[1:], None]):
@@ -208,12 +208,12 @@ def plain_fields(words):
 
 
 def test_extraction_is_the_plain_one(spark):
-    from caselight.plans import q_text
+    from .test_typed_in import _CASES
 
     t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     rows = [(i, x) for i, x in zip(t["doc_id"], t["text"])]
     r = random.Random(4)
-    bits = [line for _, x in q_text._CASES for line in (x or "").split("\n")] + ["15. Outcome: X Recovering", "i Warfarin 5 mg oral daily N/A", "i Metformin N/A N/A N/A 3", "Dose: route", "Outcome: Region: north", "onset: 01/02/2024", "patient name", "description of reaction: a long rash", "Institution: City Hospital", "30 yrs"]
+    bits = [line for _, x in _CASES for line in (x or "").split("\n")] + ["15. Outcome: X Recovering", "i Warfarin 5 mg oral daily N/A", "i Metformin N/A N/A N/A 3", "Dose: route", "Outcome: Region: north", "onset: 01/02/2024", "patient name", "description of reaction: a long rash", "Institution: City Hospital", "30 yrs"]
     rows += [(10_000 + k, r.choice(["\n", " ", "\n\n"]).join(r.choice(bits) for _ in range(r.randint(1, 12)))) for k in range(300)]
     rows += [(20_000, None), (20_001, "")]
     got = {x["doc_id"]: x for x in extraction.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
