@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions import text
+from caselight.functions.stemming import stems
 from caselight.functions.text import rounded
 
 CLASSES = ("death", "disability", "hospitalisation", "others")
@@ -86,18 +88,43 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    rows = pairs.select("id", text.tokens(F.col("hypothesis"), 1).alias("h"), text.tokens(F.col("reference"), 1).alias("r"))
+def _lengths(rows: DataFrame) -> DataFrame:
+    """``id, lcs, nh, nr`` of the word arrays ``h`` and ``r``."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in it:
             yield pd.DataFrame({"id": x.id, "lcs": [_lcs(list(a), list(b)) for a, b in zip(x.h, x.r, strict=True)], "nh": [len(a) for a in x.h], "nr": [len(b) for b in x.r]})
 
-    t = rows.mapInPandas(run, "id long, lcs long, nh long, nr long")
+    return rows.select("id", "h", "r").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, lcs long, nh long, nr long")
+
+
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    t = _lengths(pairs.select("id", text.tokens(F.col("hypothesis"), 1).alias("h"), text.tokens(F.col("reference"), 1).alias("r")))
     p, r = ratio(F.col("lcs"), F.col("nh")), ratio(F.col("lcs"), F.col("nr"))
     return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
+def rouge_stemmed(pairs: DataFrame) -> DataFrame:
+    """``id, rouge1_f, rouge2_f, rougel_f`` of stemmed words; four digits. A pair of which one text has no words
+    scores zero."""
+    rows = stems(pairs.select("id", "hypothesis", "reference"), {"hypothesis": "h", "reference": "r"})
+
+    def overlap(a: list[str], b: list[str], n: int) -> tuple[int, int, int]:
+        x, y = (Counter(zip(*(w[k:] for k in range(n)))) for w in (a, b))
+        return sum((x & y).values()), x.total(), y.total()
+
+    def f(shared: int, na: int, nb: int) -> float:
+        return 2 * (shared / na) * (shared / nb) / (shared / na + shared / nb) if shared else 0.0
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in it:
+            both = [(list(a), list(b)) for a, b in zip(x.h, x.r, strict=True)]
+            yield pd.DataFrame({"id": x.id, "one": [f(*overlap(a, b, 1)) for a, b in both], "two": [f(*overlap(a, b, 2)) for a, b in both], "lcs": [f(_lcs(a, b), len(a), len(b)) for a, b in both]})
+
+    t = rows.select("id", "h", "r").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, one double, two double, lcs double")
+    return t.select("id", *[rounded(F.col(c), 4).alias(n) for c, n in (("one", "rouge1_f"), ("two", "rouge2_f"), ("lcs", "rougel_f"))])
+
+
 def cosine(pairs: DataFrame) -> DataFrame:
     """TF-IDF cosine of each pair on the corpus of its two texts; four digits."""
     side = lambda c: pairs.select("id", text.tokens(F.col(c), 1).alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("w")).groupBy("id", "n", "w").agg(F.count("*").alias("c"))

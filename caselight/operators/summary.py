@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caselight.functions import text
 from caselight.functions.text import rounded, text_of
@@ -135,6 +136,20 @@ def _summary(source: str, sentences: list[str], tfidf: list[float], kind: str, m
     return (out if out.endswith(".") else out + "."), method, int(100 * len(out) / len(source) + 0.5)
 
 
+def leading_by_score(docs: DataFrame, kind: str = "sae", most: int = 3) -> DataFrame:
+    """``doc_id, summary``: the ``most`` best sentences by :func:`sentence_scores`, in their order, the earlier
+    of equal ones; the whole text where it has no more. Documents without sentences have their text."""
+    by = Window.partitionBy("doc_id")
+    rows = docs.select("doc_id", text.capital_sentences(F.col("text")).alias("s")).select("doc_id", F.posexplode("s").alias("position", "sentence"))
+    scored = rows.join(sentence_scores(docs, kind), ["doc_id", "position"])
+    ranked = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "position")))
+    # (the limit on the rank is applied before rows are put together)
+    best = ranked.where(F.col("rank") <= most + 1).groupBy("doc_id").agg(F.max("rank").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("position", "sentence")))).alias("x"))
+    joined = F.concat(F.array_join(F.transform("x", lambda x: x["sentence"]), ". "), F.lit("."))
+    whole = text.trimmed(text_of("text"))
+    return docs.join(best, "doc_id", "left").select("doc_id", F.when(F.col("n") > most, joined).otherwise(whole).alias("summary"))
+
+
 def summarise(docs: DataFrame, kind: str = "sae", most: int | None = None) -> DataFrame:
     """``doc_id, summary, method, compression`` (summary over source, in percent)."""
     most = most or (5 if kind == "meeting" else 3)

@@ -1,13 +1,14 @@
-"""Queries over the inverted index."""
+"""Queries over the inverted index, and stemmed overlaps."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselight.operators import retrieval
+from caselight.functions import text
+from caselight.operators import evaluation, retrieval, summary
 
 from .cases import d, r, table
-from .q_text import toks
+from .q_text import _pairs, toks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,3 +38,18 @@ def rag_batch(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     shards = retrieval.shards_for(chunks)
     return retrieval.answers(retrieval.search(retrieval.index(chunks, shards), queries, shards=shards), chunks, queries)
+
+
+@query("rouge_stemmed")
+def rouge_stemmed(spark, sf):
+    """ROUGE-1, -2 and -L of stemmed words, for pairs of benchmark texts."""
+    return evaluation.rouge_stemmed(_pairs(spark, sf))
+
+
+@query("rouge_documents")
+def rouge_documents(spark, sf):
+    """Means over all documents of over 80 characters: their best sentences against their first three."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").where(F.length("text") > 80)
+    lead = F.array_join(F.slice(text.sentences(F.col("text"), 20), 1, 3), " ")
+    pairs = summary.leading_by_score(docs).join(docs.select("doc_id", lead.alias("reference")), "doc_id")
+    return evaluation.batch_mean(evaluation.rouge_stemmed(pairs.select(F.col("doc_id").alias("id"), F.col("summary").alias("hypothesis"), "reference")))
