@@ -7,9 +7,9 @@ batches; everything before and after is DataFrame work.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import floor, log
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ MEETING = "decision action resolved agreed pending minutes agenda follow-up dead
 KEYWORDS = {"sae": CLINICAL, "checklist": CHECKLIST, "meeting": MEETING}
 DAMPING, ROUNDS, TEXTRANK_BOOST, MMR = 0.85, 30, 0.15, 0.6
 LEAST_CHARS, TEXTRANK_FROM = 50, 6
+EXACT = 11
 TFIDF_BOOST = 1.8
 
 
@@ -58,81 +59,112 @@ def _tokens(s: str) -> list[str]:
     return [w for w in _PUNCT.sub(" ", s.lower()).split() if len(w) > 2]
 
 
-def _sentence_counts(words: list[str], bags: list[list[str]]) -> list[int]:
-    """In how many sentences each word occurs as a substring: a word of letters and digits lies
-    within one token, so it is looked for in the distinct tokens, and their sentences are bits."""
-    holders: dict[str, int] = {}
-    for n, bag in enumerate(bags):
-        for token in bag:
-            holders[token] = holders.get(token, 0) | 1 << n
-    joined, starts, at = "\n".join(holders), [], 0
-    for token in holders:
-        starts.append(at)
-        at += len(token) + 1
-    of = list(holders.values())
-    out = []
-    for w in words:
-        found, at = 0, joined.find(w)
-        while at >= 0:
-            k = bisect_right(starts, at)
-            found |= of[k - 1]
-            at = joined.find(w, starts[k]) if k < len(starts) else -1
-        out.append(found.bit_count())
-    return out
-
-
-def _cosines(sentences: list[str]) -> np.ndarray:
-    """Cosine of TF-IDF vectors; a word's document frequency counts sentences that contain it as
-    a substring. Sums go word by word over the sentences that have it."""
-    bags = [_tokens(s) for s in sentences]
-    places: dict[str, dict[int, float]] = {}
-    for n, bag in enumerate(bags):
-        for w in bag:
-            at = places.setdefault(w, {})
-            at[n] = at.get(n, 0.0) + 1 / len(bag)
-    dots = np.zeros((len(bags), len(bags)))
-    for (_, at), df in zip(places.items(), _sentence_counts(list(places), bags), strict=True):
-        rows = np.fromiter(at, np.int64, len(at))
-        weights = np.fromiter(at.values(), float, len(at)) * (log((len(bags) + 1) / (df + 1)) + 1)
-        dots[rows[:, None], rows] += np.outer(weights, weights)
-    norm = np.sqrt(np.diag(dots))
-    return dots / np.maximum(np.outer(norm, norm), 1e-300)
-
-
-def _textrank(similar: np.ndarray) -> np.ndarray:
-    links = similar.copy()
-    np.fill_diagonal(links, 0)
-    total = links.sum(axis=1, keepdims=True)
-    links = np.divide(links, total, out=np.zeros_like(links), where=total > 0)
-    scores = np.full(len(links), 1 / len(links))
+def _sentence_counts(places: dict[str, np.ndarray]) -> dict[str, int]:
+    """In how many sentences each word occurs as a substring, from the sentences of each distinct token. A
+    word of letters and digits lies within one token, so tokens are cut at the lengths that words have."""
+    lengths = sorted({len(w) for w in places})
+    holders: dict[str, list[str]] = {}
+    for token in places:
+        held = {token[k : k + n] for n in lengths if n <= len(token) for k in range(len(token) - n + 1)}
+        for w in held & places.keys():
+            holders.setdefault(w, []).append(token)
+    return {w: len(places[w]) if len(tokens) == 1 else len(np.unique(np.concatenate([places[t] for t in tokens]))) for w, tokens in holders.items()}
+
+
+class SentenceGraph:
+    """Sentences that are linked by the cosine of their TF-IDF vectors, never written out pair by pair: the
+    vectors are columns of (sentence, word, weight), and sums over links are two passes over them, so memory
+    grows with the tokens. A word's document frequency counts sentences that contain it as a substring."""
+
+    def __init__(self, sentences: list[str]):
+        bags = [_tokens(s) for s in sentences]
+        numbers: dict[str, int] = {}
+        rows, words, weights = [], [], []
+        for n, bag in enumerate(bags):
+            for w, count in Counter(bag).items():
+                rows.append(n)
+                words.append(numbers.setdefault(w, len(numbers)))
+                weights.append(count / len(bag))
+        self.n, self.rows, self.words = len(bags), np.array(rows, np.int64), np.array(words, np.int64)
+        order = np.argsort(self.words, kind="stable")
+        starts = np.searchsorted(self.words[order], np.arange(len(numbers) + 1))
+        places = {w: self.rows[order[starts[k] : starts[k + 1]]] for w, k in numbers.items()}
+        df = _sentence_counts(places)
+        idf = np.array([log((self.n + 1) / (df[w] + 1)) + 1 for w in numbers])
+        values = np.array(weights) * idf[self.words] if len(rows) else np.zeros(0)
+        norm = np.sqrt(self._by_sentence(values * values))
+        self.values = values / np.maximum(norm, 1e-300)[self.rows]
+        self.own = self._by_sentence(self.values * self.values)
+        self.vocabulary = len(numbers)
+
+    def _by_sentence(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=x, minlength=self.n)
+
+    def linked(self, u: np.ndarray) -> np.ndarray:
+        """For each sentence the sum of ``u`` over the others, weighted by their cosines."""
+        by_word = np.bincount(self.words, weights=self.values * u[self.rows], minlength=self.vocabulary)
+        return self._by_sentence(self.values * by_word[self.words]) - self.own * u
+
+    def similar(self, at: int) -> np.ndarray:
+        """The cosine of each sentence with one."""
+        mine = self.rows == at
+        vector = np.zeros(self.vocabulary)
+        vector[self.words[mine]] = self.values[mine]
+        return self._by_sentence(self.values * vector[self.words])
+
+
+def _textrank(graph: SentenceGraph) -> np.ndarray:
+    total = graph.linked(np.ones(graph.n))
+    some = total > 0
+    scores = np.full(graph.n, 1 / graph.n)
     for _ in range(ROUNDS):
-        scores = (1 - DAMPING) / len(links) + DAMPING * (scores @ links)
+        scores = (1 - DAMPING) / graph.n + DAMPING * graph.linked(np.divide(scores, total, out=np.zeros(graph.n), where=some))
     return scores
 
 
-def _choose(scores: np.ndarray, similar: np.ndarray, k: int) -> list[int]:
-    """Greedy by relevance less redundancy; the earlier in rank wins ties."""
-    rank = sorted(range(len(scores)), key=lambda n: -scores[n])
-    chosen, rest = rank[:1], rank[1:]
-    while len(chosen) < k and rest:
-        best = max(rest, key=lambda n: MMR * scores[n] - (1 - MMR) * max(similar[n][c] for c in chosen))
-        chosen.append(best)
-        rest.remove(best)
+def _choose(scores: np.ndarray, graph: SentenceGraph, k: int) -> list[int]:
+    """Greedy by relevance less redundancy; the earlier in rank wins ties. Numbers that differ by less
+    than sums are exact to are ties, so the order of summing decides nothing."""
+    scores = np.round(scores, EXACT)
+    rank = np.argsort(-scores, kind="stable")
+    chosen = [int(rank[0])]
+    nearest = graph.similar(chosen[0])
+    while len(chosen) < min(k, len(scores)):
+        worth = np.round(MMR * scores - (1 - MMR) * nearest, EXACT)
+        worth[chosen] = float("-inf")
+        chosen.append(int(rank[np.argmax(worth[rank])]))
+        nearest = np.maximum(nearest, graph.similar(chosen[-1]))
     return sorted(chosen)
 
 
-def _summary(source: str, sentences: list[str], tfidf: list[float], kind: str, most: int) -> tuple[str, str, int]:
+def _own_scores(sentences: list[str], kind: str) -> np.ndarray:
+    """:func:`sentence_scores` of one document."""
+    bags = [_tokens(s) for s in sentences]
+    freq, df = Counter(w for bag in bags for w in bag), Counter(w for bag in bags for w in set(bag))
+    out = []
+    for n, (s, bag) in enumerate(zip(sentences, bags, strict=True)):
+        if not bag:
+            out.append(0.0)
+            continue
+        x = sum(freq[w] * (log((len(bags) + 1) / (df[w] + 1)) + 1) for w in bag) / len(bag)
+        place = 2.5 if n == 0 else 1.5 if n < len(bags) * 0.25 else 0.8 if n > len(bags) * 0.75 else 1.0
+        length = 0.5 if len(bag) < 5 else 0.8 if len(bag) > 50 else 1.0
+        out.append(floor((x + sum(k in s.lower() for k in KEYWORDS[kind]) * TFIDF_BOOST) * place * length * 1000 + 0.5) / 1000)
+    return np.array(out)
+
+
+def _summary(source: str, sentences: list[str], kind: str, most: int) -> tuple[str, str, int]:
     if len(source.strip()) < LEAST_CHARS:
         return source, "passthrough", 100
     if len(sentences) <= most:
         return source.strip(), "full-text", 100
-    similar = _cosines(sentences)
+    graph = SentenceGraph(sentences)
     if len(sentences) >= TEXTRANK_FROM:
         method = "textrank-mmr"
-        scores = _textrank(similar) + np.array([TEXTRANK_BOOST * sum(k in s.lower() for k in KEYWORDS[kind]) for s in sentences])
+        scores = _textrank(graph) + np.array([TEXTRANK_BOOST * sum(k in s.lower() for k in KEYWORDS[kind]) for s in sentences])
     else:
-        method, scores = "tfidf-mmr", np.array(tfidf)
-    out = re.sub(r"\.\s*\.", ".", ". ".join(sentences[n] for n in _choose(scores, similar, most))).rstrip()
+        method, scores = "tfidf-mmr", _own_scores(sentences, kind)
+    out = re.sub(r"\.\s*\.", ".", ". ".join(sentences[n] for n in _choose(scores, graph, most))).rstrip()
     return (out if out.endswith(".") else out + "."), method, int(100 * len(out) / len(source) + 0.5)
 
 
@@ -151,18 +183,17 @@ def leading_by_score(docs: DataFrame, kind: str = "sae", most: int = 3) -> DataF
 
 
 def summarise(docs: DataFrame, kind: str = "sae", most: int | None = None) -> DataFrame:
-    """``doc_id, summary, method, compression`` (summary over source, in percent)."""
+    """``doc_id, summary, method, compression`` (summary over source, in percent). A text's memory grows with
+    its words; nothing is joined."""
     most = most or (5 if kind == "meeting" else 3)
     rows = docs.select("doc_id", text_of("text").alias("source"), text.capital_sentences(F.col("text")).alias("sentences"))
-    few = docs.join(rows.where(F.size("sentences") < TEXTRANK_FROM).select("doc_id"), "doc_id", "left_semi")
-    scored = sentence_scores(few, kind).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "score"))), lambda x: x["score"]).alias("tfidf"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in it:
-            made = [_summary(s, list(parts), list(t) if t is not None else [], kind, most) for s, parts, t in zip(x.source, x.sentences, x.tfidf, strict=True)]
+            made = [_summary(s, list(parts), kind, most) for s, parts in zip(x.source, x.sentences, strict=True)]
             yield pd.DataFrame({"doc_id": x.doc_id, "summary": [m[0] for m in made], "method": [m[1] for m in made], "compression": [m[2] for m in made]})
 
-    return rows.join(scored, "doc_id", "left").select("doc_id", "source", "sentences", "tfidf").mapInPandas(run, "doc_id long, summary string, method string, compression int")
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, summary string, method string, compression int")
 
 
 # Patterns for a window of words, the first that fits wins.

@@ -77,8 +77,58 @@ def test_sentence_cosines_are_the_plain_ones():
     t = pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pydict()["text"]
     for words in sorted(filter(None, t), key=len)[-60::7]:
         sentences = split(words[:4000]) + ["", "é", "the 12th the 12th"]
-        got = summary._cosines(sentences)
-        assert all(abs(x - y) < 1e-9 for a, b in zip(got, plain_cosines(sentences)) for x, y in zip(a, b))
+        graph, want = summary.SentenceGraph(sentences), plain_cosines(sentences)
+        assert all(abs(x - y) < 1e-9 for k, row in enumerate(want) for x, y in zip(graph.similar(k), row))
+        assert all(abs(x - y) < 1e-9 for x, y in zip(summary._textrank(graph), plain_ranks(want)))
+        for keep in (1, 3, 5):
+            scores = summary._textrank(graph)
+            assert summary._choose(scores, graph, keep) == plain_choice(scores, want, keep)
+
+
+def plain_ranks(cosines):
+    n = len(cosines)
+    links = [[0 if i == j else x for j, x in enumerate(row)] for i, row in enumerate(cosines)]
+    links = [[x / sum(row) if sum(row) > 0 else 0 for x in row] for row in links]
+    scores = [1 / n] * n
+    for _ in range(summary.ROUNDS):
+        scores = [(1 - summary.DAMPING) / n + summary.DAMPING * sum(scores[i] * links[i][j] for i in range(n)) for j in range(n)]
+    return scores
+
+
+def plain_choice(scores, cosines, k):
+    scores = [round(x, 11) for x in scores]
+    rank = sorted(range(len(scores)), key=lambda n: -scores[n])
+    chosen, rest = rank[:1], rank[1:]
+    while len(chosen) < k and rest:
+        best = max(rest, key=lambda n: round(summary.MMR * scores[n] - (1 - summary.MMR) * max(cosines[n][c] for c in chosen), 11))
+        chosen.append(best)
+        rest.remove(best)
+    return sorted(chosen)
+
+
+def test_a_hundred_thousand_sentences_in_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in ("rant", "lost", "mind", "zone", "kept")] + [f"name{k}" for k in range(20_000)]
+    sentences = [" ".join(r.choice(words) for _ in range(8)) for _ in range(100_000)]
+    tracemalloc.start()
+    text, method, _ = summary._summary(". ".join(sentences), sentences, "sae", 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert method == "textrank-mmr" and text.endswith(".") and peak < 400e6  # the pairs alone would take 80 GB
+
+
+def test_scores_of_short_texts_are_those_of_all_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    from caselight.functions import text
+
+    own = {r["doc_id"]: r["s"] for r in docs.select("doc_id", text.capital_sentences(F.col("text")).alias("s")).collect()}
+    got = {}
+    for r in summary.sentence_scores(docs).collect():
+        got.setdefault(r["doc_id"], {})[r["position"]] = r["score"]
+    for i, scores in got.items():
+        assert all(abs(scores[k] - x) < 2e-3 for k, x in enumerate(summary._own_scores(own[i], "sae")))
 
 
 def test_longest_common_subsequences_are_the_plain_ones(spark):
