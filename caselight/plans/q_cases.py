@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselight.operators import linkage, privacy, signals
+from caselight.operators import anchors, linkage, privacy, signals
 
 from .cases import cases, d, r, sql
 
@@ -181,6 +181,37 @@ def link_history(spark, sf):
     return linkage.history(cases(spark, sf))
 
 
+@query("link_states", sql(_REL + "SELECT case_key, relation, changed FROM rel"))
+def link_states(spark, sf):
+    """Relations by the states of anchors and hashes, without windows."""
+    rows = anchors.points(cases(spark, sf))
+    return anchors.labelled(rows, anchors.states(rows), anchors.hash_states(rows))
+
+
+_EARLIER = "(b.created_at < a.created_at OR b.created_at = a.created_at AND b.case_key < a.case_key)"
+
+
+@query("link_incremental", sql(_REL + f"SELECT case_key, relation, changed, case_key % 5 = 0 OR EXISTS (SELECT 1 FROM k a JOIN k b ON b.case_key % 5 = 0 AND {_EARLIER} AND (a.source_hash = b.source_hash OR a.patient_token = b.patient_token AND a.medicine = b.medicine AND a.reaction = b.reaction) WHERE a.case_key = rel.case_key) AS touched FROM rel"))
+def link_incremental(spark, sf):
+    """Four fifths of the cases as they are stored, and the rest as a load."""
+    rows = anchors.points(cases(spark, sf))
+    stored, new = rows.where("case_key % 5 <> 0"), rows.where("case_key % 5 = 0")
+    known, hashes = anchors.states(stored), anchors.hash_states(stored)
+    return anchors.relabel(stored, anchors.labelled(stored, known, hashes), known, hashes, new)[0]
+
+
+_VALUES = "concat_ws('|', " + ", ".join(_FIELDS) + ")"
+
+
+@query("link_versions", sql(_KEYED + f""", o AS (SELECT case_key, patient_token || '|' || medicine || '|' || reaction AS anchor, {_VALUES} AS v, row_number() OVER (PARTITION BY patient_token, medicine, reaction ORDER BY created_at, case_key) AS seq FROM k),
+f AS (SELECT anchor, v, dense_rank() OVER (PARTITION BY anchor ORDER BY min(seq)) AS version FROM o GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY anchor ORDER BY seq) = v THEN 0 ELSE 1 END AS begins, row_number() OVER (PARTITION BY anchor, v ORDER BY seq) - 1 AS same_before FROM o)
+SELECT case_key, seq, version, sum(begins) OVER (PARTITION BY m.anchor ORDER BY seq) AS run, same_before FROM m JOIN f ON m.anchor = f.anchor AND m.v = f.v"""))
+def link_versions(spark, sf):
+    """A row a case, from which all its matches follow."""
+    return anchors.versions(cases(spark, sf)).drop("anchor_id")
+
+
 @query("dup_exists", sql("SELECT case_key, count(*) OVER (PARTITION BY patient_token, medicine, reaction) > 1 AS duplicate FROM cases"))
 def dup_exists(spark, sf):
     return linkage.has_other(cases(spark, sf))
