@@ -1,17 +1,13 @@
 """Intake as a stream: files or rows are extracted and scored as they come; windowed counts with
-late data; linkage keyed by anchor in state."""
+late data; sinks that take a batch once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from caselight.functions.text import value_key
 from caselight.operators.extraction import extract
 
 
@@ -25,35 +21,24 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
-#: Cases later than this behind the newest are dropped; an anchor that meets no case for so long
-#: beyond that is forgotten, and a case after that counts as new.
-LATE, IDLE = "365 days", timedelta(days=3650)
-_STATE = "seen long, outcomes array<string>"
-_OUT = "case_key long, relation string"
-
-
-def _link(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seen, outcomes = state.get if state.exists else (0, [])
-    outcomes, newest = list(outcomes), state.getCurrentWatermarkMs()
-    for x in batches:
-        newest = max(newest, int(x.created_at.max().timestamp() * 1000))
-        x = x.sort_values(["created_at", "case_key"])
-        relation = []
-        for outcome in x.outcome:
-            relation.append("new" if not seen else "followup" if any(o != outcome for o in outcomes) else "duplicate")
-            seen += 1
-            if outcome not in outcomes:
-                outcomes.append(outcome)
-        yield pd.DataFrame({"case_key": x.case_key, "relation": relation})
-    state.update((seen, outcomes))
-    state.setTimeoutTimestamp(newest + int(IDLE.total_seconds() * 1000))
-
-
-def linked(stream: DataFrame) -> DataFrame:
-    """Relation of each case to those that came before it with its anchor; state per anchor is a
-    count and the outcomes met, never rows, and ends after ``IDLE`` without a case."""
-    keyed = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", LATE).select("case_key", "created_at", "patient_token", value_key(F.col("medicine")).alias("medicine"), value_key(F.col("reaction")).alias("reaction"), value_key(F.col("outcome")).alias("outcome"))
-    return keyed.groupBy("patient_token", "medicine", "reaction").applyInPandasWithState(_link, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def once(path: str, stamp: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that appends a batch to the Parquet table at ``path`` and, when it meets a batch again
+    (a restart after a failure between write and commit), adds what is missing of it, and no row twice.
+
+    Rows are stored with the batch's number and their place among equal rows of it, so that two equal rows of
+    one batch both stay. Only the batch's own partition is read. ``stamp`` may add columns of the write."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        from pyspark.sql.window import Window
+
+        spark, names = rows.sparkSession, rows.columns
+        key = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+        equal = Window.partitionBy("_key").orderBy(F.lit(0))
+        made = rows.withColumn("_key", key).withColumn("_copy", F.row_number().over(equal)).withColumn("_batch", F.lit(batch))
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            there = spark.read.parquet(path).where(F.col("_batch") == batch).select("_key", "_copy")
+            made = made.join(there, ["_key", "_copy"], "left_anti")
+        stamp(made).write.mode("append").partitionBy("_batch").parquet(path)
+
+    return write

@@ -133,15 +133,3 @@ def test_windowed_stream_is_the_batch_query(spark, event_stream):
     got = sorted((r["start"], r["event_type"], r["n"]) for r in spark.table("windows").collect())
     want = sorted((r["start"], r["event_type"], r["n"]) for r in catalogue.QUERIES["event_windows"](spark, SF).collect())
     assert got == want
-
-
-def test_linked_stream_is_the_batch_relation(spark, tmp_path):
-    c = cases(spark, SF).select("case_key", "created_at", "patient_token", "medicine", "reaction", "outcome")
-    first, second = c.where("created_at < '1995-01-01'"), c.where("created_at >= '1995-01-01'")
-    first.coalesce(1).write.parquet(str(tmp_path / "in"))
-    second.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(c.schema).parquet(str(tmp_path / "in"))
-    drain(intake.linked(stream), "linked", "append")
-    got = {r["case_key"]: r["relation"] for r in spark.table("linked").collect()}
-    want = {r["case_key"]: r["relation"] for r in linkage.relations(c.withColumn("source_hash", F.lit("")), ("outcome",)).collect()}
-    assert got == want
