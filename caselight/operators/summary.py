@@ -200,26 +200,60 @@ def summarise(docs: DataFrame, kind: str = "sae", most: int | None = None) -> Da
 BOX_PATTERNS = (("Aadhaar", r"\d{4}\s?\d{4}\s?\d{4}"), ("PAN", r"[A-Z]{5}\d{4}[A-Z]"), ("Indian phone", r"(\+91[\s-]?)?[6-9]\d{9}"), ("Email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), ("MRN/UHID", r"(?i)(MRN|UHID|IP|OP|CR|HID)[-/]?\s*\d{4,12}"))
 
 
-def pii_boxes(pages: DataFrame) -> DataFrame:
-    """Boxes around identifiers in ``words`` (array of text, x0, y0, x1, y1): windows of up to five
-    words and sixty characters, emptied after a hit."""
-    found = [(n, re.compile(p, re.ASCII)) for n, p in BOX_PATTERNS]
+BOX_WORDS, BOX_CHARS = 5, 60
+#: Layout of words that have no boxes of their own: words to a row, and the sizes of cells, rows and letters.
+ROW_WORDS, CELL, ROW, LETTER = 10, 120, 14, 6
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in it:
-            out = []
-            for doc, words in zip(x.doc_id, x.words, strict=True):
-                window, held = "", []
-                for w in words:
-                    window = f"{window} {w['text']}".strip()[-60:]
-                    held = [*held, w][-5:]
-                    kind = next((n for n, p in found if p.search(window)), None)
-                    if kind:
-                        out.append((doc, kind, min(h["x0"] for h in held), min(h["y0"] for h in held), max(h["x1"] for h in held), max(h["y1"] for h in held), len(held)))
-                        window, held = "", []
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "x0", "y0", "x1", "y1", "words"])
-
-    return pages.select("doc_id", "words").mapInPandas(run, "doc_id long, kind string, x0 int, y0 int, x1 int, y1 int, words int")
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """``doc_id, words``: a document's words with boxes on a grid, by their place, and a confidence that grows with
+    their length; for texts that come without a scan."""
+    words = F.filter(F.split(text_of("text"), r"\s+"), lambda w: w != "")
+    box = lambda w, i: F.struct(
+        w.alias("text"), F.least(F.lit(1.0), F.length(w) / 10.0).alias("confidence"), (i % ROW_WORDS * CELL).cast("int").alias("x0"), (F.floor(i / ROW_WORDS) * ROW).cast("int").alias("y0"),
+        (i % ROW_WORDS * CELL + F.length(w) * LETTER).cast("int").alias("x1"), (F.floor(i / ROW_WORDS) * ROW + ROW - 2).cast("int").alias("y1"),
+    )
+    return docs.select("doc_id", F.transform(words, box).alias("words"))
+
+
+def pii_boxes(pages: DataFrame) -> DataFrame:
+    """Boxes around identifiers in ``words`` (array of text, x0, y0, x1, y1): windows of up to ``BOX_WORDS`` words and
+    ``BOX_CHARS`` characters, emptied after a hit. One fold over a page's words, tried only where its words,
+    joined, match at all (patterns know no borders, so what a window matches the page matches too)."""
+    whole = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    some = F.lit(False)
+    for _, pattern in BOX_PATTERNS:
+        some |= whole.rlike(pattern)
+
+    def kind(window: Column) -> Column:
+        """(No pattern fits where there is neither a digit nor an at sign.)"""
+        out = F.when(F.lit(False), "")
+        for name, pattern in BOX_PATTERNS:
+            out = out.when((window.contains("@") if "@" in pattern else F.lit(True)) & window.rlike(pattern), name)
+        return F.when(window.rlike("[0-9@]"), out)
+
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is made once."""
+        return F.get(F.transform(F.array(value), body), 0)
+
+    empty = F.struct(F.lit("").alias("window"), F.expr("slice(words, 1, 0)").alias("held"), F.expr("CAST(array() AS array<struct<kind:string,x0:int,y0:int,x1:int,y1:int,words:int>>)").alias("out"))
+
+    def step(state: Column, w: Column) -> Column:
+        joined = F.trim(F.concat(state["window"], F.lit(" "), w["text"]))
+        window = F.substring(joined, F.greatest(F.length(joined) - (BOX_CHARS - 1), F.lit(1)), F.lit(BOX_CHARS))
+        held = F.concat(F.slice(state["held"], F.greatest(F.size(state["held"]) - (BOX_WORDS - 2), F.lit(1)), F.lit(BOX_WORDS - 1)), F.array(w))
+
+        def moved(x: Column) -> Column:
+            edge = lambda f, name: f(F.transform(x["held"], lambda h: h[name]))
+            hit = F.struct(x["kind"].alias("kind"), edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"), F.size(x["held"]).alias("words"))
+            found = F.struct(F.lit("").alias("window"), F.slice(x["held"], F.lit(1), F.lit(0)).alias("held"), F.concat(state["out"], F.array(hit)).alias("out"))
+            return F.when(x["kind"].isNull(), F.struct(x["window"].alias("window"), x["held"].alias("held"), state["out"].alias("out"))).otherwise(found)
+
+        return let(window, lambda v: let(F.struct(v.alias("window"), held.alias("held"), kind(v).alias("kind")), moved))
+
+    rows = pages.select("doc_id", "words").where(some)
+    folded = rows.select("doc_id", F.aggregate("words", empty, step)["out"].alias("out"))
+    return folded.select("doc_id", F.posexplode("out").alias("position", "x")).select("doc_id", "x.*").select("doc_id", "kind", "x0", "y0", "x1", "y1", "words")
 
 
 def ocr_confidence(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from caselight.functions import banding, text
 from caselight.operators import documents as docs_ops
-from caselight.operators import extraction, forms, identifiers, paging, severity
+from caselight.operators import extraction, forms, identifiers, paging, severity, summary
 from caselight.sources import readers
 
 from .cases import cases, d, r, sql, table
@@ -429,3 +429,17 @@ def guideline_upsert(spark, sf):
     old = c.where("status <> 'ready_for_processing'").groupBy(F.col("medicine").alias("version")).agg(F.min("score").alias("threshold"))
     new = c.where("case_key % 5 = 0").groupBy(F.col("medicine").alias("version")).agg(F.max("score").alias("threshold"))
     return paging.upserted(old, new)
+
+
+# --- scans ---
+
+
+@query("pii_boxes")
+def pii_boxes(spark, sf):
+    """Boxes around identifiers on the laid-out words of every document."""
+    return summary.pii_boxes(summary.laid_out(table(spark, sf, "documents")))
+
+
+@query("ocr_confidence", f"SELECT doc_id, {r('coalesce(CAST(list_sum(l) AS DOUBLE) / len(l), 0.3)', 4)} AS confidence FROM (SELECT doc_id, list_filter(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> ''), lambda w: least({d(1)}, length(w) / {d(10)})), lambda c: c > 0.5) AS l FROM documents)")
+def ocr_confidence(spark, sf):
+    return summary.ocr_confidence(summary.laid_out(table(spark, sf, "documents")))
