@@ -47,6 +47,18 @@ def pivot_totals(rows: DataFrame, row: str, column: str) -> DataFrame:
     return rows.cube(row, column).agg(F.count("*").alias("n"), F.grouping_id().alias("level")).select(F.when(F.col("level").isin(2, 3), "Total").otherwise(F.col(row)).alias("row_value"), F.when(F.col("level").isin(1, 3), "Total").otherwise(F.col(column)).alias("column_value"), "n")
 
 
+def any_by_any(rows: DataFrame, dimensions: tuple[str, ...], serious: Column) -> DataFrame:
+    """``row_dimension, column_dimension, row_value, column_value`` and four metrics, for every two of the
+    ``dimensions``: reports, percent serious, mean score and mean confidence. Rows are summed by all dimensions
+    first, so pairs are made of the sums alone."""
+    base = rows.groupBy(*dimensions).agg(F.count("*").alias("n"), F.count_if(serious).alias("serious"), F.sum("score").alias("score"), F.sum("confidence").alias("sure"))
+    pairs = [F.struct(F.lit(a).alias("row_dimension"), F.lit(b).alias("column_dimension"), F.col(a).alias("row_value"), F.col(b).alias("column_value")) for k, a in enumerate(dimensions) for b in dimensions[k + 1 :]]
+    long = base.select(F.explode(F.array(*pairs)).alias("p"), "n", "serious", "score", "sure")
+    g = long.groupBy("p").agg(*[F.sum(c).alias(c) for c in ("n", "serious", "score", "sure")])
+    n = F.col("n").cast("double")
+    return g.select("p.*", F.col("n").alias("reports"), rounded(100.0 * F.col("serious") / n, 1).alias("serious_percent"), rounded(F.col("score") / n, 2).alias("avg_score"), rounded(F.col("sure") / n, 4).alias("avg_confidence"))
+
+
 def presence(rows: DataFrame, fields: list[str], centre: str = "centre", first: int = 5) -> DataFrame:
     """Share of rows per centre (the first few by name) that have each field."""
     chosen = rows.select(centre).distinct().orderBy(centre).limit(first)

@@ -114,17 +114,33 @@ def record(rows: DataFrame, ids: tuple[str, ...] = FIVE) -> DataFrame:
     )
 
 
+def _greatest_t(counts: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """One row, ``t_<attribute>``: the greatest distance of a class of ``counts`` (with its ``size``) from all of
+    them, null without rows."""
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    one = []
+    for s in SENSITIVE:
+        local = counts.groupBy(*ids, "size", s).agg(F.sum("n").alias("n"))
+        whole = counts.groupBy(s).agg(F.sum("n").alias("n_all")).crossJoin(F.broadcast(total))
+        parts = local.join(whole, s).withColumn("q", F.col("n_all") / F.col("total").cast("double"))
+        distance = parts.groupBy(*ids).agg(((F.sum(F.abs(F.col("n") / F.col("size").cast("double") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("t"))
+        one.append(distance.agg(rounded(F.max("t"), 4).alias(f"t_{s}")))
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), one)  # one row each
+
+
 def study(rows: DataFrame, strategies: dict[str, tuple[str, ...]]) -> DataFrame:
-    """k-suppression only, for several sets of identifiers."""
+    """k-suppression only, for several sets of identifiers, with l and t of what is kept."""
     out = []
     for name, ids in strategies.items():
-        g = classes(rows, ids)
+        counts = counted(rows, ids)
+        g = _classes(counts, ids)
         fine = F.col("size") >= K
+        kept = counts.join(g.where(fine).select(*ids, "size"), list(ids))
         out.append(g.agg(
             F.lit(name).alias("strategy"), F.min("size").alias("k_before"), F.min(F.when(fine, F.col("size"))).alias("k_after"), F.count_if(fine).alias("kept_classes"),
             rounded(F.count_if(fine) / F.count("*").cast("double"), 4).alias("compliant_share"),
             F.sum(F.when(fine, 0).otherwise(F.col("size"))).alias("suppressed"),
             rounded(F.sum(F.when(fine, 0).otherwise(F.col("size"))) / F.sum("size").cast("double"), 4).alias("suppression_rate"),
             F.min(F.when(fine, F.col("outcome_values"))).alias("l_outcome"), F.min(F.when(fine, F.col("seriousness_values"))).alias("l_seriousness"),
-        ))
+        ).crossJoin(F.broadcast(_greatest_t(kept, ids))))
     return reduce(DataFrame.unionByName, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,31 @@ def field_report(rows: DataFrame, fields: list[tuple[str, str, bool]]) -> DataFr
     return counts.select(F.expr(f"stack({len(fields)}, {cells}) AS (field, mandatory, present, total)"))
 
 
+# The fields of a completeness report: column, label, mandatory, section.
+REPORTED = (
+    ("initials", "Patient initials", True, "Patient"), ("age", "Patient age", True, "Patient"), ("gender", "Patient gender", False, "Patient"), ("weight", "Patient weight (kg)", False, "Patient"),
+    ("reaction", "Adverse reaction", True, "Clinical"), ("medicine", "Suspected medication", True, "Clinical"), ("onset", "Reaction onset date", False, "Clinical"), ("dose", "Dose", False, "Clinical"),
+    ("route", "Route", False, "Clinical"), ("seriousness", "Seriousness", False, "Clinical"), ("outcome", "Outcome", False, "Clinical"), ("reporter", "Reporter name", True, "Reporter"),
+    ("email", "Reporter email", False, "Reporter"), ("phone", "Reporter phone", False, "Reporter"),
+)
+
+
+def completeness_report(fields: DataFrame) -> DataFrame:
+    """``doc_id, fields`` (label, value, mandatory, present, section), the number of mandatory and optional
+    ones that are present and in all, and of findings of personal data, for extracted documents. A reporter
+    is present by name, email or phone."""
+    from .identifiers import found
+
+    any_reporter = reduce(lambda a, c: a | (text_of(c) != ""), ("email", "phone"), text_of("reporter") != "")
+    cells = [F.struct(F.lit(label).alias("label"), text_of(c).alias("value"), F.lit(must).alias("mandatory"), (any_reporter if c == "reporter" else text_of(c) != "").alias("present"), F.lit(section).alias("section")) for c, label, must, section in REPORTED]
+    rows = fields.select("doc_id", F.array(*cells).alias("fields"), F.size(found(structured=True)).alias("findings"))
+    count = lambda f: F.size(F.filter("fields", f))
+    return rows.select(
+        "doc_id", "fields", count(lambda x: x["mandatory"] & x["present"]).alias("mandatory_present"), count(lambda x: x["mandatory"]).alias("mandatory_total"),
+        count(lambda x: ~x["mandatory"] & x["present"]).alias("optional_present"), count(lambda x: ~x["mandatory"]).alias("optional_total"), "findings",
+    )
+
+
 #: A guideline's mandatory rules at most.
 MOST_RULES = 1000
 
@@ -95,5 +122,7 @@ def reviewer_flag() -> Column:
 
 
 def overview(cases: DataFrame) -> DataFrame:
+    """One row of counts; with a column ``relation``, also of duplicates and follow-ups."""
     flag = reviewer_flag()
-    return cases.agg(F.count("*").alias("reports"), F.count_if(flag == "ready").alias("ready"), F.count_if(flag == "follow-up").alias("follow_up"), F.count_if(flag == "cannot-compute").alias("cannot_compute"), F.floor(F.avg("score") + 0.5).cast("int").alias("average_score"))
+    linked = [F.count_if(F.col("relation") == k).alias(n) for k, n in (("duplicate", "duplicates"), ("followup", "follow_up_reports"))] if "relation" in cases.columns else []
+    return cases.agg(*linked, F.count("*").alias("reports"), F.count_if(flag == "ready").alias("ready"), F.count_if(flag == "follow-up").alias("follow_up"), F.count_if(flag == "cannot-compute").alias("cannot_compute"), F.floor(F.avg("score") + 0.5).cast("int").alias("average_score"))

@@ -143,10 +143,16 @@ def privacy_record(spark, sf):
     return privacy.record(cases(spark, sf))
 
 
+def _study_t(ids: str, attribute: str) -> str:
+    size = f"SELECT {ids}, count(*) AS size FROM cases GROUP BY {ids} HAVING count(*) >= 5"
+    return f"""(SELECT {r("max(t)", 4)} FROM (SELECT {ids}, sum(abs(coalesce(n, 0) / CAST(size AS DOUBLE) - q)) / 2 AS t FROM (SELECT * FROM ({size}), (SELECT {attribute} AS v, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS q FROM cases JOIN ({size}) USING ({ids}) GROUP BY 1))
+LEFT JOIN (SELECT {ids}, {attribute} AS v, count(*) AS n FROM cases GROUP BY ALL) USING ({ids}, v) GROUP BY {ids}))"""
+
+
 def _study(name: str, ids: str) -> str:
     return f"""SELECT '{name}' AS strategy, min(size) AS k_before, min(size) FILTER (WHERE size >= 5) AS k_after, count(*) FILTER (WHERE size >= 5) AS kept_classes, {r("(count(*) FILTER (WHERE size >= 5) / CAST(count(*) AS DOUBLE))", 4)} AS compliant_share,
 CAST(coalesce(sum(size) FILTER (WHERE size < 5), 0) AS BIGINT) AS suppressed, {r("(coalesce(sum(size) FILTER (WHERE size < 5), 0) / CAST(sum(size) AS DOUBLE))", 4)} AS suppression_rate,
-min(ov) FILTER (WHERE size >= 5) AS l_outcome, min(sv) FILTER (WHERE size >= 5) AS l_seriousness
+min(ov) FILTER (WHERE size >= 5) AS l_outcome, min(sv) FILTER (WHERE size >= 5) AS l_seriousness, {_study_t(ids, 'outcome')} AS t_outcome, {_study_t(ids, 'seriousness')} AS t_seriousness
 FROM (SELECT {ids}, count(*) AS size, count(DISTINCT outcome) AS ov, count(DISTINCT seriousness) AS sv FROM cases GROUP BY {ids})"""
 
 

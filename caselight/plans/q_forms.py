@@ -76,7 +76,7 @@ def _reports(spark, sf):
     return cases(spark, sf).select(F.col("case_key").alias("id"), "narrative", F.concat(F.lit("Patient received "), "medicine", F.lit(".")).alias("summary"))
 
 
-_LEAD_PAIRS = f"SELECT id, summary AS hypothesis, reference FROM (SELECT id, summary, array_to_string(list_slice({sents('narrative', 20)}, 1, 3), ' ') AS reference FROM (SELECT * FROM ({_REPORTS}) WHERE length(narrative) > 80 ORDER BY id LIMIT 50)) WHERE length(summary) > 10 AND length(reference) > 10"
+_LEAD_PAIRS = f"SELECT id, summary AS hypothesis, reference FROM (SELECT id, summary, array_to_string(list_slice({sents('narrative', 20)}, 1, 3), ' ') AS reference FROM (SELECT * FROM ({_REPORTS}) WHERE length(narrative) > 80)) WHERE length(summary) > 10 AND length(reference) > 10"
 _LEAD = _rouge(1, _LEAD_PAIRS)
 
 
@@ -85,7 +85,7 @@ def lead3_rouge(spark, sf):
     return evaluation.batch_mean(evaluation.rouge_n(forms.lead_pairs(_reports(spark, sf)), 1))
 
 
-@query("compression_stats", sql(f"SELECT count(*) AS samples, {r(f'avg({d(100)} * length(summary) / length(narrative))', 2)} AS percent FROM (SELECT * FROM ({_REPORTS}) WHERE length(narrative) > 80 ORDER BY id LIMIT 100)"))
+@query("compression_stats", sql(f"SELECT count(*) AS samples, {r(f'avg({d(100)} * length(summary) / length(narrative))', 2)} AS percent FROM (SELECT * FROM ({_REPORTS}) WHERE length(narrative) > 80)"))
 def compression_stats(spark, sf):
     return forms.compression(_reports(spark, sf))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselight.functions import banding
-from caselight.operators import evaluation, linkage, paging, pivots, scoring
+from caselight.operators import anchors, evaluation, linkage, paging, pivots, scoring
 
 from .cases import cases, d, r, sql, table
 from .q_cases import _REL, SERIOUS
@@ -57,9 +57,9 @@ def _queue(spark, sf):
     return scoring.priority(c.join(linkage.relations(c).select("case_key", "relation"), "case_key"))
 
 
-@query("priority_queue", sql(_QUEUE + "SELECT case_key, priority_score, tier, CASE WHEN why = '' THEN 'routine review' ELSE why END AS reasons FROM queue ORDER BY priority_score DESC, case_key LIMIT 500"))
+@query("priority_queue", sql(_QUEUE + "SELECT case_key, priority_score, tier, CASE WHEN why = '' THEN 'routine review' ELSE why END AS reasons FROM queue "))
 def priority_queue(spark, sf):
-    return _queue(spark, sf).select("case_key", "priority_score", "tier", "reasons").orderBy(F.desc("priority_score"), "case_key").limit(500)
+    return _queue(spark, sf).select("case_key", "priority_score", "tier", "reasons")
 
 
 @query("priority_tiers", sql(_QUEUE + "SELECT tier, count(*) AS n FROM queue GROUP BY 1"))
@@ -89,9 +89,12 @@ def reviewer_flags(spark, sf):
     return cases(spark, sf).groupBy(scoring.reviewer_flag().alias("flag"), scoring.severity_of_label().alias("severity")).agg(F.count("*").alias("n"))
 
 
-@query("overview", sql(f"SELECT count(*) AS reports, count(*) FILTER (WHERE {FLAG} = 'ready') AS ready, count(*) FILTER (WHERE {FLAG} = 'follow-up') AS follow_up, count(*) FILTER (WHERE {FLAG} = 'cannot-compute') AS cannot_compute, CAST(floor(avg(score) + {d(0.5)}) AS INTEGER) AS average_score FROM cases"))
+@query("overview", sql(_REL + f"SELECT (SELECT count(*) FROM rel WHERE relation = 'duplicate') AS duplicates, (SELECT count(*) FROM rel WHERE relation = 'followup') AS follow_up_reports, count(*) AS reports, count(*) FILTER (WHERE {FLAG} = 'ready') AS ready, count(*) FILTER (WHERE {FLAG} = 'follow-up') AS follow_up, count(*) FILTER (WHERE {FLAG} = 'cannot-compute') AS cannot_compute, CAST(floor(avg(score) + {d(0.5)}) AS INTEGER) AS average_score FROM cases"))
 def overview(spark, sf):
-    return scoring.overview(cases(spark, sf))
+    c = cases(spark, sf)
+    rows = anchors.points(c)
+    linked = anchors.labelled(rows, anchors.states(rows), anchors.hash_states(rows)).select("case_key", "relation")
+    return scoring.overview(c.join(linked, "case_key"))
 
 
 # --- pivots ---
@@ -273,3 +276,12 @@ def eval_mcc(spark, sf):
 @query("eval_routing", sql(f"SELECT status = 'needs_followup' AS truth, {FLAG} = 'follow-up' AS guess, count(*) AS n FROM cases GROUP BY 1, 2"))
 def eval_routing(spark, sf):
     return cases(spark, sf).groupBy((F.col("status") == "needs_followup").alias("truth"), (scoring.reviewer_flag() == "follow-up").alias("guess")).agg(F.count("*").alias("n"))
+
+
+_DIMENSIONS = ("medicine", "reaction", "gender", "age_band", "weight_band", "seriousness")
+
+
+@query("pivot_any", sql(" " + " UNION ALL ".join(f"SELECT '{a}' AS row_dimension, '{b}' AS column_dimension, {a} AS row_value, {b} AS column_value, count(*) AS reports, {r(f'({d(100)} * count(*) FILTER (WHERE seriousness IN {SERIOUS}) / count(*))', 1)} AS serious_percent, {r('(sum(score) / CAST(count(*) AS DOUBLE))', 2)} AS avg_score, {r('(sum(confidence) / count(*))', 4)} AS avg_confidence FROM cases GROUP BY {a}, {b}" for k, a in enumerate(_DIMENSIONS) for b in _DIMENSIONS[k + 1 :])))
+def pivot_any(spark, sf):
+    """Four metrics for every two of six dimensions."""
+    return pivots.any_by_any(cases(spark, sf), _DIMENSIONS, F.col("seriousness").isin(*banding.SERIOUS_LABELS))

@@ -221,6 +221,30 @@ def note_findings(spark, sf):
     return identifiers.findings(_notes(spark, sf))
 
 
+_DATED = f"SELECT doc_id, t || ' Seen ' || onset || ' or 03/02/2025, host 10.0.0.' || (doc_id % 200) || ', PIN 560001.' AS text FROM ({_NOTE}) JOIN (SELECT case_key AS doc_id, onset FROM cases) USING (doc_id)"
+_ALL = {"aadhaar": _COUNTED[0][4], "pan": _COUNTED[1][4], "mobile": _COUNTED[2][4], "record": _COUNTED[3][4], "email": _COUNTED[4][4], "pin_code": r"\b[1-9]\d{5}\b", "date": r"\b(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})\b", "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"}
+
+
+def _dated(spark, sf) -> DataFrame:
+    """The notes, with dates, addresses of hosts and pin codes."""
+    more = cases(spark, sf).select(key().alias("doc_id"), F.concat(F.lit(" Seen "), "onset", F.lit(" or 03/02/2025, host 10.0.0."), (key() % 200).cast("string"), F.lit(", PIN 560001.")).alias("more"))
+    return _notes(spark, sf).join(more, "doc_id").select("doc_id", F.concat("text", "more").alias("text"))
+
+
+@query("note_counts", sql(" SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in _ALL.items()) + f" FROM ({_DATED})"))
+def note_counts(spark, sf):
+    """All eight detectors on a note on each case."""
+    return identifiers.counts(_dated(spark, sf))
+
+
+_MASKED = f"regexp_replace(regexp_replace(regexp_replace(text, '{_ALL['email']}', '[EMAIL]', 'g'), '(^|\\D)(?:\\+91[-\\s]?)?[6-9]\\d{{9}}(\\D|$)', '\\1[PHONE]\\2', 'g'), '{_ALL['record']}', '[RECORD]', 'g')"
+
+
+@query("masked_notes", sql(f" SELECT doc_id, {_MASKED} AS masked FROM ({_DATED})"))
+def masked_notes(spark, sf):
+    return _dated(spark, sf).select("doc_id", identifiers.masked(F.col("text")).alias("masked"))
+
+
 @query("anonymisation_samples", sql(f" SELECT doc_id, position, '[' || entity || ']' AS raw, token AS pseudo, CASE WHEN action = 'Generalise' THEN 'LOCATION_GENERALISED' WHEN type = 'PHI' THEN 'PHI_CATEGORY_PRESERVED' ELSE 'TOKEN_APPLIED' END AS anon FROM ({_findings(_NOTE)}) WHERE position < 2"))
 def anonymisation_samples(spark, sf):
     """The first two findings of every note."""
