@@ -3,7 +3,8 @@
 A page is cut into blocks of text at block-level tags. Each block gets shallow features: words and
 link density of itself and of the blocks before and after it, the longest plain block near it on
 either side, and what the elements around it say (tags such as ``nav`` or ``article``, names such as
-"menu"; a name on an element with over half of the page's words says nothing). A decision tree which blocks are main text. It is trained here, on the driver, on a small labelled table that
+"menu"; a name on an element with over half of the page's words says nothing, nor does one that speaks of
+remarks on an article itself, around the page's heading or around nearly all of its words). A decision tree which blocks are main text. It is trained here, on the driver, on a small labelled table that
 ``labelled_pages`` makes from a rule: layouts of a page as lists of parts, each with its label, in
 three dresses: pages that use tags, pages that use names, and bare pages of plain ``div`` and ``p``,
 where words and links alone tell the parts apart.
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title textarea select option button audio video".split())
+#: Elements whose content is no text of the page; they end no block.
+SKIPPED = frozenset("script style noscript template svg iframe object canvas head title textarea select option button audio video annotation annotation-xml".split())
 #: Of these, those whose content is not markup.
 RAW = frozenset("script style noscript iframe textarea title".split())
 #: Elements inside a line of text; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br o:p nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br o:p nobr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that close an open one of the same kind.
@@ -42,7 +43,9 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|trending|popular|pagination|pager|toolbar|search|form|copyright|legal|disclaimer|skip|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|responses|discussion|disqus|feedback|reviews?|guestbook)(?:$|[\s_-])", re.IGNORECASE)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|responses|disqus|guestbook)(?:$|[\s_-])", re.IGNORECASE)
+#: Names that are of remarks outside an article, and of parts of it inside.
+OPINIONS = re.compile(r"(?:^|[\s_-])(?:discussion|feedback|reviews?)(?:$|[\s_-])", re.IGNORECASE)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articles?-?body|main|content|entry|entry-content|post|post-body|story|body|text|hentry)(?:$|[\s_-])", re.IGNORECASE)
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>"'<]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*+)>?""", re.DOTALL)
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -62,9 +65,12 @@ class Block:
     #: Numbers of the elements around it whose name does, or that are a form or a header: such an
     #: element may as well stand around the whole page.
     named: tuple[int, ...]
-    remark: bool
+    #: Numbers of those around it whose name is of remarks, or that are an article inside an article.
+    remarks: tuple[int, ...]
     #: What around it marks the main part: an article (3), a main element (2), a name (1).
     main: int
+    #: In the page's own heading.
+    top: bool
 
 
 def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int]:
@@ -76,13 +82,15 @@ def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, i
     tagged = tag in ("nav", "footer", "aside", "menu", "dialog") or bool(attributes and _HIDDEN.search(attributes))
     named = tag == "form" or tag == "header" and not inside or tag not in ("article", "main", "body", "html") and bool(names and FURNITURE.search(names))
     main = 3 if tag == "article" else 2 if tag == "main" else int(bool(names and tag not in ("body", "html") and MAIN.search(names)))
-    return tagged, named, bool(names and REMARKS.search(names)), main
+    # an article's own name says what it is about, not that it isn't one
+    remark = tag not in ("article", "main", "body", "html") and bool(names and (REMARKS.search(names) or not inside and OPINIONS.search(names)))
+    return tagged, named, remark, main
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # open elements: tag, and what they and those around them are (as in a block)
-    stack: list[tuple[str, bool, tuple[int, ...], bool, int]] = []
+    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...], int]] = []
     parts: list[str] = []
     linked: list[str] = []
     state = {"link": 0, "skip": 0, "seen": 0}
@@ -91,8 +99,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             tags = {s[0] for s in stack}
-            top = stack[-1] if stack else ("", False, (), False, 0)
-            out.append(Block(text, text.count(" ") + 1, len(" ".join(linked).split()), bool(tags & HEADINGS), bool(tags & {"li", "td", "th", "dd", "dt"}), *top[1:]))
+            top = stack[-1] if stack else ("", False, (), (), 0)
+            out.append(Block(text, text.count(" ") + 1, len(" ".join(linked).split()), bool(tags & HEADINGS), bool(tags & {"li", "td", "th", "dd", "dt"}), *top[1:], "h1" in tags))
         parts.clear()
         linked.clear()
 
@@ -121,13 +129,16 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        ends = tag not in INLINE and tag not in SKIPPED
+        if ends and not state["skip"]:
             end()
         elif tag == "br" and not state["skip"]:
             parts.append(" ")
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    if ends and any(s[0] in SKIPPED for s in stack[k + 1 :]):
+                        end()  # it holds a skipped element that was left open
                     pop(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
@@ -138,7 +149,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             closing = _CLOSE[tag].search(page, at)
             at = closing.start() if closing else size
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SKIPPED:
             # inline elements that were left open end with the block
             k = len(stack)
             while k and stack[k - 1][0] in INLINE:
@@ -146,11 +157,11 @@ def blocks(page: str) -> list[Block]:
             pop(k)
             if tag in REPEATS and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
-        around = stack[-1][1:] if stack else (False, (), False, 0)
+        around = stack[-1][1:] if stack else (False, (), (), 0)
         tagged, named, remark, main = _flags(tag, m[3], around[3] == 3)
         state["seen"] += 1
         number = state["seen"]
-        stack.append((tag, around[0] or tagged, (*around[1], number) if named else around[1], around[2] or remark or main == around[3] == 3, max(around[3], main)))
+        stack.append((tag, around[0] or tagged, (*around[1], number) if named else around[1], (*around[2], number) if remark or main == around[3] == 3 else around[2], max(around[3], main)))
         state["link"] += tag == "a"
         state["skip"] += tag in SKIPPED
     end()
@@ -162,6 +173,8 @@ FEATURES = ("words", "density", "words_before", "density_before", "words_after",
 NAME_FEATURES = ("off",)
 #: An element of some blocks with a greater share of the page's words says nothing by its name.
 MOST = 0.5
+#: An element of remarks with a greater share of the page's words, or with its heading, neither.
+ALL = 0.9
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -173,7 +186,13 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
             held.setdefault(number, []).append(w)
     around = {number for number, of in held.items() if len(of) > (len(found) > 1) and sum(of) > MOST * sum(words)}
     named = [not around.issuperset(b.named) for b in found]
-    plain = [w if d < 0.34 and not (b.tagged or b.remark or n) else 0.0 for w, d, b, n in zip(words, density, found, named, strict=True)]
+    told: dict[int, list[float]] = {}
+    for w, b in zip(words, found, strict=True):
+        for number in b.remarks:
+            told.setdefault(number, []).append(w)
+    whole = {n for n, of in told.items() if sum(of) > ALL * sum(words)} | {n for b in found if b.top for n in b.remarks}
+    remark = [not whole.issuperset(b.remarks) for b in found]
+    plain = [w if d < 0.34 and not (b.tagged or m or n) else 0.0 for w, d, b, m, n in zip(words, density, found, remark, named, strict=True)]
     main = max((b.main for b in found), default=0)
     out = []
     for k, b in enumerate(found):
@@ -186,7 +205,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
             float(b.heading), float(bool(k) and found[k - 1].heading), float(b.item),
             # in what marks the main part of this page best
             float(main > 0 and b.main == main), float(main > 0), float(len(found)),
-            float(b.tagged or b.remark or named[k]),
+            float(b.tagged or remark[k] or named[k]),
         ))
     return out
 

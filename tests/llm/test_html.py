@@ -82,3 +82,29 @@ def test_text_features_carry_the_tree():
 def test_very_long_page():
     page = "<nav><a href=x>Menu</a></nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article><footer>Foot</footer>" + "<div>" * 50_000
     assert html_blocks.main_text(page) == "\n\n".join([LONG] * 20_000)
+
+
+def test_names_of_remarks_empty_no_article():
+    story = f"<h1>Head line</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head line\n\n{LONG}\n\n{LONG}"
+    for start, stop in (("<article class='review'>", "</article>"), ("<div class='review'>", "</div>"), ("<div id='feedback'>", "</div>"), ("<main class='discussion'>", "</main>"), ("<div class='comments'>", "</div>")):
+        assert html_blocks.main_text(f"<html><body>{start}{story}{stop}</body></html>") == want
+        assert html_blocks.main_text(f"<nav><a href=x>Home</a></nav>{start}{story}{stop}<footer>Foot</footer>") == want
+    remarks = f"<div class='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html_blocks.main_text(f"<article>{story}</article>{remarks}") == want
+    assert html_blocks.main_text(f"<article>{story}{remarks}</article>") == want
+
+
+def test_sections_of_an_article_stay():
+    page = f"<article><h1>A paper</h1><section id='methods'><h2>Methods</h2><p>{LONG}</p></section><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>"
+    assert html_blocks.main_text(page) == f"A paper\n\nMethods\n\n{LONG}\n\nDiscussion\n\n{LONG}"
+
+
+def test_skipped_elements_end_no_block():
+    page = f"<article><h1>Head</h1><p>Alpha <script>1 < 2</script>beta <svg><path d='x'/><text>no</text></svg>gamma <button>Press</button>delta {LONG}</p><p>{LONG}</p></article>"
+    assert html_blocks.main_text(page) == f"Head\n\nAlpha beta gamma delta {LONG}\n\n{LONG}"
+
+
+def test_formulas_are_text():
+    page = f"<article><h1>Head</h1><p>Let <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup><annotation>x=y^2</annotation></math> be so. {LONG}</p></article>"
+    assert html_blocks.main_text(page) == f"Head\n\nLet x=y2 be so. {LONG}"
