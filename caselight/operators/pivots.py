@@ -10,13 +10,16 @@ from caselight.functions.text import rounded, text_of
 
 from .signals import is_serious
 
+#: Confidences are summed as decimals, so the order of summing decides nothing.
+EXACT = "decimal(18,6)"
+
 
 def medicine_rollup(cases: DataFrame, values: tuple[str, ...] = ("reaction", "gender", "age_band", "weight_band")) -> DataFrame:
     """Metrics of each medicine and its most frequent values. The rows are grouped once, by all values; all else
     is made of these sums, whose exchange is read twice."""
-    sums = cases.groupBy("medicine", *values).agg(F.count("*").alias("n"), F.min("case_key").alias("seen"), F.count_if(is_serious()).alias("serious"), F.sum("score").alias("score"), F.sum("confidence").alias("sure"))
+    sums = cases.groupBy("medicine", *values).agg(F.count("*").alias("n"), F.min("case_key").alias("seen"), F.count_if(is_serious()).alias("serious"), F.sum("score").alias("score"), F.sum(F.col("confidence").cast(EXACT)).alias("sure"))
     n = F.sum("n").cast("double")
-    base = sums.groupBy("medicine").agg(F.sum("n").alias("reports"), rounded(100.0 * F.sum("serious") / n, 1).alias("serious_percent"), rounded(F.sum("score") / n, 2).alias("avg_score"), rounded(F.sum("sure") / n, 4).alias("avg_confidence"))
+    base = sums.groupBy("medicine").agg(F.sum("n").alias("reports"), rounded(100.0 * F.sum("serious") / n, 1).alias("serious_percent"), rounded(F.sum("score") / n, 2).alias("avg_score"), rounded(F.sum("sure").cast("double") / n, 4).alias("avg_confidence"))
     long = sums.select("medicine", "n", "seen", F.inline(F.array(*[F.struct(F.lit(v).alias("dimension"), F.col(v).alias("value")) for v in values])))
     counts = long.groupBy("medicine", "dimension", "value").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     first = lambda v: F.max_by(F.when(F.col("dimension") == v, F.col("value")), F.when(F.col("dimension") == v, F.struct("n", (-F.col("seen")).alias("s")))).alias(f"top_{v}")
@@ -49,12 +52,12 @@ def any_by_any(rows: DataFrame, dimensions: tuple[str, ...], serious: Column) ->
     """``row_dimension, column_dimension, row_value, column_value`` and four metrics, for every two of the
     ``dimensions``: reports, percent serious, mean score and mean confidence. Rows are summed by all dimensions
     first, so pairs are made of the sums alone."""
-    base = rows.groupBy(*dimensions).agg(F.count("*").alias("n"), F.count_if(serious).alias("serious"), F.sum("score").alias("score"), F.sum("confidence").alias("sure"))
+    base = rows.groupBy(*dimensions).agg(F.count("*").alias("n"), F.count_if(serious).alias("serious"), F.sum("score").alias("score"), F.sum(F.col("confidence").cast(EXACT)).alias("sure"))
     pairs = [F.struct(F.lit(a).alias("row_dimension"), F.lit(b).alias("column_dimension"), F.col(a).alias("row_value"), F.col(b).alias("column_value")) for k, a in enumerate(dimensions) for b in dimensions[k + 1 :]]
     long = base.select(F.explode(F.array(*pairs)).alias("p"), "n", "serious", "score", "sure")
     g = long.groupBy("p").agg(*[F.sum(c).alias(c) for c in ("n", "serious", "score", "sure")])
     n = F.col("n").cast("double")
-    return g.select("p.*", F.col("n").alias("reports"), rounded(100.0 * F.col("serious") / n, 1).alias("serious_percent"), rounded(F.col("score") / n, 2).alias("avg_score"), rounded(F.col("sure") / n, 4).alias("avg_confidence"))
+    return g.select("p.*", F.col("n").alias("reports"), rounded(100.0 * F.col("serious") / n, 1).alias("serious_percent"), rounded(F.col("score") / n, 2).alias("avg_score"), rounded(F.col("sure").cast("double") / n, 4).alias("avg_confidence"))
 
 
 def presence(rows: DataFrame, fields: list[str], centre: str = "centre", first: int = 5) -> DataFrame:

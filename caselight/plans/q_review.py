@@ -102,7 +102,7 @@ def overview(spark, sf):
 _TOP = "".join(f", top_{v} AS (SELECT medicine, {v} AS top_{v} FROM (SELECT medicine, {v}, row_number() OVER (PARTITION BY medicine ORDER BY count(*) DESC, min(case_key)) AS n FROM cases GROUP BY medicine, {v}) WHERE n = 1)" for v in ("reaction", "gender", "age_band", "weight_band"))
 
 
-@query("medicine_rollup", sql(_TOP + f"SELECT * FROM (SELECT medicine, count(*) AS reports, {r(f'({d(100)} * count(*) FILTER (WHERE seriousness IN {SERIOUS}) / count(*))', 1)} AS serious_percent, {r('avg(score)', 2)} AS avg_score, {r('avg(confidence)', 4)} AS avg_confidence FROM cases GROUP BY 1) JOIN top_reaction USING (medicine) JOIN top_gender USING (medicine) JOIN top_age_band USING (medicine) JOIN top_weight_band USING (medicine)"))
+@query("medicine_rollup", sql(_TOP + f"SELECT * FROM (SELECT medicine, count(*) AS reports, {r(f'({d(100)} * count(*) FILTER (WHERE seriousness IN {SERIOUS}) / count(*))', 1)} AS serious_percent, {r('avg(score)', 2)} AS avg_score, {r('(CAST(sum(CAST(confidence AS DECIMAL(18,6))) AS DOUBLE) / count(*))', 4)} AS avg_confidence FROM cases GROUP BY 1) JOIN top_reaction USING (medicine) JOIN top_gender USING (medicine) JOIN top_age_band USING (medicine) JOIN top_weight_band USING (medicine)"))
 def medicine_rollup(spark, sf):
     return pivots.medicine_rollup(cases(spark, sf))
 
@@ -281,7 +281,7 @@ def eval_routing(spark, sf):
 _DIMENSIONS = ("medicine", "reaction", "gender", "age_band", "weight_band", "seriousness")
 
 
-@query("pivot_any", sql(" " + " UNION ALL ".join(f"SELECT '{a}' AS row_dimension, '{b}' AS column_dimension, {a} AS row_value, {b} AS column_value, count(*) AS reports, {r(f'({d(100)} * count(*) FILTER (WHERE seriousness IN {SERIOUS}) / count(*))', 1)} AS serious_percent, {r('(sum(score) / CAST(count(*) AS DOUBLE))', 2)} AS avg_score, {r('(sum(confidence) / count(*))', 4)} AS avg_confidence FROM cases GROUP BY {a}, {b}" for k, a in enumerate(_DIMENSIONS) for b in _DIMENSIONS[k + 1 :])))
+@query("pivot_any", sql(" " + " UNION ALL ".join(f"SELECT '{a}' AS row_dimension, '{b}' AS column_dimension, {a} AS row_value, {b} AS column_value, count(*) AS reports, {r(f'({d(100)} * count(*) FILTER (WHERE seriousness IN {SERIOUS}) / count(*))', 1)} AS serious_percent, {r('(sum(score) / CAST(count(*) AS DOUBLE))', 2)} AS avg_score, {r('(CAST(sum(CAST(confidence AS DECIMAL(18,6))) AS DOUBLE) / count(*))', 4)} AS avg_confidence FROM cases GROUP BY {a}, {b}" for k, a in enumerate(_DIMENSIONS) for b in _DIMENSIONS[k + 1 :])))
 def pivot_any(spark, sf):
     """Four metrics for every two of six dimensions."""
     return pivots.any_by_any(cases(spark, sf), _DIMENSIONS, F.col("seriousness").isin(*banding.SERIOUS_LABELS))
