@@ -221,9 +221,8 @@ def pii_boxes(pages: DataFrame) -> DataFrame:
     ``BOX_CHARS`` characters, emptied after a hit. One fold over a page's words, tried only where its words,
     joined, match at all (patterns know no borders, so what a window matches the page matches too)."""
     whole = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    some = F.lit(False)
-    for _, pattern in BOX_PATTERNS:
-        some |= whole.rlike(pattern)
+    some = whole.rlike("|".join(f"(?:{pattern})" for _, pattern in BOX_PATTERNS))
+    none = F.array().cast(pages.schema["words"].dataType)
 
     def kind(window: Column) -> Column:
         """(No pattern fits where there is neither a digit nor an at sign.)"""
@@ -236,7 +235,7 @@ def pii_boxes(pages: DataFrame) -> DataFrame:
         """``body`` of a value that is made once."""
         return F.get(F.transform(F.array(value), body), 0)
 
-    empty = F.struct(F.lit("").alias("window"), F.expr("slice(words, 1, 0)").alias("held"), F.expr("CAST(array() AS array<struct<kind:string,x0:int,y0:int,x1:int,y1:int,words:int>>)").alias("out"))
+    empty = F.struct(F.lit("").alias("window"), none.alias("held"), F.expr("CAST(array() AS array<struct<kind:string,x0:int,y0:int,x1:int,y1:int,words:int>>)").alias("out"))
 
     def step(state: Column, w: Column) -> Column:
         joined = F.trim(F.concat(state["window"], F.lit(" "), w["text"]))
@@ -253,7 +252,8 @@ def pii_boxes(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("doc_id", "words").where(some)
     folded = rows.select("doc_id", F.aggregate("words", empty, step)["out"].alias("out"))
-    return folded.select("doc_id", F.posexplode("out").alias("position", "x")).select("doc_id", "x.*").select("doc_id", "kind", "x0", "y0", "x1", "y1", "words")
+    # (the outer form: else the optimizer adds a filter on the fold's size, and folds again for it)
+    return folded.select("doc_id", F.explode_outer("out").alias("x")).where("x is not null").select("doc_id", "x.*")
 
 
 def ocr_confidence(pages: DataFrame) -> DataFrame:

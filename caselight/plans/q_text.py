@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselight.functions import banding, text
 from caselight.operators import documents as docs_ops
 from caselight.operators import casepages, evaluation, extraction, identifiers, severity, summary
+from caselight.session import spread
 from caselight.sources import readers, writers
 
 from .cases import cases, d, r, sql, table
@@ -159,7 +160,7 @@ def synthetic_cases(spark, sf):
 @query("extract_documents")
 def extract_documents(spark, sf):
     """The whole cascade over all documents; RE2 lacks the look-arounds."""
-    return extraction.extract(documents(spark, sf)).drop("text")
+    return extraction.extract(spread(documents(spark, sf))).drop("text")
 
 
 @query("rag_chunks", sql("SELECT case_key AS doc_id, 0 AS chunk_index, concat_ws(' | ', medicine, reaction, dose, route, frequency, seriousness, outcome, narrative) AS chunk FROM cases UNION ALL SELECT case_key, 1, narrative FROM cases"))
@@ -332,7 +333,7 @@ def sentence_scores(spark, sf):
 
 @query("textrank_summary")
 def textrank_summary(spark, sf):
-    return summary.summarise(documents(spark, sf))
+    return summary.summarise(spread(documents(spark, sf)))
 
 
 @query("keyword_hits", "SELECT doc_id, len(list_filter(['adverse', 'reaction', 'drug', 'medication', 'dose', 'onset', 'serious', 'hospital', 'death', 'fatal', 'report', 'patient', 'outcome', 'recovery', 'dechallenge', 'rechallenge', 'causality', 'seriousness', 'reporter'], lambda k: contains(lower(text), k)) ) AS hits FROM documents")

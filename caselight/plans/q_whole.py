@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from caselight.functions import banding, text
 from caselight.operators import documents as docs_ops
 from caselight.operators import extraction, forms, identifiers, paging, severity, summary
+from caselight.session import spread
 from caselight.sources import readers
 
 from .cases import cases, d, r, sql, table
@@ -461,7 +462,7 @@ def guideline_upsert(spark, sf):
 @query("pii_boxes")
 def pii_boxes(spark, sf):
     """Boxes around identifiers on the laid-out words of every document."""
-    return summary.pii_boxes(summary.laid_out(table(spark, sf, "documents")))
+    return summary.pii_boxes(summary.laid_out(spread(table(spark, sf, "documents").select("doc_id", "text"))))
 
 
 @query("ocr_confidence", f"SELECT doc_id, {r('coalesce(CAST(list_sum(l) AS DOUBLE) / len(l), 0.3)', 4)} AS confidence FROM (SELECT doc_id, list_filter(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> ''), lambda w: least({d(1)}, length(w) / {d(10)})), lambda c: c > 0.5) AS l FROM documents)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC times, adaptive plans that split skewed joins, Arrow for the few Python steps.
 SETTINGS = {
@@ -17,3 +17,10 @@ SETTINGS = {
 def session(master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.config(map={**SETTINGS, **more})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out to all tasks if it has fewer splits than there are tasks: for work on texts
+    that costs far more than their bytes tell. A scan of enough splits passes as it is, without a shuffle."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
