@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselight.operators import documents as docs_ops
-from caselight.operators import evaluation, forms, identifiers, signals
+from caselight.operators import evaluation, forms, signals
 
 from .cases import cases, d, r, sql
-from .q_text import _rouge, inline, sents, toks, values
+from .q_text import _rouge, sents, toks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
