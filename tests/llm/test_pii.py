@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -5,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.llm import pii
+from caselight.llm import pii, queries
 from tests.llm import brute
 
 
@@ -47,6 +48,16 @@ def test_query_rows(spark):
     assert text[1] == "mail <EMAIL> or <IP>, <CARD>; <PHONE>" and text[5] == rows[-1][1]
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    rows = [(1, "call +1 (555) 555-0100"), (2, "a@b.co c@d.org e@f.net +1 (555) 555-0100"), (3, "1.2.3.4 and 5.6.7.8, 4111-1111 1111 1111"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        want = plain(t or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(kind == k for kind, *_ in want) for k in pii.KINDS], t
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     r = random.Random(2)
     rows = [(k, f"{r.choice('abcdef') * 3} please call my phone number +1 (555) 555-{1000 + k} today {k}") for k in range(12)]
