@@ -63,15 +63,28 @@ def mcc(matrix: DataFrame, truth: str, guess: str) -> DataFrame:
     return one.select(F.col("s").cast("long").alias("support"), rounded(F.coalesce(F.try_divide(F.col("c") * F.col("s") - F.col("tp"), bottom), F.lit(0.0)), 3).alias("mcc"))
 
 
+def _runs(grams: str, side: int) -> tuple[Column, Column]:
+    """Of a sorted array, where its runs of equal values begin; and, from that column named ``<grams>_at``, each value
+    with its number, as ``struct<g,side,n>``."""
+    begin = F.filter(F.when(F.size(grams) > 0, F.sequence(F.lit(0), F.size(grams) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(grams, i) != F.get(grams, F.greatest(i - 1, F.lit(0)))))
+    at = f"{grams}_at"
+    return begin.alias(at), F.transform(at, lambda p, k: F.struct(F.get(grams, p).alias("g"), F.lit(side).alias("side"), (F.coalesce(F.get(at, k + 1), F.size(grams)) - p).alias("n")))
+
+
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    """Clipped overlap of ``hypothesis`` and ``reference`` per ``id``; four digits."""
-    grams = lambda c: text.ngrams(text.tokens(F.col(c), 1), n)
+    """Clipped overlap of ``hypothesis`` and ``reference`` per row, with its ``id``; four digits. The grams of a pair
+    are sorted and counted within the row, nothing is shuffled."""
+    words = lambda c: text.tokens(F.col(c), 1)
+    grams = lambda c: F.sort_array(words(c) if n == 1 else text.ngrams(words(c), n))
     rows = pairs.select("id", grams("hypothesis").alias("h"), grams("reference").alias("r"))
-    long = rows.select("id", F.explode(F.concat(F.transform("h", lambda g: F.struct(g.alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("x"))
-    counts = long.groupBy("id", "x.g").agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
-    total = counts.groupBy("id").agg(F.sum(F.least("h", "r")).alias("o"), F.sum("h").alias("nh"), F.sum("r").alias("nr"))
-    t = rows.select("id").join(total, "id", "left")
+    (h_at, h), (r_at, r) = _runs("h", 0), _runs("r", 1)
+    rows = rows.select("*", h_at, r_at).select("id", F.size("h").alias("nh"), F.size("r").alias("nr"), F.sort_array(F.concat(h, r)).alias("all"))
+    # the two sides of a gram are neighbours
+    shared = F.transform("all", lambda x, i: F.when(x["g"] == F.get("all", i + 1)["g"], F.least(x["n"], F.get("all", i + 1)["n"])).otherwise(0))
+    t = rows.select("id", "nh", "nr", F.aggregate(shared, F.lit(0), lambda a, x: a + x).alias("o"))
     p, r = ratio(F.col("o"), F.col("nh")), ratio(F.col("o"), F.col("nr"))
+    t = t.select("id", p.alias("p"), r.alias("r"))
+    p, r = F.col("p"), F.col("r")
     return t.select("id", rounded(p, 4).alias("precision"), rounded(r, 4).alias("recall"), rounded(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
