@@ -13,9 +13,10 @@ from math import floor, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from caselight.functions import text
 from caselight.functions.text import rounded, text_of
@@ -36,20 +37,23 @@ def keyword_hits(c: Column, kind: str = "sae") -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in KEYWORDS[kind]]), lambda k: low.contains(k)))
 
 
+def _scored(docs: DataFrame, kind: str) -> DataFrame:
+    """``docs`` with ``sentences`` and their ``scores``, made document by document: nothing is shuffled, and a text's
+    memory grows with its words."""
+    rows = docs.select("*", text.capital_sentences(F.col("text")).alias("sentences"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = pa.array([_own_scores(x, kind).tolist() for x in b.column("sentences").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "scores"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("scores", ArrayType(DoubleType()))]))
+
+
 def sentence_scores(docs: DataFrame, kind: str = "sae") -> DataFrame:
     """TF-IDF score of each sentence: mean of frequency times idf, and keywords, weighted by
-    position and length."""
-    rows = docs.select("doc_id", text.capital_sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("total"), F.posexplode("s").alias("position", "sentence"))
-    words = rows.select("doc_id", "position", F.explode(text.tokens(F.col("sentence"))).alias("w")).groupBy("doc_id", "position", "w").agg(F.count("*").alias("n"))
-    stats = words.groupBy("doc_id", "w").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))
-    total = rows.select("doc_id", "total").distinct()
-    idf = stats.join(total, "doc_id").select("doc_id", "w", (F.col("freq") * (F.log((F.col("total") + 1.0) / (F.col("df") + 1.0)) + 1.0)).alias("x"))
-    base = words.join(idf, ["doc_id", "w"]).groupBy("doc_id", "position").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("x")).alias("x"))
-    t = rows.join(base, ["doc_id", "position"], "left")
-    place = F.when(F.col("position") == 0, 2.5).when(F.col("position") < F.col("total") * 0.25, 1.5).when(F.col("position") > F.col("total") * 0.75, 0.8).otherwise(1.0)
-    length = F.when(F.col("words") < 5, 0.5).when(F.col("words") > 50, 0.8).otherwise(1.0)
-    score = (F.col("x") / F.col("words") + keyword_hits(F.col("sentence"), kind) * TFIDF_BOOST) * place * length
-    return t.select("doc_id", "position", rounded(F.when(F.col("words").isNull(), 0.0).otherwise(score), 3).alias("score"))
+    position and length. A row is a document."""
+    return _scored(docs.select("doc_id", "text"), kind).select("doc_id", F.posexplode("scores").alias("position", "score"))
 
 
 _PUNCT = re.compile(r"[^a-z0-9\s]")
@@ -169,17 +173,14 @@ def _summary(source: str, sentences: list[str], kind: str, most: int) -> tuple[s
 
 
 def leading_by_score(docs: DataFrame, kind: str = "sae", most: int = 3) -> DataFrame:
-    """``doc_id, summary``: the ``most`` best sentences by :func:`sentence_scores`, in their order, the earlier
-    of equal ones; the whole text where it has no more. Documents without sentences have their text."""
-    by = Window.partitionBy("doc_id")
-    rows = docs.select("doc_id", text.capital_sentences(F.col("text")).alias("s")).select("doc_id", F.posexplode("s").alias("position", "sentence"))
-    scored = rows.join(sentence_scores(docs, kind), ["doc_id", "position"])
-    ranked = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "position")))
-    # (the limit on the rank is applied before rows are put together)
-    best = ranked.where(F.col("rank") <= most + 1).groupBy("doc_id").agg(F.max("rank").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("position", "sentence")))).alias("x"))
-    joined = F.concat(F.array_join(F.transform("x", lambda x: x["sentence"]), ". "), F.lit("."))
-    whole = text.trimmed(text_of("text"))
-    return docs.join(best, "doc_id", "left").select("doc_id", F.when(F.col("n") > most, joined).otherwise(whole).alias("summary"))
+    """``doc_id, summary`` and the other columns but ``text``: the ``most`` best sentences by :func:`sentence_scores`, in
+    their order, the earlier of equal ones; the whole text where it has no more. Documents without sentences have
+    their text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ranked = F.array_sort(F.transform("scores", lambda x, i: F.struct((-x).alias("order"), i.alias("position"))))
+    rows = _scored(docs, kind).select("*", F.array_sort(F.transform(F.slice(ranked, 1, most), lambda x: x["position"])).alias("_best"))
+    joined = F.concat(F.array_join(F.transform("_best", lambda i: F.get("sentences", i)), ". "), F.lit("."))
+    return rows.select("doc_id", F.when(F.size("sentences") > most, joined).otherwise(text.trimmed(text_of("text"))).alias("summary"), *rest)
 
 
 def summarise(docs: DataFrame, kind: str = "sae", most: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import text
 from caselight.operators import evaluation, retrieval, summary
+from caselight.session import spread
 
 from .cases import d, r, table
 from .q_text import _pairs, toks
@@ -49,7 +50,7 @@ def rouge_stemmed(spark, sf):
 @query("rouge_documents")
 def rouge_documents(spark, sf):
     """Means over all documents of over 80 characters: their best sentences against their first three."""
-    docs = table(spark, sf, "documents").select("doc_id", "text").where(F.length("text") > 80)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text").where(F.length("text") > 80))
     lead = F.array_join(F.slice(text.sentences(F.col("text"), 20), 1, 3), " ")
-    pairs = summary.leading_by_score(docs).join(docs.select("doc_id", lead.alias("reference")), "doc_id")
+    pairs = summary.leading_by_score(docs.select("doc_id", "text", lead.alias("reference")))
     return evaluation.batch_mean(evaluation.rouge_stemmed(pairs.select(F.col("doc_id").alias("id"), F.col("summary").alias("hypothesis"), "reference")))
