@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import banding
 from caselight.operators import anchors, evaluation, linkage, paging, pivots, scoring
+from caselight.session import held, once
 
 from .cases import cases, d, r, sql, table
 from .q_cases import _REL, SERIOUS
@@ -92,9 +93,9 @@ def reviewer_flags(spark, sf):
 @query("overview", sql(_REL + f"SELECT (SELECT count(*) FROM rel WHERE relation = 'duplicate') AS duplicates, (SELECT count(*) FROM rel WHERE relation = 'followup') AS follow_up_reports, count(*) AS reports, count(*) FILTER (WHERE {FLAG} = 'ready') AS ready, count(*) FILTER (WHERE {FLAG} = 'follow-up') AS follow_up, count(*) FILTER (WHERE {FLAG} = 'cannot-compute') AS cannot_compute, CAST(floor(avg(score) + {d(0.5)}) AS INTEGER) AS average_score FROM cases"))
 def overview(spark, sf):
     c = cases(spark, sf)
-    rows = anchors.points(c)
-    linked = anchors.labelled(rows, anchors.states(rows), anchors.hash_states(rows)).select("case_key", "relation")
-    return scoring.overview(c.join(linked, "case_key"))
+    with held(anchors.points(c)) as rows:
+        linked = anchors.labelled(rows, anchors.states(rows), anchors.hash_states(rows)).select("case_key", "relation")
+        return once(scoring.overview(c.join(linked, "case_key")))
 
 
 # --- pivots ---
