@@ -1,20 +1,24 @@
-"""Near duplicates: SimHash pivots choose the pairs, the exact Jaccard similarity of the sets of
-word shingles confirms them.
+"""Near duplicates: SimHash with pivot distance tables links them, as in op5, the exact Jaccard
+similarity of the sets of word shingles confirms the links, and an exact way finds the rest.
 
-Texts whose sets are equal are one node, with the SimHash fingerprint of its set. Every node orders
-its shingles in the same way (by hash, those that a sample shows to be common last) and is filed
+Texts whose sets are equal are one node, with the SimHash fingerprint of its set. First, sets of any
+size meet as in op5: fingerprints that agree in four of ten segments, which loses no pair within
+``LINK_BITS``; the pivot tables discard, the bits confirm. What they link is confirmed on the texts.
+
+The rest: at a similarity of 0.8 each of 64 bits differs with probability 0.152, so many similar sets
+are further apart than any radius that segments or pivots can select by. Every node therefore
+orders its shingles in the same way (by hash, those that a sample shows to be common last) and is filed
 under the first ``n - ceil(s n) + 1`` of them: two sets of similarity ``s`` share one of these at
-least, so no pair is lost, whatever the order. A pair that meets is discarded if its sizes, or what
-is left behind the shared shingle in either order, rule out ``s``; or, in sets of ``SURE`` shingles
-and more, by the pivot tables of op5: fingerprints whose distances to any of the pivots differ by
-more than ``MOST_BITS`` differ in more bits themselves. (At a similarity of 0.8 each of 64 bits
-differs with probability 0.152; more than 26 do with probability 1.9e-7.) What is left is held
-against the sets' histograms by the hashes' first byte: sets share no more than the sum of the
-smaller counts. Survivors are confirmed on their texts.
-
-Pairs are met and confirmed in three rounds, so that large groups of near copies do not make all
-their pairs: neighbours by size under each shingle; then, from the shingles with more than two
-nodes, each node's most alike of another component; then all pairs whose components still differ.
+least, so no pair is lost, whatever the order. A pair that meets is passed over if SimHash and the
+rounds before have put it in one component, and discarded if its sizes, or what is left behind the
+shared shingle in either order, rule out ``s``; or, in sets of ``SURE`` shingles and more, if the
+fingerprints differ in more than ``MOST_BITS`` (at a similarity of 0.8 with probability 1.9e-7). What
+is left is held against the sets' histograms by the hashes' first byte: sets share no more than the
+sum of the smaller counts. Survivors are confirmed on their texts.
+
+Pairs of the rest are met and confirmed in three rounds, so that large groups of near copies do not
+make all their pairs: neighbours by size under each shingle; then, from the shingles with more than
+two nodes, each node's most alike of another component; then all pairs whose components still differ.
 
 Defined results: null text has no words; texts without words are alike; a text of fewer words than a
 shingle is one shingle; rows without ``doc_id`` link others but are never left out; rows that share
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, drop, first_of_each, parallelism, saved
 from .components import connected_components
-from .simhash import close
+from .simhash import link_tasks, near_links
 
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 SEED = 42
+#: Bits within which fingerprints are linked, and the segments that they meet by.
+LINK_BITS = 6
+SEGMENTS = (6, 6, 6, 6, 6, 6, 7, 7, 7, 7)
 #: Bits in which fingerprints of similar sets of at least ``SURE`` shingles differ at most.
 MOST_BITS = 26
 SURE = 64
@@ -174,7 +181,7 @@ def meetings(h: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarray, fp:
         found_a, found_b = left[keep], right[keep]
         for k in range(0, len(found_a), PAIRS_AT_ONCE):
             a, b = found_a[k : k + PAIRS_AT_ONCE], found_b[k : k + PAIRS_AT_ONCE]
-            keep = (n[a] < SURE) | close(fp[a].view(np.uint64), fp[b].view(np.uint64), MOST_BITS)
+            keep = (n[a] < SURE) | (np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= MOST_BITS)
             a, b = a[keep], b[keep]
             if counts is not None:
                 keep = may_be_similar(counts[a], counts[b], n[a], n[b], least)
@@ -218,6 +225,27 @@ def _unique(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` that connect the ``nodes(node, fp)`` whose fingerprints are within
+    ``LINK_BITS`` of each other; of equal fingerprints, one node stands for all."""
+    groups = saved(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    fps = groups.select("fp")
+    side = lambda name: groups.select(F.col("fp").alias(f"{name}_fp"), F.col("one").alias(name))
+    near = saved(near_links(fps, link_tasks(fps, LINK_BITS, SEGMENTS), LINK_BITS, SEGMENTS).toDF("a_fp", "b_fp"))
+    pairs = near.join(side("a"), "a_fp").join(side("b"), "b_fp").select("a", "b")
+    pairs = pairs.unionByName(nodes.join(groups, "fp").where("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b")))
+    out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    drop(groups, near)
+    return out
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` whose components still differ."""
+    for name in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left")
+    return pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+
+
 def _first_round(rows: DataFrame, tasks: int, least: tuple[int, int]) -> DataFrame:
     """Pairs ``(a, b)`` of neighbours, and the rows ``(h, size, a)`` that wait for the second round
     (``b`` is null)."""
@@ -288,23 +316,28 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, least: tuple[in
     rows = checkpointed(sets.select("doc_id", "text_key", "set_key"))
     one = F.min(F.struct("doc_id", "text_key", "n", "fp", "histogram")).alias("m")
     nodes = saved(sets.groupBy(F.col("set_key").alias("node")).agg(one, F.min("doc_id").alias("least_id")).select("node", F.col("m.doc_id").alias("first"), "m.text_key", "m.n", "m.fp", "m.histogram", "least_id"))
-    met = saved(_first_round(sets, tasks, least))
-    drop(sets)
-    met_first = _possible(met.where("b is not null").select("a", "b").distinct(), nodes, least)
-    waiting_rows = met.where("b is null").select("h", "size", F.col("a").alias("node")).join(nodes.select("node", "fp", "histogram"), "node")
+    linked = fingerprint_links(nodes)
     named = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
     roots = spark.createDataFrame([], "node long, root long")
-    for turn in range(3):
-        pairs = _later_round(named(waiting_rows, roots), tasks, turn == 2, least) if turn else met_first
+    for turn in range(4):
+        if turn == 0:
+            pairs = _possible(linked, nodes, least)
+        elif turn == 1:  # what SimHash has not linked
+            met = saved(_first_round(sets, tasks, least))
+            drop(sets)
+            waiting_rows = met.where("b is null").select("h", "size", F.col("a").alias("node")).join(nodes.select("node", "fp", "histogram"), "node")
+            pairs = _possible(_apart(met.where("b is not null").select("a", "b").distinct(), roots), nodes, least)
+        else:
+            pairs = _later_round(named(waiting_rows, roots), tasks, turn == 3, least)
         for before in tried:  # what has been confirmed, or not, need not be met again
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         tried.append(saved(pairs))
         if not tried[-1].isEmpty():
             links.append(_confirmed(docs, nodes, tried[-1], words, least))
             roots = connected_components(reduce(DataFrame.unionByName, links))
-    drop(met, *tried, *links)
+    drop(linked, met, *tried, *links)
     # (each is written before it is joined: Spark splits a plain join's hot root or set)
     labels = saved(named(nodes.select("node", "least_id"), roots))
     least_of = saved(labels.groupBy("root").agg(F.min("least_id").alias("component_id")))

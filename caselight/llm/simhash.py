@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -151,40 +152,37 @@ def links(key: np.ndarray, fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.nd
     return np.concatenate(a), np.concatenate(b)
 
 
-def _keys(fp: str = "fp"):
-    """A key for each choice of segments that must agree."""
-    starts = np.cumsum([0, *SEGMENTS])
-    segments = [F.shiftrightunsigned(F.col(fp), int(s)).bitwiseAND((1 << n) - 1) for s, n in zip(starts, SEGMENTS, strict=False)]
-    out = []
-    for number, chosen in enumerate(combinations(range(len(SEGMENTS)), len(SEGMENTS) - MAX_BITS)):
-        key = F.lit(number).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, SEGMENTS[k]).bitwiseOR(segments[k])
-        out.append(key)
-    return F.array(*out)
+def _keyed(distinct: DataFrame, bits: int, segments: tuple[int, ...]) -> DataFrame:
+    """``(key, fp)`` for each choice of segments that must agree."""
+    starts = np.cumsum([0, *segments]).tolist()
+    parts = [((1 << n) - 1) << s for s, n in zip(starts, segments, strict=False)]
+    masks = np.array([sum(chosen) for chosen in combinations(parts, len(parts) - bits)], np.uint64).view(np.int64).tolist()
+    chosen = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    return chosen.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), "fp")
 
 
-def near_links(distinct: DataFrame, tasks: int) -> DataFrame:
-    """Distinct links ``(a, b)`` that connect all fingerprints of ``distinct(fp)`` within
-    ``MAX_BITS`` of each other."""
+def link_tasks(distinct: DataFrame, bits: int = MAX_BITS, segments: tuple[int, ...] = SEGMENTS) -> int:
+    return max(parallelism(distinct.sparkSession), -(-distinct.count() * comb(len(segments), bits) // TASK_ROWS))
+
+
+def near_links(distinct: DataFrame, tasks: int, bits: int = MAX_BITS, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+    """Distinct links ``(a, b)`` that connect all fingerprints of ``distinct(fp)`` within ``bits`` of
+    each other; these meet by ``len(segments) - bits`` of the ``segments``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("fp", pa.int64())]))
-        a, b = links(t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64))
+        held = list(batches)
+        key, fp = (np.concatenate([b.column(c).to_numpy() for b in held] or [np.zeros(0, np.int64)]) for c in ("key", "fp"))
+        a, b = links(key, fp.view(np.uint64), bits)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    keyed = distinct.select(F.explode(_keys()).alias("key"), "fp").repartition(tasks, "key")
-    return keyed.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _keyed(distinct, bits, segments).repartition(tasks, "key").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, fp, component_id)`` per row."""
-    spark = docs.sparkSession
     fps = checkpointed(fingerprints(docs))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    keys = len(list(combinations(SEGMENTS, len(SEGMENTS) - MAX_BITS)))
-    tasks = max(parallelism(spark), -(-groups.count() * keys // TASK_ROWS))
-    roots = connected_components(near_links(groups, tasks))
+    roots = connected_components(near_links(groups, link_tasks(groups)))
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # (written before it is joined: Spark splits a plain join's hot root or fingerprint)
     least = checkpointed(named.groupBy("root").agg(F.min("first").alias("component_id")))
